@@ -1,11 +1,12 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontamination, fingerprints, language, quality, toxicity, urls
+from . import decontamination, fingerprints, language, quality, repeats, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1,
+        "op3_suffix_dedup": repeats.op3,
         "op4_url_filters": urls.op4,
         "op5_quality": quality.op5,
         "op7_language": language.op7,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": urls.ORACLE, "op8_decontamination": decontamination.ORACLE, "op10_fingerprints": fingerprints.ORACLE}
+    return {"op3_suffix_dedup": repeats.ORACLE, "op4_url_filters": urls.ORACLE, "op8_decontamination": decontamination.ORACLE, "op10_fingerprints": fingerprints.ORACLE}
