@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontamination, fingerprints, language, quality, repeats, toxicity, urls
+from . import decontamination, fingerprints, jaccard, language, quality, repeats, toxicity, urls
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op3_suffix_dedup": repeats.op3,
         "op4_url_filters": urls.op4,
         "op5_quality": quality.op5,
+        "op6_jaccard_join": jaccard.op6,
         "op7_language": language.op7,
         "op8_decontamination": decontamination.op8,
         "op10_fingerprints": fingerprints.op10,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": repeats.ORACLE, "op4_url_filters": urls.ORACLE, "op8_decontamination": decontamination.ORACLE, "op10_fingerprints": fingerprints.ORACLE}
+    return {"op3_suffix_dedup": repeats.ORACLE, "op4_url_filters": urls.ORACLE, "op6_jaccard_join": jaccard.ORACLE, "op8_decontamination": decontamination.ORACLE, "op10_fingerprints": fingerprints.ORACLE}
