@@ -1,17 +1,19 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontamination, fingerprints, jaccard, language, quality, repeats, toxicity, urls
+from . import decontamination, fingerprints, jaccard, language, lm, packing, quality, repeats, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1,
+        "op2_lm_scoring": lm.op2,
         "op3_suffix_dedup": repeats.op3,
         "op4_url_filters": urls.op4,
         "op5_quality": quality.op5,
         "op6_jaccard_join": jaccard.op6,
         "op7_language": language.op7,
         "op8_decontamination": decontamination.op8,
+        "op9_packing": packing.op9,
         "op10_fingerprints": fingerprints.op10,
     }
 
