@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from seatrace.shipping import ship_package
+
 #: Texts are handed to a kernel in groups of about this many characters, so memory doesn't follow the batch size.
 SLICE_CHARS = 1 << 20
 
@@ -41,21 +42,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors' Python once a session, so it needn't be installed there."""
-    sc = spark.sparkContext
-    if getattr(sc, "_seatrace_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="seatrace-src-")) / "seatrace_src.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for source in sorted(root.rglob("*.py")):
-            z.write(source, source.relative_to(root.parent))
-    sc.addPyFile(str(target))
-    sc._seatrace_shipped = True
+    # What the step shuffled isn't needed any more: executors drop it once the driver's references are collected.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._seatrace_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made; only for those that no plan still to be run reads."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._seatrace_path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def crc_bucket(id_col: str, modulus: int) -> Column:

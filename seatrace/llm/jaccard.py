@@ -1,19 +1,21 @@
 """N-gram Jaccard join by token-combination prefixes, and the classes of near duplicates that it links.
 
 A document is its set of distinct word shingles, hashed to 64 bits and ordered by hash. Two sets are linked when
-den * |A and B| >= num * |A or B|.
+den * |A and B| >= num * |A or B|. Equal sets are one representative from the start.
 
 Prefixes. With a tokens and threshold t, at most d = floor(a (1 - t)) of a set's tokens are missing from a partner. Both
-prefixes are extended until they must hold k common tokens. Tokens that few prefixes hold are indexed alone. Where all
-common tokens are frequent ones, some two neighbours among them have at most GAP other frequent tokens between them on
-both sides (k is chosen so that the pigeonhole principle says so); so frequent tokens are indexed in combinations of two
-that are at most GAP apart. Every linked pair shares a rare token or such a combination: nothing is lost.
+prefixes are extended until they must hold k common tokens. So a set with fewer than k prefix tokens that any other prefix
+holds has no partner; this is applied twice and leaves hardly more than near duplicates.
 
-Equal sets are one representative from the start. An index entry with few documents proposes its pairs. An entry with
-many proposes each document with the entry's most central one only (the document with the fewest tokens of its own); this
-is repeated with further centres for documents in other components, and pairs left over within an entry are proposed in
-full, so the result is exact and a group of near copies costs in proportion to its size. Proposed pairs are verified on
-whole sets.
+Index. Tokens that few prefixes hold are indexed alone. Where all common tokens are frequent ones, some two neighbours
+among them have at most GAP other frequent tokens between them on both sides (k is chosen so that the pigeonhole
+principle says so); so frequent tokens are indexed in combinations of two that are at most GAP apart. Every linked pair
+shares a rare token or such a combination: nothing is lost.
+
+Verification. Sets that share index entries, directly or through others, form a group: components over a star for each
+entry, never its pairs. Whole sets of a group meet in blocks of bounded size, each pair of blocks in a task of its own;
+common tokens are counted there by matrix products, and a block pair returns a spanning forest of its links. Rows stay in
+proportion to the input; only the arithmetic inside very large groups of copies near the threshold grows faster.
 
 Edge cases: null and empty texts have no set and are linked with nothing; texts of fewer words than a shingle are one
 shingle; repeated rows have equal sets and are linked; ids must be integers and rows with the same id are one document;
@@ -23,30 +25,29 @@ null ids are left out of links.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashMemo, connected_components, explode_texts, written
+from .common import HashMemo, connected_components, explode_texts, ship_package, written
 
 #: Frequent tokens that may stand between the two of a combination.
 GAP = 3
-#: A token in more prefixes than this is frequent; an index entry with more documents than this has a centre.
-RARE, SMALL = 4, 8
-#: Rounds of centres before what is left is proposed in full.
-CENTRE_ROUNDS = 4
+#: A token in more prefixes than this is frequent.
+RARE = 4
+#: A block holds sets of about so many tokens together; a set counts at least LEAST.
+BLOCK_TOKENS, LEAST = 1 << 21, 1 << 10
 
-_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Bytes in which A-Z is lowered; bytes.split() then parts at 0x20 and 0x09 to 0x0D.
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _word_value(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+def _word_value(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -62,7 +63,7 @@ class Shingles:
         self.size, self.memo = size, HashMemo(_word_value)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = np.fromiter(map(self.memo.__getitem__, _WORD.findall((text or "").translate(_ASCII_LOWER))), np.uint64)
+        words = np.fromiter(map(self.memo.__getitem__, (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()), np.uint64)
         n = min(self.size, len(words))
         if not n:
             return words
@@ -72,18 +73,19 @@ class Shingles:
         return np.unique(h)
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    """Tokens of a set's prefix: d that a partner may lack, and k that two partners then share.
+def prefix(n: int, num: int, den: int) -> tuple[int, int]:
+    """(tokens of a set's prefix, k): d of the prefix's tokens may be missing from a partner, the other k aren't.
 
     d is this set's allowance, e that of a partner as large as can be; k - 1 neighbours with together at most d + e
     tokens between them include one with GAP at most.
     """
     d = n - -(-n * num // den)
     e = n * (den - num) // num
-    return min(n, d + (d + e) // (GAP + 1) + 2)
+    size = min(n, d + (d + e) // (GAP + 1) + 2)
+    return size, size - d
 
 
-_SETS = [T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+_SETS = [T.StructField(c, T.LongType()) for c in ("doc", "n", "s1", "s2", "need")] + [T.StructField("prefix", T.ArrayType(T.LongType()))]
 
 
 def _set_kernel(size: int, num: int, den: int):
@@ -93,8 +95,10 @@ def _set_kernel(size: int, num: int, den: int):
         out = {f.name: [] for f in _SETS}
         for i, t in zip(ids, texts, strict=True):
             s = shingles(t)
+            n = len(s)
             digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-            for name, x in (("doc", i), ("n", len(s)), ("s1", digest[0]), ("s2", digest[1]), ("prefix", s[: prefix_length(len(s), num, den)].view(np.int64))):
+            least = min(prefix(n, num, den)[1], prefix(-(-n * num // den), num, den)[1])  # of this set and its smallest partner
+            for name, x in (("doc", i), ("n", n), ("s1", digest[0]), ("s2", digest[1]), ("need", least), ("prefix", s[: prefix(n, num, den)[0]].view(np.int64))):
                 out[name].append(x)
         return out
 
@@ -110,21 +114,15 @@ def _whole_kernel(size: int):
     return run
 
 
-def _compatible(a: Column, b: Column, num: int, den: int) -> Column:
-    return den * F.least(a, b) >= num * F.greatest(a, b)
-
-
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles, representative (smallest id with the same set) and component_id (smallest id linked)."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     sets = written(explode_texts(texts, lambda: _set_kernel(shingle, num, den), _SETS, id_col="doc"), "sets")
     linkable = sets.where("n > 0 and doc is not null")
     same = ["n", "s1", "s2"]
-    first = linkable.groupBy(*same).agg(F.min("doc").alias("rep"))
-    reps = linkable.select("doc", "prefix", *same).join(first, same).where("doc = rep").select("doc", "n", "prefix").dropDuplicates(["doc"])
-
-    members = _index(reps)
-    edges = _links(members, texts, shingle, num, den)
+    first = written(linkable.groupBy(*same).agg(F.min("doc").alias("rep")), "classes")
+    reps = linkable.join(first, same).where("doc = rep").select("doc", "n", "need", "prefix").dropDuplicates(["doc"])
+    edges = _links(_groups(reps), texts, shingle, num, den)
     components = connected_components(edges, "near")
 
     classes = first.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, "rep", F.coalesce("component", "rep").alias("component"))
@@ -132,69 +130,101 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc").alias("representative"), F.coalesce("component", "doc").alias("component_id"))
 
 
-def _index(reps: DataFrame) -> DataFrame:
-    """(key, doc, n, own): index entries that at least two documents share; own: prefix tokens of this document alone."""
-    tokens = reps.select("doc", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
-    shared = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = tokens.join(shared, "token")
-    per_doc = written(
-        held.groupBy("doc", "n", "p").agg(F.collect_list(F.when(F.col("df") <= RARE, F.col("token"))).alias("rare"), F.array_sort(F.collect_list(F.when(F.col("df") > RARE, F.col("token")))).alias("frequent")),
-        "prefixes",
-    )
-    at = F.when(F.size("frequent") > 1, F.sequence(F.lit(1), F.size("frequent") - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.flatten(F.transform(at, lambda i: F.transform(F.slice("frequent", i + 1, F.lit(GAP + 1)), lambda y: F.xxhash64(F.element_at("frequent", i), y))))
-    keys = F.concat(F.col("rare"), pairs)
-    own = F.col("p") - F.size("rare") - F.size("frequent")
-    entries = per_doc.select("doc", "n", own.alias("own"), F.explode(F.array_distinct(keys)).alias("key"))
-    often = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    return written(entries.join(often, "key").select("key", "doc", "n", "own", "m"), "entries")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int, name: str) -> DataFrame:
-    """Of the pairs (a, b), those whose whole sets are similar enough."""
-    pairs = written(pairs, name)
-    asked = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct()
+def _shared(reps: DataFrame, name: str) -> DataFrame:
+    """(doc, n, need, prefix, dfs): prefixes without the tokens that no other prefix holds; sets with too few of them go."""
+    token = reps.select("doc", "n", "need", F.explode("prefix").alias("token"))
+    often = token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    held = token.join(often, "token").groupBy("doc", "n", "need").agg(F.array_sort(F.collect_list(F.struct("token", "df"))).alias("t"))
+    kept = held.where(F.size("t") >= F.col("need"))
+    return written(kept.select("doc", "n", "need", F.col("t.token").alias("prefix"), F.col("t.df").alias("dfs")), name)
+
+
+def _groups(reps: DataFrame) -> DataFrame:
+    """(node, component, n): sets that share index entries, by group."""
+    sets = _shared(_shared(reps, "prefixes"), "prefixes")
+    at = F.sequence(F.lit(1), F.size("prefix"))
+    rare = F.transform(F.filter(at, lambda i: F.element_at("dfs", i) <= RARE), lambda i: F.element_at("prefix", i))
+    frequent = F.transform(F.filter(at, lambda i: F.element_at("dfs", i) > RARE), lambda i: F.element_at("prefix", i))
+    split = sets.select("doc", "n", rare.alias("rare"), frequent.alias("frequent"))
+    firsts = F.when(F.size("frequent") > 1, F.sequence(F.lit(1), F.size("frequent") - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.flatten(F.transform(firsts, lambda i: F.transform(F.slice("frequent", i + 1, F.lit(GAP + 1)), lambda y: F.xxhash64(F.element_at("frequent", i), y))))
+    entries = split.select("doc", F.explode(F.concat("rare", pairs)).alias("key"))
+    centre = entries.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").drop("z")
+    stars = entries.join(centre, "key").where("doc <> a").select(F.col("doc").alias("b"), "a")
+    return connected_components(stars, "groups").join(sets.select(F.col("doc").alias("node"), "n"), "node")
+
+
+def common_tokens(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of x has in common with each of y (sorted sets)."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    if not x or not y:
+        return out
+    tokens, ids = np.unique(np.concatenate(x + y), return_inverse=True)
+    cut = sum(map(len, x))
+    rows_x, rows_y = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    ids_x, ids_y = ids[:cut], ids[cut:]
+    both = np.flatnonzero((np.bincount(ids_x, minlength=len(tokens)) > 0) & (np.bincount(ids_y, minlength=len(tokens)) > 0))
+    place = np.full(len(tokens), -1)
+    place[both] = np.arange(len(both))
+    px, py = place[ids_x], place[ids_y]
+    for at in range(0, len(both), 4096):
+        a, b = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+        own_x, own_y = (px >= at) & (px < at + 4096), (py >= at) & (py < at + 4096)
+        a[rows_x[own_x], px[own_x] - at] = 1
+        b[rows_y[own_y], py[own_y] - at] = 1
+        some_x, some_y = np.flatnonzero(a.any(1)), np.flatnonzero(b.any(1))
+        out[np.ix_(some_x, some_y)] += a[some_x] @ b[some_y].T
+    return out
+
+
+def forest(docs_x, x, docs_y, y, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between the sets of two blocks (or of one with itself), as few as connect what they connect."""
+    root = {d: d for d in [*docs_x, *docs_y]}
+
+    def top(d):
+        while root[d] != d:
+            root[d] = root[root[d]]
+            d = root[d]
+        return d
+
+    n, m = np.array([len(s) for s in x], np.int64), np.array([len(s) for s in y], np.int64)
+    common = common_tokens(x, y).astype(np.int64)
+    out = []
+    for i, j in zip(*np.nonzero(den * common >= num * (n[:, None] + m[None, :] - common)), strict=True):
+        a, b = top(docs_x[i]), top(docs_y[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((docs_x[i], docs_y[j]))
+    return out
+
+
+def _links(groups: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(a, b): verified links that connect all linked sets."""
+    groups = written(groups.withColumn("weight", F.greatest(F.col("n"), F.lit(LEAST))), "groups")
+    sizes = groups.groupBy("component").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).alias("blocks"), F.sum("weight").alias("all"))
+    small = sizes.where("blocks = 1").agg(F.sum("all")).first()[0] or 0
+    buckets = max(1, int(small) // BLOCK_TOKENS * 2)
     fields = [T.StructField("doc", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
-    whole = written(explode_texts(texts.join(asked, "doc").dropDuplicates(["doc"]), lambda: _whole_kernel(shingle), fields, id_col="doc"), name + "-sets")
-    both = pairs.join(whole.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a").join(whole.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return written(both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b"), name + "-links")
-
-
-def _links(members: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Verified links that connect all linked documents."""
-    a, b = members.alias("a"), members.alias("b")
-    few = (
-        a.where(F.col("m") <= SMALL)
-        .join(b.where(F.col("m") <= SMALL), F.col("a.key") == F.col("b.key"))
-        .where((F.col("a.doc") < F.col("b.doc")) & _compatible(F.col("a.n"), F.col("b.n"), num, den))
-        .select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
-    )
-    many = members.where(F.col("m") > SMALL)
-    centre = many.groupBy("key").agg(F.min(F.struct("own", "doc", "n")).alias("c"))
-    stars = many.join(centre, "key").where(F.col("doc") != F.col("c.doc")).where(_compatible(F.col("n"), F.col("c.n"), num, den)).select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
-    links = _verified(few.unionAll(stars).distinct(), texts, shingle, num, den, "proposed")
-
-    # Entries that still hold several components: a member of the smallest one is the next centre, for all but its own.
-    left = many.join(centre.select("key", F.col("c.doc").alias("done")), "key").where("doc <> done").select("key", "doc", "n", "own")
-    for turn in range(CENTRE_ROUNDS + 1):
-        components = connected_components(links, "near")
-        told = left.join(components.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "own", F.coalesce("component", "doc").alias("comp"))
-        mixed = told.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        told = written(told.join(mixed, "key"), "mixed")
-        if told.isEmpty():
-            break
-        if turn < CENTRE_ROUNDS:
-            sizes = told.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min(F.struct("own", "doc", "n")).alias("c"))
-            centre = sizes.groupBy("key").agg(F.min(F.struct("size", "c.own", "c.doc", "c.n", "comp")).alias("c"))
-            with_c = told.join(centre, "key").where(F.col("doc") != F.col("c.doc"))
-            asked = with_c.where(F.col("comp") != F.col("c.comp")).where(_compatible(F.col("n"), F.col("c.n"), num, den)).select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
-            left = written(with_c.select("key", "doc", "n", "own"), "left")
-        else:
-            x, y = told.alias("x"), told.alias("y")
-            asked = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _compatible(F.col("x.n"), F.col("y.n"), num, den)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-        links = written(links.unionAll(_verified(asked.distinct(), texts, shingle, num, den, "proposed")), "links")
-    return links
+    asked = groups.select(F.col("node").alias("doc"))
+    whole = explode_texts(texts.join(asked, "doc").dropDuplicates(["doc"]), lambda: _whole_kernel(shingle), fields, id_col="doc")
+    held = whole.join(groups.join(sizes, "component").select(F.col("node").alias("doc"), "component", "blocks"), "doc")
+    own = F.pmod(F.xxhash64("doc"), "blocks")
+    alone = held.where("blocks = 1").select("doc", "tokens", "component", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket"), F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(0).cast("bigint").alias("own"))
+    spread = held.where("blocks > 1").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    spread = spread.select("doc", "tokens", "component", F.col("component").alias("bucket"), F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own")
+    ship_package(texts.sparkSession)
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in pdf.groupby("component"):
+            i, j = g["i"].iloc[0], g["j"].iloc[0]
+            x, y = g[g["own"] == i], g[g["own"] == j]
+            sets = [[np.sort(t.view(np.uint64)) for t in b["tokens"]] for b in (x, y)]
+            out += forest(x["doc"].tolist(), sets[0], y["doc"].tolist(), sets[1], num, den)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    parts = alone.withColumn("big", F.lit(False)).unionAll(spread.withColumn("big", F.lit(True)))
+    return written(parts.groupBy("big", "bucket", "i", "j").applyInPandas(link, "a long, b long"), "links")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

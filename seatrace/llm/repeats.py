@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import HashMemo, explode_texts, ship_package, written
+from .common import HashMemo, discard, explode_texts, ship_package, written
 
 #: Windows begin in blocks of so many tokens.
 BLOCK = 1 << 20
@@ -197,10 +197,14 @@ def _block_rows(threshold: int, unit: str, step: int, arrow: pa.Schema):
     return run
 
 
+def _place():
+    """A place as one number, so that counting is a plain hash aggregate."""
+    return F.xxhash64("doc", "a")
+
+
 def _elsewhere(rows: DataFrame, key: list[str]) -> DataFrame:
     """The keys that stand at more than one place (document and anchor), and their first place."""
-    place = F.struct("doc", "a")
-    return rows.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    return rows.groupBy(*key).agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").drop("last")
 
 
 def _settle(rows: DataFrame, whole: str, key: list[str], name: str) -> DataFrame:
@@ -210,7 +214,7 @@ def _settle(rows: DataFrame, whole: str, key: list[str], name: str) -> DataFrame
     """
     told = rows.join(_elsewhere(rows.where(whole), key), key, "left")
     settled = F.col("first").isNotNull()
-    return written(told.withColumns({"settled": settled, "open": ~settled | (F.struct("doc", "a") == F.col("first"))}).drop("first"), name)
+    return written(told.withColumns({"settled": settled, "open": ~settled | (_place() == F.col("first"))}).drop("first"), name)
 
 
 def repeated_spans(docs: DataFrame, *, threshold: int = 400, unit: str = "byte", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,9 +229,11 @@ def repeated_spans(docs: DataFrame, *, threshold: int = 400, unit: str = "byte",
     # First digit: anchors. Runs whose anchor is nowhere else are final.
     runs = written(explode_texts(ids, lambda: _run_kernel(threshold, unit), _RUN, id_col="doc"), "runs")
     shared = written(runs.join(_elsewhere(runs, ["fp"]).drop("first"), "fp"), "shared")
+    discard(runs)
 
     # Second: everything around the anchor.
     told = _settle(shared, "u1 is not null", ["fp", "u1", "u2"], "told")
+    discard(shared)
     spans = told.where("settled").select("doc", F.col("lo").alias("begin"), (F.col("hi") + threshold).alias("end"))
 
     # Third: cores of blocks, for the runs that are left.
@@ -237,6 +243,7 @@ def repeated_spans(docs: DataFrame, *, threshold: int = 400, unit: str = "byte",
     blocks = written(ids.join(left, "doc").mapInArrow(_block_rows(threshold, unit, step, arrow), _BLOCKS), "blocks")
     cored = blocks.join(_elsewhere(blocks, ["core", "b"]).drop("first"), ["core", "b"])
     cored = _settle(cored, "full", ["core", "b", "left", "right"], "cored")
+    discard(blocks)
     spans = spans.unionAll(cored.where("settled").select("doc", (F.col("a") - F.col("o2")).alias("begin"), (F.col("a") - F.col("o1") + threshold).alias("end")))
 
     # Last: single windows. At offset o a window takes o - near tokens before the core and far - o after it.
@@ -244,12 +251,11 @@ def repeated_spans(docs: DataFrame, *, threshold: int = 400, unit: str = "byte",
     taken = ((F.col("o") - F.col("b") * step) * width).cast("int")
     more = ((F.col("b") * step + step - 1 - F.col("o")) * width).cast("int")
     blank = F.lit(b"")
-    window = single.select(
-        "core", "o", "doc", "a",
-        F.when(taken > 0, F.substring(F.col("left"), F.length("left") - taken + 1, taken)).otherwise(blank).alias("l"),
-        F.when(more > 0, F.substring(F.col("right"), F.lit(1), more)).otherwise(blank).alias("r"),
-    )
-    hits = window.join(_elsewhere(window, ["core", "o", "l", "r"]).drop("first"), ["core", "o", "l", "r"])
+    before = F.when(taken > 0, F.substring(F.col("left"), F.length("left") - taken + 1, taken)).otherwise(blank)
+    after = F.when(more > 0, F.substring(F.col("right"), F.lit(1), more)).otherwise(blank)
+    digest = [F.xxhash64(F.lit(k), "core", "o", before, F.length(before), after).alias(f"w{k}") for k in (1, 2)]  # 128 bits
+    window = written(single.select(*digest, "doc", "a", "o"), "windows")
+    hits = window.join(_elsewhere(window, ["w1", "w2"]).drop("first"), ["w1", "w2"])
     spans = spans.unionAll(hits.select("doc", (F.col("a") - F.col("o")).alias("begin"), (F.col("a") - F.col("o") + threshold).alias("end")))
 
     return spans.groupBy("doc").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).select(F.col("doc").alias(id_col), "spans")

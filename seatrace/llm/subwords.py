@@ -26,7 +26,6 @@ class Subwords:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.size = len(table)
         self.encoding = tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self.ids = HashMemo(lambda w: tuple(self.encoding.encode_ordinary(w)), limit=300_000)
         self.counts = HashMemo(lambda w: len(self.encoding.encode_ordinary(w)), limit=400_000)
 
     @staticmethod
@@ -41,11 +40,3 @@ class Subwords:
             return 0
         pieces = self._pieces(text)
         return len(self.encoding.encode_ordinary(text)) if pieces is None else sum(map(self.counts.__getitem__, pieces))
-
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        pieces = self._pieces(text)
-        if pieces is None:
-            return self.encoding.encode_ordinary(text)
-        return [i for p in map(self.ids.__getitem__, pieces) for i in p]
