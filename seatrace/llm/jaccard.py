@@ -5,7 +5,11 @@ den * |A and B| >= num * |A or B|. Equal sets are one representative from the st
 
 Prefixes. With a tokens and threshold t, at most d = floor(a (1 - t)) of a set's tokens are missing from a partner. Both
 prefixes are extended until they must hold k common tokens. So a set with fewer than k prefix tokens that any other prefix
-holds has no partner; this is applied twice and leaves hardly more than near duplicates.
+holds has no partner; this is applied to all sets and then within cells, and leaves hardly more than near duplicates.
+
+Cells. Linked sets are about equally long. Lengths fall into classes so that linked sets are in the same class or in
+neighbouring ones; a set goes to the cell of its own class and to the one after it, so linked sets meet in a cell. All
+that follows happens within cells, so that passages shared by texts of all lengths don't tie them into one group.
 
 Index. Tokens that few prefixes hold are indexed alone. Where all common tokens are frequent ones, some two neighbours
 among them have at most GAP other frequent tokens between them on both sides (k is chosen so that the pigeonhole
@@ -25,10 +29,11 @@ null ids are left out of links.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,7 +127,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     same = ["n", "s1", "s2"]
     first = written(linkable.groupBy(*same).agg(F.min("doc").alias("rep")), "classes")
     reps = linkable.join(first, same).where("doc = rep").select("doc", "n", "need", "prefix").dropDuplicates(["doc"])
-    edges = _links(_groups(reps), texts, shingle, num, den)
+    edges = _links(_groups(reps, num, den), texts, shingle, num, den)
     components = connected_components(edges, "near")
 
     classes = first.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, "rep", F.coalesce("component", "rep").alias("component"))
@@ -130,28 +135,39 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc").alias("representative"), F.coalesce("component", "doc").alias("component_id"))
 
 
-def _shared(reps: DataFrame, name: str) -> DataFrame:
-    """(doc, n, need, prefix, dfs): prefixes without the tokens that no other prefix holds; sets with too few of them go."""
-    token = reps.select("doc", "n", "need", F.explode("prefix").alias("token"))
-    often = token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = token.join(often, "token").groupBy("doc", "n", "need").agg(F.array_sort(F.collect_list(F.struct("token", "df"))).alias("t"))
+def level(n: Column, num: int, den: int) -> Column:
+    """Length class of a set of n tokens: sets that can be linked are in the same class or in neighbouring ones."""
+    if num >= den:
+        return n.cast("bigint")
+    return F.floor(F.log(n) / F.lit(math.log(den / num) * (1 + 1e-9) + 1e-9)).cast("bigint")
+
+
+def _shared(reps: DataFrame, own: list[str], name: str) -> DataFrame:
+    """(own, need, prefix, dfs): prefixes without the tokens that no other prefix (of the cell) holds; sets with too few of them go."""
+    of = ["token", *(c for c in own if c == "cell")]
+    token = reps.select(*own, "need", F.explode("prefix").alias("token"))
+    often = token.groupBy(*of).agg(F.count("*").alias("df")).where("df > 1")
+    held = token.join(often, of).groupBy(*own, "need").agg(F.array_sort(F.collect_list(F.struct("token", "df"))).alias("t"))
     kept = held.where(F.size("t") >= F.col("need"))
-    return written(kept.select("doc", "n", "need", F.col("t.token").alias("prefix"), F.col("t.df").alias("dfs")), name)
+    return written(kept.select(*own, "need", F.col("t.token").alias("prefix"), F.col("t.df").alias("dfs")), name)
 
 
-def _groups(reps: DataFrame) -> DataFrame:
-    """(node, component, n): sets that share index entries, by group."""
-    sets = _shared(_shared(reps, "prefixes"), "prefixes")
+def _groups(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc, component, n): sets that share index entries, by group. A set is in the groups of two cells at most."""
+    some = _shared(reps, ["doc", "n"], "prefixes")
+    mine = level(F.col("n"), num, den)
+    sets = _shared(some.withColumn("cell", F.explode(F.array(mine, mine + 1))), ["doc", "n", "cell"], "cells")
     at = F.sequence(F.lit(1), F.size("prefix"))
     rare = F.transform(F.filter(at, lambda i: F.element_at("dfs", i) <= RARE), lambda i: F.element_at("prefix", i))
     frequent = F.transform(F.filter(at, lambda i: F.element_at("dfs", i) > RARE), lambda i: F.element_at("prefix", i))
-    split = sets.select("doc", "n", rare.alias("rare"), frequent.alias("frequent"))
+    node = F.xxhash64("doc", "cell").alias("node")  # should two nodes ever be the same, two groups are one: no link is lost
+    split = sets.select(node, "cell", rare.alias("rare"), frequent.alias("frequent"))
     firsts = F.when(F.size("frequent") > 1, F.sequence(F.lit(1), F.size("frequent") - 1)).otherwise(F.array().cast("array<int>"))
     pairs = F.flatten(F.transform(firsts, lambda i: F.transform(F.slice("frequent", i + 1, F.lit(GAP + 1)), lambda y: F.xxhash64(F.element_at("frequent", i), y))))
-    entries = split.select("doc", F.explode(F.concat("rare", pairs)).alias("key"))
-    centre = entries.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").drop("z")
-    stars = entries.join(centre, "key").where("doc <> a").select(F.col("doc").alias("b"), "a")
-    return connected_components(stars, "groups").join(sets.select(F.col("doc").alias("node"), "n"), "node")
+    entries = split.select("node", "cell", F.explode(F.concat("rare", pairs)).alias("key"))
+    centre = entries.groupBy("key", "cell").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
+    stars = entries.join(centre, ["key", "cell"]).where("node <> a").select(F.col("node").alias("b"), "a")
+    return connected_components(stars, "groups").join(sets.select(node, "doc", "n"), "node").select("doc", "component", "n")
 
 
 def common_tokens(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -205,9 +221,9 @@ def _links(groups: DataFrame, texts: DataFrame, shingle: int, num: int, den: int
     small = sizes.where("blocks = 1").agg(F.sum("all")).first()[0] or 0
     buckets = max(1, int(small) // BLOCK_TOKENS * 2)
     fields = [T.StructField("doc", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
-    asked = groups.select(F.col("node").alias("doc"))
+    asked = groups.select("doc").distinct()
     whole = explode_texts(texts.join(asked, "doc").dropDuplicates(["doc"]), lambda: _whole_kernel(shingle), fields, id_col="doc")
-    held = whole.join(groups.join(sizes, "component").select(F.col("node").alias("doc"), "component", "blocks"), "doc")
+    held = whole.join(groups.join(sizes, "component").select("doc", "component", "blocks"), "doc")
     own = F.pmod(F.xxhash64("doc"), "blocks")
     alone = held.where("blocks = 1").select("doc", "tokens", "component", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket"), F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(0).cast("bigint").alias("own"))
     spread = held.where("blocks > 1").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
