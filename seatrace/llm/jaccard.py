@@ -171,20 +171,24 @@ def _groups(reps: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def common_tokens(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """How many tokens each set of x has in common with each of y (sorted sets)."""
+    """How many tokens each set of x has in common with each of y (sorted sets); the diagonal doesn't count if y is x."""
     out = np.zeros((len(x), len(y)), np.float32)
     if not x or not y:
         return out
-    tokens, ids = np.unique(np.concatenate(x + y), return_inverse=True)
+    tokens, ids = np.unique(np.concatenate(x if y is x else x + y), return_inverse=True)
     cut = sum(map(len, x))
     rows_x, rows_y = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
-    ids_x, ids_y = ids[:cut], ids[cut:]
-    both = np.flatnonzero((np.bincount(ids_x, minlength=len(tokens)) > 0) & (np.bincount(ids_y, minlength=len(tokens)) > 0))
+    ids_x, ids_y = ids[:cut], ids if y is x else ids[cut:]
+    held_x, held_y = np.bincount(ids_x, minlength=len(tokens)), np.bincount(ids_y, minlength=len(tokens))
+    both = np.flatnonzero(held_x > 1 if y is x else (held_x > 0) & (held_y > 0))
     place = np.full(len(tokens), -1)
     place[both] = np.arange(len(both))
     px, py = place[ids_x], place[ids_y]
+    in_x, in_y = px >= 0, py >= 0
+    px, py, rows_x, rows_y = px[in_x], py[in_y], rows_x[in_x], rows_y[in_y]
     for at in range(0, len(both), 4096):
-        a, b = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+        width = min(4096, len(both) - at)
+        a, b = np.zeros((len(x), width), np.float32), np.zeros((len(y), width), np.float32)
         own_x, own_y = (px >= at) & (px < at + 4096), (py >= at) & (py < at + 4096)
         a[rows_x[own_x], px[own_x] - at] = 1
         b[rows_y[own_y], py[own_y] - at] = 1
@@ -235,8 +239,9 @@ def _links(groups: DataFrame, texts: DataFrame, shingle: int, num: int, den: int
         for _, g in pdf.groupby("component"):
             i, j = g["i"].iloc[0], g["j"].iloc[0]
             x, y = g[g["own"] == i], g[g["own"] == j]
-            sets = [[np.sort(t.view(np.uint64)) for t in b["tokens"]] for b in (x, y)]
-            out += forest(x["doc"].tolist(), sets[0], y["doc"].tolist(), sets[1], num, den)
+            first = [t.view(np.uint64) for t in x["tokens"]]
+            second = first if i == j else [t.view(np.uint64) for t in y["tokens"]]
+            out += forest(x["doc"].tolist(), first, y["doc"].tolist(), second, num, den)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     parts = alone.withColumn("big", F.lit(False)).unionAll(spread.withColumn("big", F.lit(True)))
