@@ -194,6 +194,20 @@ for _how, _sql in (("left", "LEFT"), ("right", "RIGHT"), ("inner", ""), ("outer"
     _master(_how, _sql)
 
 
+def _master_whole(how):
+    """All reports with all that infer_identity finds; the queries above join a part of them with pairs by rule."""
+
+    def f(spark, d):
+        return pairing.merge_reports(reports(spark, d).select("mmsi", "timestamp", "sog"), paired(spark, d), how)
+
+    f.__name__ = f"pairing_master_whole_{how}"
+    query()(f)
+
+
+for _how in ("left", "right", "inner", "outer"):
+    _master_whole(_how)
+
+
 @query(f"SELECT a.event_id FROM ais a WHERE EXISTS (SELECT 1 FROM det d WHERE abs(epoch_us(a.timestamp) - epoch_us(d.timestamp)) <= 900e6 AND {hav('a.latitude', 'a.longitude', 'd.latitude', 'd.longitude')} <= 4000)", DET_SQL)
 def reports_near_detections(spark, d):
     return pairing.near_detections(reports(spark, d), detections(spark, d), threshold_sec=900.0, threshold_m=4000.0).select("event_id")
@@ -309,11 +323,15 @@ def parameter_grid(spark, d):
     return ships.withColumn("seconds", F.explode(F.array(F.lit(60), F.lit(300), F.lit(900)))).withColumn("metres", F.explode(F.array(F.lit(1000), F.lit(10000))))
 
 
+#: As many as the reference has: trees of the forest, rounds of boosting.
+TREES = {"rf": 100, "gbt": 149}
+
+
 def _train(kind):
     def f(spark, d):
         df = reports(spark, d).select("mmsi", "sog", "length", "width", "vessel_type", (F.col("sog") > 50).cast("double").alias("label"))
         split = learning.split_by_hash(df, "mmsi")
-        model = learning.train_trees(split.where("not is_test"), ["length", "width", "vessel_type", "sog"], "label", kind, trees=10)
+        model = learning.train_trees(split.where("not is_test"), ["length", "width", "vessel_type", "sog"], "label", kind, trees=TREES.get(kind, 1))
         return learning.confusion(model.transform(split.where("is_test")), "label", "prediction")
 
     f.__name__ = f"train_{kind}"
