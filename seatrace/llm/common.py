@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -23,15 +24,17 @@ SLICE_CHARS = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one is set only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Only a local session without one (as in tests) gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
     if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not held.isDefined():
             sc.setCheckpointDir(named)
         return named.rstrip("/")
-    held = sc._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="seatrace-checkpoint-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
@@ -42,9 +45,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # What the step shuffled isn't needed any more: executors drop it once the driver's references are collected.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._seatrace_path = path
     return out
@@ -58,6 +58,20 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def with_row_key(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(row, id, text, *keep) with a number of its own for each row.
+
+    Unique integer ids are the numbers. Where ids are null, repeated or no integers, rows are numbered and written, so
+    that a number stays with its row whatever is computed again.
+    """
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
+    if isinstance(src.schema["id"].dataType, T.IntegralType):
+        many = src.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
+        if many.isEmpty():
+            return src.select(F.col("id").cast("bigint").alias("row"), "id", "text", *keep)
+    return written(src.select(F.monotonically_increasing_id().alias("row"), "id", "text", *keep), "rows")
+
+
 def crc_bucket(id_col: str, modulus: int) -> Column:
     """crc32 of an id as text, modulo; null ids fall in no bucket (-1)."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))
@@ -75,6 +89,27 @@ def _slices(batch: pa.RecordBatch, text_at: int, limit: int) -> Iterator[pa.Reco
         yield batch.slice(begin)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small: their rows are bounded, and their bytes where this Spark knows such a bound.
+
+    Settings that the session's owner has chosen stay as they are.
+    """
+    for key, usual, own in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", None, str(8 << 20))):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(key, None)
+        if held == usual or (usual is None and held is not None and re.match(r"\d", held) and int(re.sub(r"\D", "", held)) > int(own)):
+            spark.conf.set(key, own)
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system when a task ends: Python workers live on and wait for others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_texts(
     docs: DataFrame,
     make_kernel: Callable[[], Callable[[list[str | None]], dict]],
@@ -87,25 +122,32 @@ def map_texts(
 ) -> DataFrame:
     """One output row per input row: id, the kept columns, and the fields that the kernel computes from the texts.
 
-    make_kernel runs once a task. Only the named columns are read, so further columns can't clash.
+    make_kernel runs once a task. Only the named columns are read, so further columns can't clash. A kept text column
+    goes to Python once, not twice.
     """
     clash = {id_col, *keep} & {f.name for f in fields}
     if clash:
         raise ValueError(f"kept columns clash with results: {sorted(clash)}")
-    src = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *keep)
-    schema = T.StructType([*src.schema.fields[1:], *fields])
+    once = text_col in keep and isinstance(docs.schema[text_col].dataType, T.StringType)
+    src = docs.select(*([] if once else [F.col(text_col).cast("string").alias("__text")]), id_col, *keep)
+    kept = src.schema.fields[0 if once else 1 :]
+    text_at = 1 + list(keep).index(text_col) if once else 0
+    schema = T.StructType([*kept, *fields])
     arrow = to_arrow_schema(schema)
     ship_package(docs.sparkSession)
-    n_kept = 1 + len(keep)
+    bounded_batches(docs.sparkSession)
+    n_kept, skip = len(kept), 0 if once else 1
 
     def run(batches):
         kernel = make_kernel()
         for batch in batches:
-            for part in _slices(batch, 0, slice_chars):
-                got = kernel(part.column(0).to_pylist())
-                cols = [part.column(1 + i).cast(arrow.field(i).type) for i in range(n_kept)]
+            for part in _slices(batch, text_at, slice_chars):
+                got = kernel(part.column(text_at).to_pylist())
+                cols = [part.column(skip + i).cast(arrow.field(i).type) for i in range(n_kept)]
                 cols += [pa.array(got[f.name], type=arrow.field(n_kept + i).type) for i, f in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        del kernel
+        release_memory()
 
     return src.mapInArrow(run, schema)
 
@@ -124,6 +166,7 @@ def explode_texts(
     schema = T.StructType(list(fields))
     arrow = to_arrow_schema(schema)
     ship_package(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         kernel = make_kernel()
@@ -131,6 +174,8 @@ def explode_texts(
             for part in _slices(batch, 0, slice_chars):
                 got = kernel(part.column(1).to_pylist(), part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=arrow.field(i).type) for i, f in enumerate(fields)], schema=arrow)
+        del kernel
+        release_memory()
 
     return src.mapInArrow(run, schema)
 
@@ -215,23 +260,27 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
 
     Alternating large-star and small-star steps: every step keeps connectivity, rows never outnumber the edges, and a
     long chain takes a number of rounds that is logarithmic in its length. Each round is written to the checkpoint
-    folder. A hub's neighbours are only aggregated (a minimum) and joined, never gathered.
+    folder and the one before it deleted. A hub's neighbours are only aggregated (a minimum) and joined, never gathered;
+    minima are written before they are joined, so that both sides of the join are plain shuffles, which adaptive
+    execution splits where a hub makes them uneven.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur = written(pairs, name)
     before = None
     for _ in range(max_rounds):
-        both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        step = large.join(small_low, "u")
-        small = step.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        cur = written(small, name)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
+        both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}-large")
+        small_low = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
+        step = large.join(small_low, "u")
+        small = step.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        after = written(small, name)
+        discard(cur, low, large, small_low)
+        cur = after
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -3,46 +3,52 @@
 A document is its set of distinct word shingles, hashed to 64 bits and ordered by hash. Two sets are linked when
 den * |A and B| >= num * |A or B|. Equal sets are one representative from the start.
 
-Prefixes. With a tokens and threshold t, at most d = floor(a (1 - t)) of a set's tokens are missing from a partner. Both
-prefixes are extended until they must hold k common tokens. So a set with fewer than k prefix tokens that any other prefix
-holds has no partner; this is applied to all sets and then within cells, and leaves hardly more than near duplicates.
-
-Cells. Linked sets are about equally long. Lengths fall into classes so that linked sets are in the same class or in
-neighbouring ones; a set goes to the cell of its own class and to the one after it, so linked sets meet in a cell. All
-that follows happens within cells, so that passages shared by texts of all lengths don't tie them into one group.
-
-Index. Tokens that few prefixes hold are indexed alone. Where all common tokens are frequent ones, some two neighbours
-among them have at most GAP other frequent tokens between them on both sides (k is chosen so that the pigeonhole
-principle says so); so frequent tokens are indexed in combinations of two that are at most GAP apart. Every linked pair
-shares a rare token or such a combination: nothing is lost.
-
-Verification. Sets that share index entries, directly or through others, form a group: components over a star for each
-entry, never its pairs. Whole sets of a group meet in blocks of bounded size, each pair of blocks in a task of its own;
-common tokens are counted there by matrix products, and a block pair returns a spanning forest of its links. Rows stay in
-proportion to the input; only the arithmetic inside very large groups of copies near the threshold grows faster.
+Prefixes. Linked sets of a and b tokens differ in D = a (den - num) / num tokens at most. Tokens fall into classes by
+ranges of their hashes, and a set's prefix is extended class by class until it holds D + SHARED classes that aren't
+empty. At most D of them hold a token that a partner lacks or adds; so the two prefixes have SHARED classes with exactly
+the same tokens. How wide classes are follows from a set's size alone (about LOAD tokens each); a set whose larger
+partners have finer classes is indexed by those, too.
+
+Index. A class of a long set is indexed by the combination of all its tokens. In short sets each token is a class of its
+own: tokens that few sets hold (RARE at most) are indexed alone, frequent ones in combinations of two. Every linked pair
+shares an entry: nothing is lost. A set with fewer entries held by others than any linked pair shares goes at once.
+
+Verification is of candidates, by counting the common tokens of whole sets. Each set is held against the two centres
+(the smallest and the largest set of an entry) with which it shares most entries; that links nearly all of a group of
+copies without its pairs. Entries whose sets are linked by then, directly or through others, are done. Of the other
+entries, the pairs of different classes in small ones are verified each, once. Large ones are joined to groups, whose whole
+sets meet in blocks of bounded size, each pair of blocks in a task of its own; there common tokens are counted by matrix
+products, and a block pair returns a spanning forest of its links. Rows stay in proportion to the input but for the
+blocks of a large group whose sets share entries and yet aren't linked to its centres.
 
 Edge cases: null and empty texts have no set and are linked with nothing; texts of fewer words than a shingle are one
-shingle; repeated rows have equal sets and are linked; ids must be integers and rows with the same id are one document;
-null ids are left out of links.
+shingle; repeated rows have equal sets and are linked; rows with equal ids are documents of their own and keep a row
+each; null ids are linked by their texts, and a class without any id has a null one.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashMemo, connected_components, explode_texts, ship_package, written
+from .common import HashMemo, connected_components, discard, explode_texts, ship_package, with_row_key, written
 
-#: Frequent tokens that may stand between the two of a combination.
-GAP = 3
-#: A token in more prefixes than this is frequent.
+#: Entries that linked sets are made to share.
+SHARED = 3
+#: Tokens of a class, about; finer where a set would have too few classes.
+LOAD = 6.0
+#: Sets of fewer tokens have a class for each token; that is 64 bits of the hash.
+SHORT, EACH = 48, 64
+#: A token held by more short sets than this is frequent.
 RARE = 4
+#: An open entry of so many sets at most has its pairs verified.
+FEW = 8
 #: A block holds sets of about so many tokens together; a set counts at least LEAST.
 BLOCK_TOKENS, LEAST = 1 << 21, 1 << 10
 
@@ -78,32 +84,86 @@ class Shingles:
         return np.unique(h)
 
 
-def prefix(n: int, num: int, den: int) -> tuple[int, int]:
-    """(tokens of a set's prefix, k): d of the prefix's tokens may be missing from a partner, the other k aren't.
+def differing(n: int, num: int, den: int) -> int:
+    """In how many tokens a set of n and a linked one can differ, both sides together."""
+    return n * (den - num) // num
+
 
-    d is this set's allowance, e that of a partner as large as can be; k - 1 neighbours with together at most d + e
-    tokens between them include one with GAP at most.
+def class_bits(n: np.ndarray, num: int, den: int, load: float) -> np.ndarray:
+    """Leading bits of a token's hash that name its class, for sets of n tokens; EACH where each token is a class.
+
+    The widest classes, of `load` tokens at most, of which so many aren't empty that the prefix ends (by six standard
+    deviations).
     """
-    d = n - -(-n * num // den)
-    e = n * (den - num) // num
-    size = min(n, d + (d + e) // (GAP + 1) + 2)
-    return size, size - d
+    n = np.asarray(n, np.float64)
+    want = n * (den - num) // num + SHARED
+    out = np.full(len(n), EACH)
+    if load <= 0:
+        return out
+    first = np.ceil(np.log2(np.maximum(n / load, 1)))
+    for more in (3, 2, 1, 0):
+        m = 2.0 ** (first + more)
+        share = np.exp(-n / m)
+        filled, spread = m * (1 - share), np.sqrt(np.maximum(m * (share - (1 + n / m) * share * share), 0))
+        out = np.where((n >= SHORT) & (filled - 6 * spread >= want), first + more, out).astype(np.int64)
+    return out
 
 
-_SETS = [T.StructField(c, T.LongType()) for c in ("doc", "n", "s1", "s2", "need")] + [T.StructField("prefix", T.ArrayType(T.LongType()))]
+class Keys:
+    """The index keys of sets: (keys, how many any linked pair shares, whether the prefix could be filled)."""
 
+    def __init__(self, num: int, den: int, load: float):
+        self.num, self.den, self.load = num, den, load
+        self.known = class_bits(np.arange(1 << 16), num, den, load)
+
+    def bits(self, least: int, most: int) -> list[int]:
+        own = self.known[least : most + 1] if most < len(self.known) else class_bits(np.arange(least, most + 1), self.num, self.den, self.load)
+        return np.unique(own).tolist()
+
+    def __call__(self, s: np.ndarray):
+        n, num, den = len(s), self.num, self.den
+        d = differing(n, num, den)
+        if not d:
+            return s[:0], 0, True  # linked with equal sets only
+        least = -(-n * num // den)  # the smallest partner
+        out, filled = [], True
+        for bits in self.bits(n, n * den // num):
+            if bits == EACH:
+                # Of a set's own tokens n - least are missing from a partner at most.
+                out.append(_mix(s[: n - least + SHARED] ^ _B) | np.uint64(1))
+                continue
+            cls = s >> np.uint64(64 - bits)
+            first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+            if len(first) < d + (SHARED if n >= 4 * SHORT else 1):
+                filled = False
+            sums = np.add.reduceat(_mix(s), first[: d + SHARED + 1])
+            out.append(_mix((sums if len(first) <= d + SHARED else sums[:-1]) ^ np.uint64(bits)) & ~np.uint64(1))
+        # Short sets: of n - missing + SHARED tokens at least so many are common ones.
+        shared = SHARED if least >= 4 * SHORT else 1
+        return np.unique(np.concatenate(out)), shared, filled
+
+
+def common_least(n: int, num: int, den: int) -> int:
+    """How many of the tokens that two linked short sets index are common, n being the larger set's tokens."""
+    small = -(-n * num // den)
+    return min(-(-small * num // den), SHARED)
+
+
+_SETS = [T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())]
+_SETS += [T.StructField("need", T.LongType()), T.StructField("alone", T.BooleanType()), T.StructField("filled", T.BooleanType()), T.StructField("keys", T.ArrayType(T.LongType()))]
 
-def _set_kernel(size: int, num: int, den: int):
-    shingles = Shingles(size)
+
+def _set_kernel(size: int, num: int, den: int, load: float):
+    shingles, keys = Shingles(size), Keys(num, den, load)
 
     def run(ids, texts):
         out = {f.name: [] for f in _SETS}
         for i, t in zip(ids, texts, strict=True):
             s = shingles(t)
-            n = len(s)
             digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-            least = min(prefix(n, num, den)[1], prefix(-(-n * num // den), num, den)[1])  # of this set and its smallest partner
-            for name, x in (("doc", i), ("n", n), ("s1", digest[0]), ("s2", digest[1]), ("need", least), ("prefix", s[: prefix(n, num, den)[0]].view(np.int64))):
+            own, need, filled = keys(s)
+            alone = common_least(len(s), num, den) < 2  # too few common tokens for a combination of two
+            for name, x in (("row", i), ("n", len(s)), ("s1", digest[0]), ("s2", digest[1]), ("need", need), ("alone", alone), ("filled", filled), ("keys", own.view(np.int64))):
                 out[name].append(x)
         return out
 
@@ -114,60 +174,135 @@ def _whole_kernel(size: int):
     shingles = Shingles(size)
 
     def run(ids, texts):
-        return {"doc": ids, "tokens": [shingles(t).view(np.int64) for t in texts]}
+        return {"row": ids, "tokens": [shingles(t).view(np.int64) for t in texts]}
 
     return run
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles, representative (smallest id with the same set) and component_id (smallest id linked)."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    sets = written(explode_texts(texts, lambda: _set_kernel(shingle, num, den), _SETS, id_col="doc"), "sets")
-    linkable = sets.where("n > 0 and doc is not null")
+    rows = with_row_key(docs, id_col, text_col)
+    texts = rows.select("row", "text")
+    load = LOAD
+    while True:
+        sets = written(explode_texts(texts, lambda at=load: _set_kernel(shingle, num, den, at), _SETS, id_col="row"), "sets")
+        if load <= 0 or sets.where("not filled").isEmpty():
+            break
+        discard(sets)  # classes too wide for some set: finer ones, in the end a class for each token
+        load = load / 4 if load > 1 else 0.0
     same = ["n", "s1", "s2"]
-    first = written(linkable.groupBy(*same).agg(F.min("doc").alias("rep")), "classes")
-    reps = linkable.join(first, same).where("doc = rep").select("doc", "n", "need", "prefix").dropDuplicates(["doc"])
-    edges = _links(_groups(reps, num, den), texts, shingle, num, den)
-    components = connected_components(edges, "near")
-
-    classes = first.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, "rep", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc", *same).join(classes, same, "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc").alias("representative"), F.coalesce("component", "doc").alias("component_id"))
-
-
-def level(n: Column, num: int, den: int) -> Column:
-    """Length class of a set of n tokens: sets that can be linked are in the same class or in neighbouring ones."""
-    if num >= den:
-        return n.cast("bigint")
-    return F.floor(F.log(n) / F.lit(math.log(den / num) * (1 + 1e-9) + 1e-9)).cast("bigint")
-
-
-def _shared(reps: DataFrame, own: list[str], name: str) -> DataFrame:
-    """(own, need, prefix, dfs): prefixes without the tokens that no other prefix (of the cell) holds; sets with too few of them go."""
-    of = ["token", *(c for c in own if c == "cell")]
-    token = reps.select(*own, "need", F.explode("prefix").alias("token"))
-    often = token.groupBy(*of).agg(F.count("*").alias("df")).where("df > 1")
-    held = token.join(often, of).groupBy(*own, "need").agg(F.array_sort(F.collect_list(F.struct("token", "df"))).alias("t"))
-    kept = held.where(F.size("t") >= F.col("need"))
-    return written(kept.select(*own, "need", F.col("t.token").alias("prefix"), F.col("t.df").alias("dfs")), name)
-
-
-def _groups(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """(doc, component, n): sets that share index entries, by group. A set is in the groups of two cells at most."""
-    some = _shared(reps, ["doc", "n"], "prefixes")
-    mine = level(F.col("n"), num, den)
-    sets = _shared(some.withColumn("cell", F.explode(F.array(mine, mine + 1))), ["doc", "n", "cell"], "cells")
-    at = F.sequence(F.lit(1), F.size("prefix"))
-    rare = F.transform(F.filter(at, lambda i: F.element_at("dfs", i) <= RARE), lambda i: F.element_at("prefix", i))
-    frequent = F.transform(F.filter(at, lambda i: F.element_at("dfs", i) > RARE), lambda i: F.element_at("prefix", i))
-    node = F.xxhash64("doc", "cell").alias("node")  # should two nodes ever be the same, two groups are one: no link is lost
-    split = sets.select(node, "cell", rare.alias("rare"), frequent.alias("frequent"))
-    firsts = F.when(F.size("frequent") > 1, F.sequence(F.lit(1), F.size("frequent") - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.flatten(F.transform(firsts, lambda i: F.transform(F.slice("frequent", i + 1, F.lit(GAP + 1)), lambda y: F.xxhash64(F.element_at("frequent", i), y))))
-    entries = split.select("node", "cell", F.explode(F.concat("rare", pairs)).alias("key"))
-    centre = entries.groupBy("key", "cell").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
-    stars = entries.join(centre, ["key", "cell"]).where("node <> a").select(F.col("node").alias("b"), "a")
-    return connected_components(stars, "groups").join(sets.select(node, "doc", "n"), "node").select("doc", "component", "n")
+    first = written(sets.where("n > 0").groupBy(*same).agg(F.min("row").alias("rep"), *[F.any_value(c).alias(c) for c in ("need", "alone", "keys")]), "classes")
+    sets = sets.select("row", *same)
+    links = _links(_entries(first), texts, shingle, num, den)
+    components = connected_components(links, "near")
+
+    classes = first.select(*same, "rep").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, "rep", F.coalesce("component", "rep").alias("component"))
+    named = sets.join(classes, same, "left").select("row", "n", F.coalesce("rep", "row").alias("rep"), F.coalesce("component", "row").alias("component"))
+    if rows.schema["id"].dataType == T.LongType() and not hasattr(rows, "_seatrace_path"):  # rows are their ids
+        return named.select(F.col("row").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.col("component").alias("component_id"))
+    named = written(named.join(rows.select("row", "id"), "row"), "named")
+    least = lambda by: written(named.groupBy(by).agg(F.min("id").alias(f"{by}_id")), by)
+    out = named.join(least("rep"), "rep").join(least("component"), "component")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep_id").alias("representative"), F.col("component_id"))
+
+
+def _held(index: DataFrame, name: str) -> DataFrame:
+    """(rep, need, alone, keys): the keys that other sets hold, too, with how many hold them; sets with too few of them go."""
+    held = written(index.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), f"{name}-held")
+    kept = index.join(held, "key").groupBy("rep", "need", "alone").agg(F.collect_list(F.struct("key", "df")).alias("keys")).where(F.size("keys") >= F.col("need"))
+    out = written(kept, name)
+    discard(held)
+    return out
+
+
+def _entries(first: DataFrame) -> DataFrame:
+    """(key, rep, need): the index. A set has a bounded number of rows here, D + SHARED for each width of its classes."""
+    some = _held(first.select("rep", "need", "alone", F.explode("keys").alias("key")), "some")
+    near = _held(some.select("rep", "need", "alone", F.explode("keys.key").alias("key")), "near")
+    discard(some)
+    of_short = lambda k: (k["key"].bitwiseAND(F.lit(1)) == 1) & (k["df"] > RARE)
+    often = F.transform(F.array_sort(F.filter("keys", of_short)), lambda k: k["key"])
+    split = near.select("rep", "need", F.filter("keys", lambda k: ~of_short(k) | F.col("alone"))["key"].alias("plain"), often.alias("often"))
+    at = F.when(F.size("often") > 1, F.sequence(F.lit(1), F.size("often") - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.flatten(F.transform(at, lambda i: F.transform(F.slice("often", i + 1, F.size("often")), lambda y: F.xxhash64(F.element_at("often", i), y))))
+    return written(split.select("rep", "need", F.explode(F.array_distinct(F.concat("plain", pairs))).alias("key")), "entries")
+
+
+def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """The linked ones among pairs (a, b), each counted once; both joins are plain shuffles, so hot centres are split."""
+    own = pairs.join(tokens.select(F.col("row").alias("a"), F.col("tokens").alias("x")), "a")
+    both = own.join(tokens.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y")).cast("bigint")
+    return both.where(F.lit(den) * common >= F.lit(num) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _links(entries: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(a, b): verified links that connect all linked sets."""
+    fields = [T.StructField("row", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
+    asked = entries.select(F.col("rep").alias("row")).distinct()
+    tokens = written(explode_texts(texts.join(asked, "row", "left_semi"), lambda: _whole_kernel(shingle), fields, id_col="row"), "tokens")
+
+    # Each set against its centres.
+    centres = written(entries.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high"), "centres")
+    held = written(entries.join(centres, "key"), "centred")
+    ends = held.select("rep", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("low").alias("c")), F.struct(F.lit(1).alias("kind"), F.col("high").alias("c")))).alias("e")).where("e.c <> rep")
+    most = ends.groupBy("rep", "e.kind", "e.c").agg(F.count("*").alias("n")).groupBy("rep", "kind").agg(F.max(F.struct("n", "c")).alias("best"))
+    pairs = most.select(F.least("rep", "best.c").alias("a"), F.greatest("rep", "best.c").alias("b")).distinct()
+    found = [written(_verified(pairs, tokens, num, den), "to-centres")]
+
+    # Entries that hold sets of several classes are still open.
+    label = written(connected_components(found[0], "linked"), "labels")
+    told = held.select("key", "rep", "need").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    told = written(told.select("key", "rep", "need", F.coalesce("component", "rep").alias("label")), "told")
+    open_ = written(told.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("sets")).where("l <> h").select("key", "sets"), "open")
+    left = written(told.join(open_, "key"), "left")
+    discard(centres, held, told, label)
+
+    # A pair that is in no large open entry shares as many small ones as any linked pair does.
+    member = F.sort_array(F.collect_list(F.struct("rep", "label", "need")))
+    small = left.where(F.col("sets") <= FEW).groupBy("key").agg(member.alias("m"))
+    two = F.flatten(F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: F.transform(F.slice("m", i + 1, F.size("m")), lambda y: F.struct(F.element_at("m", i).alias("x"), y.alias("y")))))
+    few = small.select(F.explode(two).alias("p")).where("p.x.label <> p.y.label").groupBy(F.col("p.x.rep").alias("a"), F.col("p.y.rep").alias("b"))
+    few = few.agg(F.count("*").alias("n"), F.min(F.least("p.x.need", "p.y.need")).alias("need")).where("n >= need").select("a", "b")
+    found.append(written(_verified(few, tokens, num, den), "pairs"))
+
+    large = left.where(F.col("sets") > FEW)
+    if not large.isEmpty():
+        hubs = written(large.groupBy("key").agg(F.min("rep").alias("a")), "hubs")
+        stars = large.join(hubs, "key").where("rep <> a").select(F.col("rep").alias("b"), "a")
+        found.append(_in_blocks(connected_components(stars, "groups"), tokens, num, den))
+        discard(hubs)
+    discard(left, open_)
+    return reduce(DataFrame.unionAll, found)
+
+
+def _in_blocks(groups: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that connect all linked sets within each group (node, component), found by pairs of blocks."""
+    sized = groups.select(F.col("node").alias("row"), "component").join(tokens.select("row", F.size("tokens").alias("n")), "row")
+    groups = written(sized.withColumn("weight", F.greatest(F.col("n"), F.lit(LEAST)).cast("bigint")), "groups")
+    sizes = written(groups.groupBy("component").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).alias("blocks"), F.sum("weight").alias("all")), "sizes")
+    small = sizes.where("blocks = 1").agg(F.sum("all")).first()[0] or 0
+    buckets = max(1, int(small) // BLOCK_TOKENS * 2)
+    held = tokens.join(groups.join(sizes, "component").select("row", "component", "blocks"), "row")
+    own = F.pmod(F.xxhash64("row"), "blocks")
+    zero = F.lit(0).cast("bigint")
+    alone = held.where("blocks = 1").select("row", "tokens", "component", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket"), zero.alias("i"), zero.alias("j"), zero.alias("own"))
+    spread = held.where("blocks > 1").withColumn("own", own).withColumn("o", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    spread = spread.select("row", "tokens", "component", F.col("component").alias("bucket"), F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own")
+    ship_package(tokens.sparkSession)
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in pdf.groupby("component"):
+            i, j = g["i"].iloc[0], g["j"].iloc[0]
+            x, y = g[g["own"] == i], g[g["own"] == j]
+            first = [t.view(np.uint64) for t in x["tokens"]]
+            second = first if i == j else [t.view(np.uint64) for t in y["tokens"]]
+            out += forest(x["row"].tolist(), first, y["row"].tolist(), second, num, den)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    parts = alone.withColumn("big", F.lit(False)).unionAll(spread.withColumn("big", F.lit(True)))
+    return written(parts.groupBy("big", "bucket", "i", "j").applyInPandas(link, "a long, b long"), "links")
 
 
 def common_tokens(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -218,36 +353,6 @@ def forest(docs_x, x, docs_y, y, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def _links(groups: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """(a, b): verified links that connect all linked sets."""
-    groups = written(groups.withColumn("weight", F.greatest(F.col("n"), F.lit(LEAST))), "groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).alias("blocks"), F.sum("weight").alias("all"))
-    small = sizes.where("blocks = 1").agg(F.sum("all")).first()[0] or 0
-    buckets = max(1, int(small) // BLOCK_TOKENS * 2)
-    fields = [T.StructField("doc", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
-    asked = groups.select("doc").distinct()
-    whole = explode_texts(texts.join(asked, "doc").dropDuplicates(["doc"]), lambda: _whole_kernel(shingle), fields, id_col="doc")
-    held = whole.join(groups.join(sizes, "component").select("doc", "component", "blocks"), "doc")
-    own = F.pmod(F.xxhash64("doc"), "blocks")
-    alone = held.where("blocks = 1").select("doc", "tokens", "component", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket"), F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(0).cast("bigint").alias("own"))
-    spread = held.where("blocks > 1").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    spread = spread.select("doc", "tokens", "component", F.col("component").alias("bucket"), F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own")
-    ship_package(texts.sparkSession)
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in pdf.groupby("component"):
-            i, j = g["i"].iloc[0], g["j"].iloc[0]
-            x, y = g[g["own"] == i], g[g["own"] == j]
-            first = [t.view(np.uint64) for t in x["tokens"]]
-            second = first if i == j else [t.view(np.uint64) for t in y["tokens"]]
-            out += forest(x["doc"].tolist(), first, y["doc"].tolist(), second, num, den)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    parts = alone.withColumn("big", F.lit(False)).unionAll(spread.withColumn("big", F.lit(True)))
-    return written(parts.groupBy("big", "bucket", "i", "j").applyInPandas(link, "a long, b long"), "links")
-
-
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, shingle=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
@@ -255,17 +360,17 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH RECURSIVE doc AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sh AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM doc WHERE len(w) > 0)
-), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+  SELECT DISTINCT r, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM doc WHERE len(w) > 0)
+), n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
 often AS (SELECT s FROM sh GROUP BY s HAVING count(*) > 1),
-sm AS (SELECT doc_id, s FROM sh SEMI JOIN often USING (s)),
-pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sm a JOIN sm b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-link AS (SELECT x, y FROM pair JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+sm AS (SELECT r, s FROM sh SEMI JOIN often USING (s)),
+pair AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sm a JOIN sm b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
 sym AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
 reach(x, y) AS (SELECT x, y FROM sym UNION SELECT r.x, s.y FROM reach r JOIN sym s ON r.y = s.x)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(r.m, d.doc_id)) AS BIGINT) AS component_id
-FROM doc d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) r ON r.x = d.doc_id
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, m.m) AS BIGINT) AS component_id
+FROM doc d LEFT JOIN n USING (r) LEFT JOIN (SELECT reach.x, min(o.doc_id) AS m FROM reach JOIN doc o ON o.r = reach.y GROUP BY reach.x) m ON m.x = d.r
 """
