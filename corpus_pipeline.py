@@ -13,7 +13,7 @@ from seatrace.llm.common import written
 from seatrace.llm.decontamination import decontaminate
 from seatrace.llm.jaccard import near_duplicates
 from seatrace.llm.packing import pack_documents
-from seatrace.llm.repeats import cut_repeats, repeated_spans
+from seatrace.llm.repeats import cut_repeats
 from seatrace.llm.toxicity import fit, score_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,9 +32,11 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 words or more that also stand elsewhere; documents stay, if need be with empty texts."""
-    spans = repeated_spans(docs, threshold=50, unit="word")
-    cut = cut_repeats(docs.withColumn("was_null", F.isnull("text")), spans, unit="word", keep=["lang", "source", "was_null"])
+    """Texts without passages of 50 words or more that also stand elsewhere; documents stay, if need be with empty texts.
+
+    Null texts stay null; rows with equal or null ids are documents of their own.
+    """
+    cut = cut_repeats(docs.withColumn("was_null", F.isnull("text")), threshold=50, unit="word", keep=["lang", "source", "was_null"])
     text = F.when(~F.col("was_null"), F.decode("kept", "UTF-8"))
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("bigint").alias("n_chars"))
 
