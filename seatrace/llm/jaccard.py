@@ -179,9 +179,8 @@ def _whole_kernel(size: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, representative (smallest id with the same set) and component_id (smallest id linked)."""
-    rows = with_row_key(docs, id_col, text_col)
+def _classes(rows: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(row, n, rep, component) of rows (row, text): the set's size, the smallest row with the same set, the smallest row linked."""
     texts = rows.select("row", "text")
     load = LOAD
     while True:
@@ -192,20 +191,37 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
         load = load / 4 if load > 1 else 0.0
     same = ["n", "s1", "s2"]
     first = written(sets.where("n > 0").groupBy(*same).agg(F.min("row").alias("rep"), *[F.any_value(c).alias(c) for c in ("need", "alone", "keys")]), "classes")
-    sets = sets.select("row", *same)
-    links = _links(_entries(first), texts, shingle, num, den)
-    components = connected_components(links, "near")
-
+    components = connected_components(_links(_entries(first), texts, shingle, num, den), "near")
     classes = first.select(*same, "rep").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, "rep", F.coalesce("component", "rep").alias("component"))
-    named = sets.join(classes, same, "left").select("row", "n", F.coalesce("rep", "row").alias("rep"), F.coalesce("component", "row").alias("component"))
-    if rows.schema["id"].dataType == T.LongType() and not hasattr(rows, "_seatrace_path"):  # rows are their ids
-        return named.select(F.col("row").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.col("component").alias("component_id"))
+    return sets.select("row", *same).join(classes, same, "left").select("row", "n", F.coalesce("rep", "row").alias("rep"), F.coalesce("component", "row").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, n_shingles, representative (smallest id with the same set) and component_id (smallest id linked)."""
+    rows = with_row_key(docs, id_col, text_col)
+    named = _classes(rows, shingle, num, den)
+    if not hasattr(rows, "_seatrace_path"):  # ids are unique: rows are their ids
+        kind = docs.schema[id_col].dataType
+        return named.select(F.col("row").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").cast(kind).alias("representative"), F.col("component").cast(kind).alias("component_id"))
     named = written(named.join(rows.select("row", "id"), "row"), "named")
     least = lambda by: written(named.groupBy(by).agg(F.min("id").alias(f"{by}_id")), by)
     out = named.join(least("rep"), "rep").join(least("component"), "component")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep_id").alias("representative"), F.col("component_id"))
 
 
+def without_near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class: that of the smallest id; where ids are repeated or null, one of the class's rows.
+
+    All columns stay; rows without any word are linked with nothing and stay.
+    """
+    names = docs.columns
+    alias = {c: f"__k{i}" for i, c in enumerate(names)}
+    renamed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(x) for c, x in alias.items()])
+    rows = with_row_key(renamed, "id", "text", list(alias.values()))
+    gone = _classes(rows, shingle, num, den).where("component <> row").select("row")
+    return rows.join(gone, "row", "left_anti").select(*[F.col(x).alias(c) for c, x in alias.items()])
+
+
 def _held(index: DataFrame, name: str) -> DataFrame:
     """(rep, need, alone, keys): the keys that other sets hold, too, with how many hold them; sets with too few of them go."""
     held = written(index.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), f"{name}-held")
@@ -354,6 +370,10 @@ def forest(docs_x, x, docs_y, y, num: int, den: int) -> list[tuple[int, int]]:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """Per document: n_shingles and component_id, for shingles of three words and a similarity of 0.9.
+
+    Texts that are null or have no words have no shingles and are components of their own; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, shingle=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
