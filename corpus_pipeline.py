@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seatrace.llm.common import written
 from seatrace.llm.decontamination import decontaminate
-from seatrace.llm.jaccard import near_duplicates
+from seatrace.llm.jaccard import without_near_duplicates
 from seatrace.llm.packing import pack_documents
 from seatrace.llm.repeats import cut_repeats
 from seatrace.llm.toxicity import fit, score_toxicity
@@ -20,15 +20,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those at or above their language's toxicity threshold. The fit learns from all labels there are."""
+    """Documents without those at or above their language's toxicity threshold. The fit learns from all labels there are.
+
+    Null and empty texts are scored as one padding token; a null language has the threshold of all; without labels of both
+    kinds the score is the share of label 1. Rows with equal or null ids are each judged by their own text.
+    """
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model, keep=COLUMNS[1:]).where("not flagged").select(*COLUMNS)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the smallest id. Shingles of five words, similarity 0.8."""
-    classes = near_duplicates(docs, shingle=5, num=80, den=100)
-    return docs.join(classes.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each class of near duplicates: the smallest id. Shingles of five words, similarity 0.8.
+
+    Texts that are null or have no words are in no class and stay; of rows with equal ids, each is a document of its own.
+    """
+    return without_near_duplicates(docs.select(*COLUMNS), shingle=5, num=80, den=100)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +48,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without benchmark passages; documents of which half or more is benchmark text go."""
+    """Texts without benchmark passages; documents of which half or more is benchmark text go.
+
+    Null and empty texts are hit by nothing and stay as they are; an empty benchmark changes nothing.
+    """
     clean = decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their bins."""
+    """The pieces of all documents with their bins; null and empty texts have no tokens and no piece; ties go by id."""
     return pack_documents(docs)
 
 
