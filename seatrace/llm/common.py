@@ -101,13 +101,27 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, own)
 
 
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def keep_memory() -> None:
+    """Keeps freed arrays of up to 32 MB for the next ones of this task: fresh pages cost more than small matrix products."""
+    if (libc := _libc()) is not None:
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system when a task ends: Python workers live on and wait for others."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    if (libc := _libc()) is not None:
+        libc.mallopt(-3, 128 << 10)
+        libc.mallopt(-1, 128 << 10)
+        libc.malloc_trim(0)
 
 
 def map_texts(
