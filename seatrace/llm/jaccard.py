@@ -4,14 +4,16 @@ A document is its set of distinct word shingles, hashed to 64 bits and ordered b
 den * |A and B| >= num * |A or B|. Equal sets are one representative from the start.
 
 Prefixes. Linked sets of a and b tokens differ in D = a (den - num) / num tokens at most. Tokens fall into classes by
-ranges of their hashes, and a set's prefix is extended class by class until it holds D + SHARED classes that aren't
-empty. At most D of them hold a token that a partner lacks or adds; so the two prefixes have SHARED classes with exactly
-the same tokens. How wide classes are follows from a set's size alone (about LOAD tokens each); a set whose larger
-partners have finer classes is indexed by those, too.
+ranges of their hashes, and a set's prefix is extended class by class until it holds D + J classes that aren't empty. At
+most D of them hold a token that a partner lacks or adds; so the two prefixes have J classes with exactly the same tokens
+(J is a tenth of a long set's tokens, SHARED at least). How wide classes are follows from a set's size alone (about LOAD
+tokens each); a set whose larger partners have finer classes is indexed by those, too.
 
 Index. A class of a long set is indexed by the combination of all its tokens. In short sets each token is a class of its
-own: tokens that few sets hold (RARE at most) are indexed alone, frequent ones in combinations of two. Every linked pair
-shares an entry: nothing is lost. A set with fewer entries held by others than any linked pair shares goes at once.
+own: tokens that few sets hold (RARE at most) are indexed alone, frequent ones in combinations of two. A set with fewer
+entries held by others than any linked pair shares goes at once. As linked sets share J entries, all but SHARED of a
+set's J most frequent ones can be spared: passages that many texts quote aren't indexed. Every linked pair still shares
+SHARED entries (short sets one): nothing is lost.
 
 Verification is of candidates, by counting the common tokens of whole sets. Each set is held against the two centres
 (the smallest and the largest set of an entry) with which it shares most entries; that links nearly all of a group of
@@ -45,6 +47,8 @@ SHARED = 3
 LOAD = 6.0
 #: Sets of fewer tokens have a class for each token; that is 64 bits of the hash.
 SHORT, EACH = 48, 64
+#: Sets of so many tokens can fill longer prefixes.
+LONG = 64
 #: A token held by more short sets than this is frequent.
 RARE = 4
 #: An open entry of so many sets at most has its pairs verified.
@@ -89,14 +93,19 @@ def differing(n: int, num: int, den: int) -> int:
     return n * (den - num) // num
 
 
+def joint(n):
+    """How many classes the prefix of a set of n tokens has beyond those that may differ."""
+    return np.where(n < LONG, SHARED, np.maximum(SHARED, n // 10))
+
+
 def class_bits(n: np.ndarray, num: int, den: int, load: float) -> np.ndarray:
     """Leading bits of a token's hash that name its class, for sets of n tokens; EACH where each token is a class.
 
     The widest classes, of `load` tokens at most, of which so many aren't empty that the prefix ends (by six standard
     deviations).
     """
-    n = np.asarray(n, np.float64)
-    want = n * (den - num) // num + SHARED
+    n = np.asarray(n, np.int64)
+    want = n * (den - num) // num + joint(n)
     out = np.full(len(n), EACH)
     if load <= 0:
         return out
@@ -125,22 +134,20 @@ class Keys:
         d = differing(n, num, den)
         if not d:
             return s[:0], 0, True  # linked with equal sets only
-        least = -(-n * num // den)  # the smallest partner
+        least, more = -(-n * num // den), int(joint(n))  # the smallest partner
         out, filled = [], True
         for bits in self.bits(n, n * den // num):
             if bits == EACH:
                 # Of a set's own tokens n - least are missing from a partner at most.
-                out.append(_mix(s[: n - least + SHARED] ^ _B) | np.uint64(1))
+                out.append(_mix(s[: n - least + more] ^ _B) | np.uint64(1))
                 continue
             cls = s >> np.uint64(64 - bits)
             first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-            if len(first) < d + (SHARED if n >= 4 * SHORT else 1):
+            if len(first) < d + (more if n >= LONG else 1):
                 filled = False
-            sums = np.add.reduceat(_mix(s), first[: d + SHARED + 1])
-            out.append(_mix((sums if len(first) <= d + SHARED else sums[:-1]) ^ np.uint64(bits)) & ~np.uint64(1))
-        # Short sets: of n - missing + SHARED tokens at least so many are common ones.
-        shared = SHARED if least >= 4 * SHORT else 1
-        return np.unique(np.concatenate(out)), shared, filled
+            sums = np.add.reduceat(_mix(s), first[: d + more + 1])
+            out.append(_mix((sums if len(first) <= d + more else sums[:-1]) ^ np.uint64(bits)) & ~np.uint64(1))
+        return np.unique(np.concatenate(out)), int(joint(least)) if least >= LONG else 1, filled
 
 
 def common_least(n: int, num: int, den: int) -> int:
@@ -236,6 +243,10 @@ def _entries(first: DataFrame) -> DataFrame:
     some = _held(first.select("rep", "need", "alone", F.explode("keys").alias("key")), "some")
     near = _held(some.select("rep", "need", "alone", F.explode("keys.key").alias("key")), "near")
     discard(some)
+    # The most frequent keys of a set, but for SHARED of those that linked sets share.
+    spare = F.greatest(F.col("need") - SHARED, F.lit(0)).cast("int")
+    by_df = F.transform(F.array_sort(F.transform("keys", lambda k: F.struct(k["df"].alias("df"), k["key"].alias("key")))), lambda k: F.struct(k["key"].alias("key"), k["df"].alias("df")))
+    near = near.select("rep", "alone", F.least("need", F.lit(SHARED).cast("bigint")).alias("need"), F.slice(by_df, F.lit(1), F.size("keys") - spare).alias("keys"))
     of_short = lambda k: (k["key"].bitwiseAND(F.lit(1)) == 1) & (k["df"] > RARE)
     often = F.transform(F.array_sort(F.filter("keys", of_short)), lambda k: k["key"])
     split = near.select("rep", "need", F.filter("keys", lambda k: ~of_short(k) | F.col("alone"))["key"].alias("plain"), often.alias("often"))
@@ -266,13 +277,21 @@ def _links(entries: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
     pairs = most.select(F.least("rep", "best.c").alias("a"), F.greatest("rep", "best.c").alias("b")).distinct()
     found = [written(_verified(pairs, tokens, num, den), "to-centres")]
 
-    # Entries that hold sets of several classes are still open.
+    # Entries that hold sets of several classes are still open; sets in too few of them are done, which may close others.
     label = written(connected_components(found[0], "linked"), "labels")
     told = held.select("key", "rep", "need").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    told = written(told.select("key", "rep", "need", F.coalesce("component", "rep").alias("label")), "told")
-    open_ = written(told.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("sets")).where("l <> h").select("key", "sets"), "open")
-    left = written(told.join(open_, "key"), "left")
-    discard(centres, held, told, label)
+    left = written(told.select("key", "rep", "need", F.coalesce("component", "rep").alias("label")), "told")
+    discard(centres, held, label)
+    for last in (False, True):
+        open_ = written(left.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("sets")).where("l <> h").select("key", "sets"), "open")
+        both = written(left.select("key", "rep", "need", "label").join(open_, "key"), "left")
+        discard(left, open_)
+        left = both
+        if not last:
+            enough = written(left.groupBy("rep").agg(F.count("*").alias("n"), F.min("need").alias("least")).where("n >= least").select("rep"), "enough")
+            both = written(left.join(enough, "rep"), "left")
+            discard(left, enough)
+            left = both
 
     # A pair that is in no large open entry shares as many small ones as any linked pair does.
     member = F.sort_array(F.collect_list(F.struct("rep", "label", "need")))
@@ -288,7 +307,7 @@ def _links(entries: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
         stars = large.join(hubs, "key").where("rep <> a").select(F.col("rep").alias("b"), "a")
         found.append(_in_blocks(connected_components(stars, "groups"), tokens, num, den))
         discard(hubs)
-    discard(left, open_)
+    discard(left)
     return reduce(DataFrame.unionAll, found)
 
 
