@@ -218,7 +218,7 @@ def bounded_sample(
     share = F.lit(0.0)
     for value, n in sizes.items():
         share = F.when(F.col("__label") == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
-    picked = held.where(unit < share).groupBy(id_col).agg(F.min("__label").alias("__label")).limit(2 * per_class * len(sizes))
+    picked = held.where(unit < share).groupBy(id_col).agg(F.min("__label").alias("__label"))
     rows = (
         docs.select(id_col, F.col(text_col).cast("string").alias("__text"), *carry)
         .where(F.length("__text") <= max_chars)

@@ -2,10 +2,11 @@
 
 Leaves are paragraphs: a text is cut after line ends and sentence ends, each leaf holding at least LEAF_MIN and at most
 about LEAF_MAX code points. Leaves are gathered into sections; a section ends after a leaf whose digest says so (two
-first hex digits in sixteen) or after SECTION_MAX leaves, so an edit moves bounds only nearby. A section's digest covers
-its leaves' digests, and the root covers the text's digest and all leaves.
+first hex digits in sixteen) or after SECTION_MAX leaves, so an edit moves bounds only nearby. A section's digest is that
+of its leaves' digests, and the root is that of the sections' digests, all of them whole.
 
-A fingerprint is text: the root, then the sections as `digest=leaf,leaf,...`, parted by "|". Equal texts have equal
+A fingerprint is text: the root, then the sections as `digest=leaf,leaf,...`, parted by "|", with the first digits of each
+digest but the root's. Equal texts have equal
 fingerprints and unequal texts unequal roots. Likeness is the Dice share of common leaves; differing sections, and in
 them differing leaves, locate edits.
 
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 LEAF_MIN, LEAF_MAX, SECTION_MAX = 24, 160, 32
-#: Characters kept of each digest: leaves, sections.
+#: Characters of each digest that a fingerprint shows: leaves, sections.
 LEAF_HEX, SECTION_HEX = 8, 16
 LEAF_PATTERN = rf"(?s).{{{LEAF_MIN},{LEAF_MAX}}}?[\n.!?]+|.{{1,{LEAF_MAX}}}"
-#: Runs of joined leaf digests: up to the first whose digest begins with 0 or 1, else SECTION_MAX leaves or the rest.
-SECTION_PATTERN = rf"(?:[0-9a-f]{{{LEAF_HEX}}},){{0,{SECTION_MAX - 1}}}?[01][0-9a-f]{{{LEAF_HEX - 1}}},|(?:[0-9a-f]{{{LEAF_HEX}}},){{1,{SECTION_MAX}}}"
+#: Runs of joined whole leaf digests: up to the first whose digest begins with 0 or 1, else SECTION_MAX leaves or the rest.
+SECTION_PATTERN = rf"(?:[0-9a-f]+,){{0,{SECTION_MAX - 1}}}?[01][0-9a-f]*,|(?:[0-9a-f]+,){{1,{SECTION_MAX}}}"
 
 
 def leaves(text: Column) -> Column:
@@ -35,17 +36,18 @@ def leaves(text: Column) -> Column:
     return F.when(text == "", F.array(F.lit(""))).otherwise(found)
 
 
-def leaf_digests(text: Column) -> Column:
-    """Digests of the leaves, each with a comma after it."""
-    return F.concat(F.array_join(F.transform(leaves(text), lambda x: F.substring(F.sha2(x, 256), 1, LEAF_HEX)), ","), F.lit(","))
+def leaf_digests(text: Column, shown: int = 64) -> Column:
+    """The first digits of the leaves' digests, each with a comma after it."""
+    return F.concat(F.array_join(F.transform(leaves(text), lambda x: F.substring(F.sha2(x, 256), 1, shown)), ","), F.lit(","))
 
 
-def fingerprint(text: Column, digests: Column) -> Column:
-    """The tree as text, from a text and its leaf digests."""
-    root = F.sha2(F.concat(F.sha2(text, 256), F.lit(":"), digests), 256)
-    sections = F.regexp_extract_all(digests, F.lit(SECTION_PATTERN), 0)
-    named = F.transform(sections, lambda s: F.concat(F.substring(F.sha2(s, 256), 1, SECTION_HEX), F.lit("="), s))
-    return F.regexp_replace(F.concat(root, F.lit("|"), F.array_join(named, "|")), r",(?=\||$)", "")
+def fingerprint(digests: Column) -> Column:
+    """The tree as text, from whole leaf digests."""
+    sections = F.transform(F.regexp_extract_all(digests, F.lit(SECTION_PATTERN), 0), lambda s: F.struct(F.sha2(s, 256).alias("digest"), s.alias("leaves")))
+    root = F.sha2(F.array_join(F.transform(sections, lambda s: s["digest"]), ","), 256)
+    short = lambda s: F.array_join(F.transform(F.split(F.rtrim(s, F.lit(",")), ","), lambda x: F.substring(x, 1, LEAF_HEX)), ",")
+    named = F.transform(sections, lambda s: F.concat(F.substring(s["digest"], 1, SECTION_HEX), F.lit("="), short(s["leaves"])))
+    return F.concat(root, F.lit("|"), F.array_join(named, "|"))
 
 
 def fingerprint_leaves(print_: Column) -> Column:
@@ -108,20 +110,21 @@ def with_next(docs: DataFrame, columns: list[str], *, id_col: str = "doc_id") ->
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """Per document: its fingerprint, its edited text's, and their likeness; null texts count as empty, a lone document is its own next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # Leaf digests of the plain texts are taken before the shuffle, so the next document's come along.
-    paired = with_next(docs.withColumn("digests", leaf_digests(F.col("text"))), ["text", "digests"])
+    # Short leaf digests of the plain texts are taken before the shuffle, so the next document's come along.
+    paired = with_next(docs.withColumn("digests", leaf_digests(F.col("text"), LEAF_HEX)), ["text", "digests"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = paired.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    both = edited.withColumn("edited_digests", leaf_digests(F.col("edited")))
+    both = edited.select("doc_id", "text", "edited", "next_digests", "digests", fingerprint(leaf_digests(F.col("text"))).alias("fingerprint"), fingerprint(leaf_digests(F.col("edited"))).alias("edited_fingerprint"))
     return both.select(
         "doc_id",
         n.cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text"), F.col("digests")).alias("fingerprint"),
-        fingerprint(F.col("edited"), F.col("edited_digests")).alias("edited_fingerprint"),
-        likeness(F.col("digests"), F.col("edited_digests")).alias("near_edited"),
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.col("digests"), fingerprint_leaves(F.col("edited_fingerprint"))).alias("near_edited"),
         likeness(F.col("digests"), F.col("next_digests")).alias("near_next"),
     )
 
@@ -131,15 +134,19 @@ WITH doc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 nxt AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text FROM doc),
 ed AS (SELECT *, substr(text, 1, CAST(length(text) - length(text) // 2 AS BIGINT)) || substr(next_text, 1, CAST(length(text) // 2 AS BIGINT)) AS edited FROM nxt),
 cut AS (
-  SELECT *, list_transform(CASE WHEN text = '' THEN [''] ELSE regexp_extract_all(text, '@leaf') END, lambda x: substr(sha256(x), 1, 8)) AS a,
-         list_transform(CASE WHEN edited = '' THEN [''] ELSE regexp_extract_all(edited, '@leaf') END, lambda x: substr(sha256(x), 1, 8)) AS b,
-         list_transform(CASE WHEN next_text = '' THEN [''] ELSE regexp_extract_all(next_text, '@leaf') END, lambda x: substr(sha256(x), 1, 8)) AS c
+  SELECT *, list_transform(CASE WHEN text = '' THEN [''] ELSE regexp_extract_all(text, '@leaf') END, lambda x: sha256(x)) AS a,
+         list_transform(CASE WHEN edited = '' THEN [''] ELSE regexp_extract_all(edited, '@leaf') END, lambda x: sha256(x)) AS b,
+         list_transform(CASE WHEN next_text = '' THEN [''] ELSE regexp_extract_all(next_text, '@leaf') END, lambda x: sha256(x)) AS c
   FROM ed
-), joined AS (SELECT *, array_to_string(a, ',') || ',' AS aj, array_to_string(b, ',') || ',' AS bj FROM cut)
+), joined AS (
+  SELECT *, regexp_extract_all(array_to_string(a, ',') || ',', '@section') AS sa, regexp_extract_all(array_to_string(b, ',') || ',', '@section') AS sb,
+         list_distinct(list_transform(a, lambda x: substr(x, 1, 8))) AS da, list_distinct(list_transform(b, lambda x: substr(x, 1, 8))) AS db, list_distinct(list_transform(c, lambda x: substr(x, 1, 8))) AS dc
+  FROM cut
+)
 SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
-  sha256(sha256(text) || ':' || aj) || '|' || array_to_string(list_transform(regexp_extract_all(aj, '@section'), lambda s: substr(sha256(s), 1, 16) || '=' || rtrim(s, ',')), '|') AS fingerprint,
-  sha256(sha256(edited) || ':' || bj) || '|' || array_to_string(list_transform(regexp_extract_all(bj, '@section'), lambda s: substr(sha256(s), 1, 16) || '=' || rtrim(s, ',')), '|') AS edited_fingerprint,
-  2.0::DOUBLE * len(list_intersect(list_distinct(a), list_distinct(b))) / (len(list_distinct(a)) + len(list_distinct(b))) AS near_edited,
-  2.0::DOUBLE * len(list_intersect(list_distinct(a), list_distinct(c))) / (len(list_distinct(a)) + len(list_distinct(c))) AS near_next
+  sha256(array_to_string(list_transform(sa, lambda s: sha256(s)), ',')) || '|' || array_to_string(list_transform(sa, lambda s: substr(sha256(s), 1, 16) || '=' || array_to_string(list_transform(string_split(rtrim(s, ','), ','), lambda x: substr(x, 1, 8)), ',')), '|') AS fingerprint,
+  sha256(array_to_string(list_transform(sb, lambda s: sha256(s)), ',')) || '|' || array_to_string(list_transform(sb, lambda s: substr(sha256(s), 1, 16) || '=' || array_to_string(list_transform(string_split(rtrim(s, ','), ','), lambda x: substr(x, 1, 8)), ',')), '|') AS edited_fingerprint,
+  2.0::DOUBLE * len(list_intersect(da, db)) / (len(da) + len(db)) AS near_edited,
+  2.0::DOUBLE * len(list_intersect(da, dc)) / (len(da) + len(dc)) AS near_next
 FROM joined
 """.replace("@leaf", LEAF_PATTERN).replace("@section", SECTION_PATTERN)

@@ -1,7 +1,7 @@
 """Language identification: interpolated Kneser-Ney character models, one for each language, in sorted hash arrays.
 
-Texts become letters of a shared alphabet (lowered; runs of anything else are one boundary; letters beyond the alphabet
-share a symbol). For each language the model of order n keeps, per order, the sorted hashes of its n-grams with their
+Texts become letters (lowered; runs of anything else are one boundary). Every letter of the learnt texts, of whatever
+script, is a symbol of its own; letters that were never learnt share one. For each language the model of order n keeps, per order, the sorted hashes of its n-grams with their
 discounted probabilities and of its contexts with their interpolation weights; a text gets the language of the lowest
 cross-entropy per symbol. The score is that language's share when the languages' likelihoods over `evidence` symbols are
 compared; a text is rejected where its cross-entropy is above its language's calibrated bound.
@@ -24,13 +24,15 @@ from pyspark.sql import types as T
 
 from .common import bounded_sample, crc_bucket, map_texts
 
-#: Symbols: 0 boundary, 1 letter beyond the alphabet, 2.. the alphabet.
-SYMBOL_BITS = 6
+#: Symbols: 0 boundary, 1 letter never learnt, 2.. the letters learnt. Four symbols are one 64-bit number.
+SYMBOL_BITS, ORDER = 16, 4
+#: n-grams whose shares a task remembers; beyond them it starts anew.
+MEMO = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
-    h = codes.astype(np.uint64) * _MULT
+    h = codes * _MULT
     return (h ^ (h >> np.uint64(31))) * _MULT
 
 
@@ -45,15 +47,15 @@ def code_points(text: str) -> np.ndarray:
 
 def symbols(points: np.ndarray, of_point: np.ndarray) -> np.ndarray:
     """Symbols of one text, with runs of boundaries joined and a boundary at both ends."""
-    s = np.concatenate([[0], of_point[points], [0]]).astype(np.uint32)
+    s = np.concatenate([[0], of_point[points], [0]]).astype(np.uint64)
     return s[np.append(True, (s[1:] != 0) | (s[:-1] != 0))]
 
 
 def codes(s: np.ndarray, order: int) -> np.ndarray:
     """One number for each run of `order` symbols."""
-    out = np.zeros(len(s) - order + 1, np.uint32)
+    out = np.zeros(len(s) - order + 1, np.uint64)
     for j in range(order):
-        out = (out << np.uint32(SYMBOL_BITS)) | s[j : len(s) - order + 1 + j]
+        out = (out << np.uint64(SYMBOL_BITS)) | s[j : len(s) - order + 1 + j]
     return out
 
 
@@ -69,15 +71,15 @@ class KneserNey:
     @staticmethod
     def fit(seqs: list[np.ndarray], order: int, n_symbols: int, discount: float = 0.75) -> KneserNey:
         counts: list[tuple[np.ndarray, np.ndarray]] = []
-        top = np.concatenate([codes(s, order) for s in seqs if len(s) >= order] or [np.empty(0, np.uint32)])
+        top = np.concatenate([codes(s, order) for s in seqs if len(s) >= order] or [np.empty(0, np.uint64)])
         keys, n = np.unique(top, return_counts=True)
         counts.append((keys, n.astype(float)))
         for k in range(order - 1, 0, -1):  # below the top: how many different symbols stand before
-            shorter, n = np.unique(counts[-1][0] & np.uint32((1 << (SYMBOL_BITS * k)) - 1), return_counts=True)
+            shorter, n = np.unique(counts[-1][0] & np.uint64((1 << (SYMBOL_BITS * k)) - 1), return_counts=True)
             counts.append((shorter, n.astype(float)))
         grams, contexts = [], []
         for keys, n in reversed(counts):
-            ctx, inverse = np.unique(keys >> np.uint32(SYMBOL_BITS), return_inverse=True)
+            ctx, inverse = np.unique(keys >> np.uint64(SYMBOL_BITS), return_inverse=True)
             total = np.bincount(inverse, n, len(ctx)) if len(keys) else np.empty(0)
             kinds = np.bincount(inverse, minlength=len(ctx))
             grams.append(_sorted(keys, np.maximum(n - discount, 0) / total[inverse] if len(keys) else n))
@@ -88,9 +90,9 @@ class KneserNey:
         """Log probability of the last symbol of each top-order code after the symbols before it."""
         p = np.full(len(top), self.floor)
         for k in range(self.order):
-            code = top & np.uint32((1 << (SYMBOL_BITS * (k + 1))) - 1)
+            code = top & np.uint64((1 << (SYMBOL_BITS * (k + 1))) - 1)
             share, _ = _found(self.grams[k], code, 0.0)
-            weight, _ = _found(self.contexts[k], code >> np.uint32(SYMBOL_BITS), 1.0)
+            weight, _ = _found(self.contexts[k], code >> np.uint64(SYMBOL_BITS), 1.0)
             p = share + weight * p
         return np.log(p)
 
@@ -120,7 +122,9 @@ class Identifier:
     evidence: float
 
 
-def train(texts: list[str], langs: list[str], *, order: int = 4, evidence: float = 20.0, reject_share: float = 0.005) -> Identifier | None:
+def train(texts: list[str], langs: list[str], *, order: int = ORDER, evidence: float = 20.0, reject_share: float = 0.005) -> Identifier | None:
+    if not 1 <= order <= 64 // SYMBOL_BITS:
+        raise ValueError(f"order is at most {64 // SYMBOL_BITS}")
     names = sorted(set(langs))
     if not names:
         return None
@@ -133,7 +137,7 @@ def train(texts: list[str], langs: list[str], *, order: int = 4, evidence: float
     n[~is_letter] = 0
     common = np.argsort(-n, kind="stable")[: (1 << SYMBOL_BITS) - 2]
     common = np.sort(common[n[common] > 0])
-    of_point = is_letter.astype(np.uint8)
+    of_point = is_letter.astype(np.uint16)
     of_point[common] = np.arange(2, 2 + len(common))
     seqs = [symbols(p, of_point) for p in points]
     models, bounds = [], []
@@ -153,36 +157,42 @@ FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.D
 def _kernel(model_b):
     model: Identifier | None = model_b.value
     if model is not None:
-        slot = np.full(1 << (SYMBOL_BITS * model.order), -1, np.int32)  # the codes met so far
-        known = np.empty((0, len(model.langs)), np.float32)
+        memo = np.empty(0, np.uint64), np.empty((0, len(model.langs)), np.float32)  # n-grams met so far, ascending, and their log shares
 
     def run(texts):
-        nonlocal known
+        nonlocal memo
         n = len(texts)
         out = {"lang_pred": ["und"] * n, "score": np.zeros(n), "cross_entropy": [None] * n, "rejected": [True] * n}
         if model is None:
             return out
-        seqs = [symbols(code_points(t), model.of_point) if t else np.zeros(1, np.uint32) for t in texts]
         tops = []
-        for s in seqs:
+        for t in texts:
+            s = symbols(code_points(t), model.of_point) if t else np.zeros(1, np.uint64)
             if len(s) < 3:
-                tops.append(np.empty(0, np.uint32))  # no letter
+                tops.append(np.empty(0, np.uint64))  # no letter
             else:
-                tops.append(codes(np.concatenate([np.zeros(max(1, model.order - 2), np.uint32), s]) if len(s) < 2 * model.order else s, model.order))
-        sizes = np.array([len(t) for t in tops])
-        every = np.concatenate(tops)
+                tops.append(codes(np.concatenate([np.zeros(max(1, model.order - 2), np.uint64), s]) if len(s) < 2 * model.order else s, model.order))
+        sizes = np.array([len(t) for t in tops], np.int64)
+        every = np.concatenate(tops) if tops else np.empty(0, np.uint64)
         if not len(every):
             return out
-        new = np.unique(every[slot[every] < 0])
+        grams, at = np.unique(every, return_inverse=True)
+        held, logs = memo
+        near = np.minimum(np.searchsorted(held, grams), max(0, len(held) - 1))
+        new = grams[held[near] != grams] if len(held) else grams
         if len(new):
-            slot[new] = len(known) + np.arange(len(new))
-            known = np.concatenate([known, np.stack([m.logs(new) for m in model.models], 1).astype(np.float32)])
-        held = np.flatnonzero(sizes)
-        starts = np.concatenate([[0], np.cumsum(sizes[held])[:-1]])
-        at = slot[every]
-        total = np.stack([np.add.reduceat(known[:, j].astype(np.float64)[at], starts) for j in range(len(model.langs))], 1)
-        entropy = -total / sizes[held][:, None]
-        for d, e, size in zip(held, entropy, sizes[held], strict=True):
+            fresh = np.stack([m.logs(new) for m in model.models], 1).astype(np.float32)
+            if len(held) + len(new) > MEMO:
+                held, logs = held[near[held[near] == grams]] if len(held) else held, logs[near[held[near] == grams]] if len(held) else logs
+            both = np.concatenate([held, new])
+            by = np.argsort(both, kind="stable")
+            held, logs = memo = both[by], np.concatenate([logs, fresh])[by]
+        own = logs[np.searchsorted(held, grams)]
+        some = np.flatnonzero(sizes)
+        starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+        total = np.stack([np.add.reduceat(own[:, j].astype(np.float64)[at], starts) for j in range(len(model.langs))], 1)
+        entropy = -total / sizes[some][:, None]
+        for d, e, size in zip(some, entropy, sizes[some], strict=True):
             best = int(np.argmin(e))
             odds = np.exp(-(e - e[best]) * min(model.evidence, float(size)))
             out["lang_pred"][d], out["score"][d] = model.langs[best], 1.0 / odds.sum()
@@ -204,6 +214,7 @@ def identify(docs: DataFrame, model: Identifier | None, *, id_col="doc_id", text
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """Per document: lang_pred and score; null texts and those without a letter are und with score 0; a table without languages gives und alone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(crc_bucket("doc_id", 4) != 2))
     return identify(docs, model).select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")

@@ -125,4 +125,5 @@ def pack_documents(docs: DataFrame, *, lengths: Sequence[int] = LENGTHS, shard_r
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their bins; null and empty texts have none, ties go by id and place."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -127,6 +127,7 @@ def score_quality(docs: DataFrame, model, *, id_col="doc_id", text_col="text", k
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """Per document: held_out, score and predicted; null and empty texts are scored by the offset alone."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels.where(crc_bucket("doc_id", 3) != 1))
     return score_quality(docs, model).select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

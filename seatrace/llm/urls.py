@@ -5,6 +5,8 @@ A rule names a host and the beginning of a path; it fits the host and its subdom
 over those edges carry decisions to pages without a rule of their own. An explicit allow anywhere among the aliases
 comes before a block; pages whose aliases have no rule at all are allowed.
 
+Targets are resolved against the page's url (relative paths, "..", "?" alone), whatever a tag's length.
+
 Edge cases: a null url or one without "://" has an empty host and path, fits no rule and has no aliases of its own;
 repeated pages each get a row; pages with equal urls are one node; an empty page table gives no rows.
 """
@@ -16,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components
+from .common import connected_components, written
 
 #: Above this many rules, rules are joined by host suffix instead of being tried one by one.
 INLINE_RULES = 64
@@ -42,17 +44,36 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), F.regexp_extract(_rest(url), r"^[^/?#]*([^#]*)", 1)))
 
 
+#: What a browser doesn't read, and the tags that may name another url.
+COMMENT, LINK, META = r"(?s)<!--.*?(?:-->|\z)", r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+
+
+def resolved(target: Column, own: Column) -> Column:
+    """A link as an absolute url (without scheme where the page's own host is meant), by the page's own url."""
+    path = path_of(own)
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", "")
+    name, tail = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"^[^?#]*(.*)", 1)
+    whole = F.when(name == "", path).when(name.startswith("/"), name).otherwise(F.concat(folder, name))
+    parts = F.split(whole, "/")
+    step = lambda acc, s: F.when(s == "..", F.regexp_replace(acc, r"/[^/]*$", "")).when(s == ".", acc).otherwise(F.concat(acc, F.lit("/"), s))
+    clean = F.aggregate(F.slice(parts, 2, F.size(parts)), F.lit(""), step)
+    clean = F.when(whole.rlike(r"/\.\.?$"), F.concat(clean, F.lit("/"))).otherwise(clean)
+    here = F.when(F.instr(own, "://") > 0, F.concat(F.lit("http://"), host_of(own), F.when(whole == "", "").otherwise(clean), tail))
+    return F.when(F.instr(target, "://") > 0, target).when(target.startswith("//"), F.concat(F.lit("http:"), target)).otherwise(here)
+
+
 def link_targets(html: Column, own: Column) -> Column:
-    """Canonical link and redirect targets in a page, as absolute urls; paths alone belong to the page's own host."""
-    tags = F.concat(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]{0,2000}>"), 0), F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]{0,2000}>"), 0))
+    """Canonical link and redirect targets in a page, as absolute urls. Comments are left out, &amp; is read as &."""
+    shown = F.regexp_replace(html, COMMENT, "")
+    tags = F.concat(F.regexp_extract_all(shown, F.lit(LINK), 0), F.regexp_extract_all(shown, F.lit(META), 0))
     canonical = F.filter(tags, lambda t: F.regexp_like(t, F.lit(r"""(?i)\brel\s*=\s*["']?canonical\b""")))
     refresh = F.filter(tags, lambda t: F.regexp_like(t, F.lit(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""")))
     found = F.concat(
         F.transform(canonical, lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)),
         F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1)),
     )
-    whole = F.transform(found, lambda t: F.when(F.instr(t, "://") > 0, t).when(t.startswith("//"), F.concat(F.lit("http:"), t)).when(t.startswith("/"), F.concat(F.lit("http://"), host_of(own), t)))
-    return F.filter(whole, lambda t: t.isNotNull())
+    found = F.transform(F.filter(found, lambda t: t != ""), lambda t: resolved(F.replace(t, F.lit("&amp;"), F.lit("&")), own))
+    return F.filter(found, lambda t: t.isNotNull())
 
 
 def rule_name(host: str, path: str) -> str:
@@ -84,7 +105,7 @@ def with_rule(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, host_c
     labels = F.split("__host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     per_host = hosts.select("__host", F.explode(suffixes).alias("rule_host")).join(by_host, "rule_host").groupBy("__host").agg(F.flatten(F.collect_list("own")).alias("own"))
-    joined = pages.join(per_host, host == F.col("__host"), "left")
+    joined = pages.join(written(per_host, "rules-by-host"), host == F.col("__host"), "left")  # a plain shuffle: a hot host can be split
     fit = F.array_max(F.filter("own", lambda r: path.startswith(r["rule_path"])))
     return joined.withColumn("__fit", fit).withColumns({"rule": F.col("__fit.rule"), "action": F.when(F.col("__fit.ok"), "allow").when(~F.col("__fit.ok"), "block")}).drop("__fit", "own", "__host")
 
@@ -111,7 +132,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], edges: DataFr
     told = members.groupBy("component").agg(F.max(F.col("action") == "allow").alias("allowed"))
     inherited = comp.join(told, "component").select("node", "component", F.when(F.col("allowed"), "allow").otherwise("block").alias("by_alias"))
     alone = comp.join(told, "component", "left_anti").select("node", "component", F.lit(None).cast("string").alias("by_alias"))
-    out = base.join(inherited.unionAll(alone), "node", "left")
+    # Pages without a node stay out of the join: all of them would meet in one task.
+    known = base.where("node is not null").join(inherited.unionAll(alone), "node", "left")
+    nowhere = base.where("node is null").withColumns({"component": F.lit(None).cast("string"), "by_alias": F.lit(None).cast("string")})
+    out = known.unionByName(nowhere)
     return out.select(id_col, "host", "path", "rule", F.coalesce("action", "by_alias", F.lit("allow")).alias("verdict"), "node", F.coalesce("component", "node").alias("component"))
 
 
@@ -120,6 +144,7 @@ OP4_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """Per page: host, path, rule and verdict. Null urls and those without "://" have an empty host and path, no rule and are allowed."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), OP4_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -135,11 +160,15 @@ judged AS (
   SELECT p.page_id, p.host, p.path, p.node, p.html,
          (SELECT max({'n': length(rule), 'rule': rule, 'action': action}) FROM rules WHERE (p.host = host_r OR ends_with(p.host, '.' || host_r)) AND starts_with(p.path, path_r)) AS best
   FROM noded p
-), tags AS (SELECT node, host, unnest(list_concat(regexp_extract_all(html, '(?is)<link\b[^>]{0,900}>'), regexp_extract_all(html, '(?is)<meta\b[^>]{0,900}>'))) AS tag FROM judged),
-targets AS (
-  SELECT node, host, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM tags WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
-  UNION ALL SELECT node, host, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags WHERE regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')
-), whole AS (SELECT node AS a, CASE WHEN instr(t, '://') > 0 THEN substr(t, instr(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3) WHEN starts_with(t, '/') THEN host || t END AS b FROM targets),
+), shown AS (SELECT node, host, path, regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g') AS html FROM judged),
+tags AS (SELECT node, host, path, unnest(list_concat(regexp_extract_all(html, '(?is)<link\b[^>]*>'), regexp_extract_all(html, '(?is)<meta\b[^>]*>'))) AS tag FROM shown),
+named AS (
+  SELECT node, host, path, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM tags WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
+  UNION ALL SELECT node, host, path, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags WHERE regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')
+), targets AS (SELECT node, host, path, replace(t, '&amp;', '&') AS t, regexp_extract(replace(t, '&amp;', '&'), '^[^?#]*') AS name FROM named WHERE t <> ''),
+joined AS (SELECT *, CASE WHEN name = '' THEN path WHEN starts_with(name, '/') THEN name ELSE regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || name END AS long FROM targets),
+tidy AS (SELECT *, list_reduce(list_concat([''], string_split(long, '/')[2:]), lambda acc, s: CASE WHEN s = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN s = '.' THEN acc ELSE acc || '/' || s END) || CASE WHEN regexp_matches(long, '/\.\.?$') THEN '/' ELSE '' END AS clean FROM joined),
+whole AS (SELECT node AS a, CASE WHEN instr(t, '://') > 0 THEN substr(t, instr(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3) ELSE host || CASE WHEN long = '' THEN '' ELSE clean END || substr(t, length(name) + 1) END AS b FROM tidy),
 edges AS (SELECT a, translate(regexp_extract(b, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(b, '^[^/?#]*([^#]*)', 1) AS b FROM whole WHERE a IS NOT NULL AND b IS NOT NULL),
 sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a),
