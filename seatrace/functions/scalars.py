@@ -70,13 +70,9 @@ STATUS_PHRASES = ("reserved for future amendment of navigational status for ship
 
 
 def clean_text(s: Column, phrases: Sequence[str] = TYPE_PHRASES) -> Column:
-    """Lower case, without the phrases and the commas and stops around them, single spaces, SAR in capitals."""
-    out = F.lower(s)
-    for p in phrases:
-        out = F.regexp_replace(out, rf"[\s,.]*{p}[\s,.]*", " ")
-        out = F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"sar\s", "SAR ")
-        out = F.regexp_replace(out, r"\s+", " ")
-    return F.coalesce(F.trim(out), F.lit(""))
+    """Lower case, without the phrases and the commas and stops around them, single spaces, SAR in capitals; null becomes empty."""
+    shorter = F.regexp_replace(F.lower(s), rf"[\s,.]*(?:{'|'.join(phrases)})[\s,.]*", " ")
+    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(shorter, r"\s+", " "), r"\bsar\b", "SAR")), F.lit(""))
 
 
 def short_type(s: Column) -> Column:

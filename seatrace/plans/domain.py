@@ -219,10 +219,9 @@ def cell_binning(spark, d):
     return det.groupBy(F.date_trunc("minute", "timestamp").cast("timestamp_ntz").alias("minute"), F.floor((20.3 - F.col("latitude")) / 0.02).alias("row"), F.floor((F.col("longitude") + 80.15) / 0.02).alias("col")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("det_id")).alias("ids"))
 
 
-@query("SELECT label, lower(trim(regexp_replace(regexp_replace(regexp_replace(lower(label), '[\\s,.]*all ships of this type[\\s,.]*', ' ', 'g'), '[\\s,.]*\\(.*\\)[\\s,.]*', ' ', 'g'), '\\s+', ' ', 'g'))) AS cleaned FROM type_label WHERE label NOT LIKE '%eserved%' AND label NOT LIKE '%additional%' AND label NOT LIKE '%ot available%' AND label NOT LIKE '%NoEntry%'", TYPE_SQL)
+@query("SELECT label, trim(regexp_replace(regexp_replace(regexp_replace(lower(label), '[\\s,.]*(?:all ships of this type|not available or no ship, default|\\(.*\\)|for assignment to local vessel|reserved for future use|no additional information|reserved for regional use|null|no designation)[\\s,.]*', ' ', 'g'), '\\s+', ' ', 'g'), '\\bsar\\b', 'SAR', 'g')) AS cleaned FROM type_label", TYPE_SQL)
 def clean_type_text(spark, d):
-    t = rules.type_table(spark).where(~F.col("label").contains("eserved") & ~F.col("label").contains("additional") & ~F.col("label").contains("ot available"))
-    return t.select("label", F.lower(scalars.clean_text(F.col("label"))).alias("cleaned"))
+    return rules.type_table(spark).select("label", scalars.clean_text(F.col("label")).alias("cleaned"))
 
 
 @query("SELECT label, CASE WHEN ends_with(label, ')') THEN trim(regexp_replace(regexp_replace(label, '\\(.*\\)', '', 'g'), ',.*', '', 'g')) ELSE label END AS short FROM type_label", TYPE_SQL)

@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the same tables; the others have a fixed row count or tests of their own."""
+"""Every query with SQL against DuckDB on the same tables; of the others it is only seen that they run; some have tests of their own."""
 
 from __future__ import annotations
 
