@@ -84,3 +84,21 @@ def _crosses(x, y, a, b) -> Column:
     spans = (a["lat"] > y) != (b["lat"] > y)
     at = (b["lon"] - a["lon"]) * (y - a["lat"]) / F.when(spans, b["lat"] - a["lat"]).otherwise(1.0) + a["lon"]
     return F.when(spans & (x < at), 1).otherwise(0)
+
+
+def clip_segment(x1: Column, y1: Column, x2: Column, y2: Column, *, xs: tuple[float, float], ys: tuple[float, float]) -> Column:
+    """The part of a segment in a frame, as struct<x1, y1, x2, y2>; null if there is none.
+
+    A segment enters and leaves the strip between two parallel edges at two shares of its length; a parallel one is in
+    it wholly or not at all.
+    """
+    dx, dy = x2 - x1, y2 - y1
+    begin, end, ok = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
+    for p, d, (low, high) in ((x1, dx, xs), (y1, dy, ys)):
+        a, b = F.try_divide(F.lit(low) - p, d), F.try_divide(F.lit(high) - p, d)
+        begin.append(F.least(a, b))
+        end.append(F.greatest(a, b))
+        ok = ok & ((d != 0) | p.between(low, high))
+    b, e = F.greatest(*begin), F.least(*end)
+    part = F.struct((x1 + dx * b).alias("x1"), (y1 + dy * b).alias("y1"), (x1 + dx * e).alias("x2"), (y1 + dy * e).alias("y2"))
+    return F.when(ok & (b <= e), part)

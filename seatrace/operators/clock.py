@@ -89,3 +89,35 @@ def trajectory_features(df: DataFrame, *, step_sec: int = 3600):
     from .tracks import binned, geometry
 
     return geometry(binned(bin_rows(df, ["latitude", "longitude"], step_sec=step_sec)))
+
+
+def day_range(df: DataFrame, first: str, last: str, columns: Sequence[str], *, buffer_days: int = 1, step_sec: int = 3600, whole_days: bool = False) -> DataFrame:
+    """The clock of the days first to last. Reports of buffer_days more on both sides let it reach the days' ends.
+
+    whole_days leaves out rows that are interpolated across midnight. A date column prunes the scan, if there is one.
+    """
+    day = F.col("date") if "date" in df.columns else F.to_date("timestamp")
+    near = df.where(day.between(F.date_sub(F.lit(first).cast("date"), buffer_days), F.date_add(F.lit(last).cast("date"), buffer_days)))
+    out = on_grid(near, columns, step_sec=step_sec).where(F.to_date("timestamp").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return same_day(out) if whole_days else out
+
+
+def augment(paired: DataFrame, reports: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """paired (mmsi, timestamp, ...) with the ship's columns at that time; null beyond its reports or without a ship.
+
+    Asked times and reports of a ship are put in one order, and each time takes the interval that began last: no
+    interval is copied, however long it is.
+    """
+    held = intervals(reports.select("mmsi", "timestamp", *columns))
+    begun = held.select("mmsi", F.col("t0").alias("t"), F.struct("prev", "next", "seq", "t0", "t1").alias("iv"), F.lit(0).alias("__asked"))
+    kind = begun.schema["iv"].dataType
+    asked = paired.where("mmsi is not null").select("mmsi", micros("timestamp").alias("t")).distinct()
+    both = begun.unionByName(asked.select("*", F.lit(None).cast(kind).alias("iv"), F.lit(1).alias("__asked")))
+    before = W.partitionBy("mmsi").orderBy("t", "__asked").rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = both.withColumn("iv", F.last("iv", ignorenulls=True).over(before)).where("__asked = 1").select("mmsi", "t", "iv.*")
+    got = _at(seen.where("t <= coalesce(t1, t0)"), columns, reports).drop("interp_index")
+    new = [c for c in got.columns if c not in ("mmsi", "timestamp")]
+    clash = [c for c in new if c in paired.columns]
+    if clash:
+        raise ValueError(f"columns in both: {clash}")
+    return paired.join(got, ["mmsi", "timestamp"], "left")

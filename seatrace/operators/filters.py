@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
@@ -88,3 +89,40 @@ def busiest_hour(df: DataFrame) -> DataFrame:
     """The hour of day with the highest positive mean speed, else -1."""
     best = df.groupBy(F.hour("timestamp").alias("hour")).agg(F.avg("sog").alias("m")).where("m > 0")
     return best.agg(F.coalesce(F.max_by("hour", F.struct(F.col("m"), -F.col("hour"))), F.lit(-1)).cast("int").alias("hour"))
+
+
+def first_lines(df: DataFrame, n: int | None, order: Sequence[str]) -> DataFrame:
+    """The first n rows in an order, for a quick look; all rows if n is None."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """n rows without replacement: those with the least digests of seed and key, the same for any partitioning."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def falling(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows by several columns, largest first, nulls last."""
+    return df.orderBy(*[F.desc_nulls_last(c) for c in columns])
+
+
+def renamed(df: DataFrame, names: dict[str, str] | None = None, *, prefix: str = "", suffix: str = "", blank: str = "_", keep: Sequence[str] = ()) -> DataFrame:
+    """Columns by a map; all others but `keep` get the prefix and suffix, and white space in them becomes `blank`."""
+    new = {c: (names or {}).get(c) or (c if c in keep else prefix + re.sub(r"\s+", blank, c.strip()) + suffix) for c in df.columns}
+    if len(set(new.values())) < len(new):
+        raise ValueError(f"equal names: {sorted(new.values())}")
+    return df.withColumnsRenamed(new)
+
+
+def restore_types(df: DataFrame, like: DataFrame) -> DataFrame:
+    """Columns that `like` has get its types: whole numbers are rounded half to even, not cut."""
+    kinds = {f.name: f.dataType for f in like.schema.fields}
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+    def cast(f):
+        if f.name not in kinds or f.dataType == kinds[f.name]:
+            return F.col(f.name)
+        c = F.bround(f.name) if isinstance(kinds[f.name], whole) and isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+        return c.cast(kinds[f.name]).alias(f.name)
+
+    return df.select(*[cast(f) for f in df.schema.fields])

@@ -107,3 +107,64 @@ def train_trees(train: DataFrame, features: Sequence[str], label: str, kind: str
         "cart": lambda: DecisionTreeClassifier(labelCol=label, featuresCol="__x", maxDepth=depth, seed=seed),
     }
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="skip"), made[kind]()]).fit(train)
+
+
+def union_categories(a: DataFrame, b: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of both, and (value, code) of all categories: those of a in order, then what b adds."""
+    rows = a.unionByName(b, allowMissingColumns=True)
+    seen = a.select(F.col(column).alias("value"), F.lit(0).alias("__of")).unionAll(b.select(column, F.lit(1)))
+    first = seen.where("value is not null").groupBy("value").agg(F.min("__of").alias("__of"))
+    return rows, first.select("value", F.row_number().over(W.orderBy("__of", "value")).alias("code"))
+
+
+def stratified_split(df: DataFrame, label: str, id_col: str, test_share: float = 0.2) -> DataFrame:
+    """df with is_test: of each label exactly the whole part of test_share, by the digest of the id.
+
+    A label's rows are counted by the first three digits of the digest. Only the one class of digits in which the
+    share ends is put in order, so a label that holds most rows isn't sorted anywhere. Null is a label of its own.
+    """
+    key = F.md5(F.col(id_col).cast("string"))
+    rows = df.withColumns({"__k": key, "__b": F.substring(key, 1, 3)})
+    per = rows.groupBy(F.col(label).alias("__l"), F.col("__b").alias("__c")).agg(F.count("*").alias("__n"))
+    of = W.partitionBy("__l")
+    take = F.floor(F.sum("__n").over(of) * F.lit(float(test_share))) - (F.sum("__n").over(of.orderBy("__c")) - F.col("__n"))
+    held = rows.join(per.withColumn("__take", take), F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__c")))
+    cut = (F.col("__take") > 0) & (F.col("__take") < F.col("__n"))
+    rank = F.row_number().over(W.partitionBy("__l", "__c").orderBy("__k", id_col))
+    out = held.where(~cut).withColumn("is_test", F.col("__take") > 0).unionByName(held.where(cut).withColumn("is_test", rank <= F.col("__take")))
+    return out.select(*df.columns, "is_test")
+
+
+def split_by_order(df: DataFrame, part: str, test_share: float = 0.2) -> DataFrame:
+    """df with is_test: the last share of its parts (files, days) in their order. There is a row for each part only in the ranking."""
+    parts = df.select(part).distinct()
+    ranked = parts.withColumns({"__r": F.row_number().over(W.orderBy(part)), "__n": F.count("*").over(W.partitionBy())})
+    test = ranked.where(F.col("__r") > F.floor(F.col("__n") * F.lit(1.0 - test_share))).select(F.col(part).alias("__p"))
+    return df.join(test, F.col(part).eqNullSafe(F.col("__p")), "left").withColumn("is_test", F.col("__p").isNotNull()).drop("__p")
+
+
+def best_models(runs: DataFrame, score: str, k: int, *, ties: Sequence[str] = (), largest: bool = True) -> DataFrame:
+    """The k best runs."""
+    return runs.where(F.col(score).isNotNull()).orderBy(F.desc(score) if largest else F.asc(score), *ties).limit(k)
+
+
+def tune_trees(train: DataFrame, features: Sequence[str], label: str, *, grid: dict[str, Sequence], seed: int = 1000, train_share: float = 0.75):
+    """(model, runs): a random forest for each combination of `grid` (parameter: values), tried on a held-out share.
+
+    runs: the parameters and the area under the curve of each. The model is that of the best, fitted on all rows.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+
+    forest = RandomForestClassifier(labelCol=label, featuresCol="__x", seed=seed)
+    builder = ParamGridBuilder()
+    for name, values in grid.items():
+        builder = builder.addGrid(forest.getParam(name), list(values))
+    maps = builder.build()
+    rows = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="skip").transform(train)
+    fitted = TrainValidationSplit(estimator=forest, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(labelCol=label), trainRatio=train_share, seed=seed).fit(rows)
+    tried = [(*(str(m[forest.getParam(n)]) for n in grid), float(v)) for m, v in zip(maps, fitted.validationMetrics, strict=True)]
+    runs = train.sparkSession.createDataFrame(tried, ", ".join([*(f"`{n}` string" for n in grid), "score double"]))
+    return fitted.bestModel, runs

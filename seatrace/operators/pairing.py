@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from seatrace.shipping import ship_package
 from seatrace.functions.geo import EARTH_RADIUS_M, haversine_m
 
-from .clock import at_instants
+from .clock import at_instants, augment
+from .filters import restore_types
+from .rules import describe
 from .spatial import _cells, _grid, _near_cells
 from .tracks import micros
 
@@ -32,20 +34,23 @@ def candidates(detections: DataFrame, reports: DataFrame, *, threshold_sec: floa
     """
     ships = at_instants(reports, detections, ["latitude", "longitude"])
     ships = ships.where(F.abs(micros("timestamp_nearest") - micros("timestamp")) < threshold_sec * 1e6)
-    grid = _grid(detections, threshold_m)
+    grid = _grid(threshold_m)
     near = _near_cells(detections.select("det_id", "timestamp", F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2")), "lat2", "lon2", grid)
-    placed = ships.withColumns(_cells(F.col("latitude"), F.col("longitude"), grid, around=False)).select("timestamp", "__row", "__col", "mmsi", "latitude", "longitude")
+    placed = ships.withColumns(_cells(F.col("latitude"), F.col("longitude"), grid)).select("timestamp", "__row", "__col", "mmsi", "latitude", "longitude")
     pairs = near.join(placed, ["timestamp", "__row", "__col"]).withColumn("dist_m", haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2")))
     return pairs.where(F.col("dist_m") <= threshold_m).select("det_id", "timestamp", "mmsi", "dist_m")
 
 
 def near_detections(reports: DataFrame, detections: DataFrame, *, threshold_sec: float, threshold_m: float) -> DataFrame:
     """Reports that have any detection near in time and space (a semi join on time buckets)."""
-    width = max(1, int(threshold_sec * 1e6))
+    width, grid = int(threshold_sec * 1e6) + 1, _grid(threshold_m)
     bucket = lambda c: F.floor(micros(c) / width)
     dets = detections.select(micros("timestamp").alias("du"), F.col("latitude").alias("dlat"), F.col("longitude").alias("dlon"), F.explode(F.sequence(bucket("timestamp") - 1, bucket("timestamp") + 1)).alias("__b"))
+    near = _near_cells(dets, "dlat", "dlon", grid)
+    placed = reports.withColumns({"__b": bucket("timestamp"), **_cells(F.col("latitude"), F.col("longitude"), grid)})
+    same = [F.col(f"r.{c}") == F.col(f"d.{c}") for c in ("__b", "__row", "__col")]
     close = (F.abs(micros("timestamp") - F.col("du")) <= threshold_sec * 1e6) & (haversine_m(F.col("latitude"), F.col("longitude"), F.col("dlat"), F.col("dlon")) <= threshold_m)
-    return reports.withColumn("__b", bucket("timestamp")).alias("r").join(dets.alias("d"), (F.col("r.__b") == F.col("d.__b")) & close, "left_semi").drop("__b")
+    return placed.alias("r").join(near.alias("d"), [*same, close], "left_semi").drop("__b", "__row", "__col")
 
 
 def _clusters(lat: np.ndarray, lon: np.ndarray, eps_m: float) -> np.ndarray:
@@ -148,15 +153,39 @@ def sweep(detections: DataFrame, reports: DataFrame, thresholds_sec, thresholds_
 
 
 def quality(paired: DataFrame, reports: DataFrame | None = None, by=()) -> DataFrame:
-    """Success rate, greedy counts, and distances (std of the population) of a pairing."""
-    return paired.groupBy(*by).agg(
+    """Success rate, greedy counts, and distances (std of the population) of a pairing.
+
+    With reports also how far in time the ship's nearest report is from the detection (std of the sample).
+    """
+    measures = [
         F.avg(F.col("mmsi").isNotNull().cast("double")).alias("success_rate"),
         F.sum("greedy_count").alias("sum_greedy_count"),
         F.max("greedy_count").alias("max_greedy_count"),
         F.stddev_pop("dist_m").alias("std_dist_m"),
         F.avg("dist_m").alias("mean_dist_m"),
         F.max("dist_m").alias("max_dist_m"),
-    )
+    ]
+    if reports is not None:
+        off = F.abs(micros("timestamp_nearest") - micros("timestamp")) / 1e6
+        paired = augment(paired, reports, []).withColumn("off_sec", off)
+        measures += [F.stddev_samp("off_sec").alias("std_off_sec"), F.max("off_sec").alias("max_off_sec")]
+    return paired.groupBy(*by).agg(*measures)
+
+
+def side_by_side(measures: DataFrame, parameter: str, left, right, by=(), *, truth: int | None = None) -> DataFrame:
+    """Two runs' measures in one row for each `by`: columns end in _left and _right; truth: detections there are to find."""
+    names = [c for c in measures.columns if c not in (parameter, *by)]
+    one = lambda c, v: F.max(F.when(F.col(parameter) == v, F.col(c)))
+    out = measures.groupBy(*by).agg(*[one(c, v).alias(f"{c}_{side}") for c in names for side, v in (("left", left), ("right", right))])
+    if truth is not None:
+        out = out.withColumns({f"paired_{side}": F.col(f"success_rate_{side}") * truth for side in ("left", "right")})
+    return out
+
+
+def described(paired: DataFrame, reports: DataFrame, table: DataFrame, columns=("vessel_type", "length")) -> DataFrame:
+    """paired with the ship's columns at that time and the label of its type."""
+    out = augment(paired, reports, list(columns)).drop("timestamp_previous", "timestamp_next")
+    return describe(restore_types(out, reports.select(*columns)), table, "vessel_type", "type_label")
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:

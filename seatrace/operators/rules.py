@@ -163,3 +163,10 @@ def transshipment(df: DataFrame, *, n_nearest: int = 3, thresholds: dict | None
 
     out = rows.groupBy(*keys).applyInPandas(find, "mmsi long, us long, partner long")
     return out.select("mmsi", F.timestamp_micros("us").cast("timestamp_ntz").alias("timestamp"), "partner")
+
+
+def with_legality(features: DataFrame, legality: DataFrame, key: str | Sequence[str] = "mmsi", columns: Sequence[str] = ("required",)) -> DataFrame:
+    """features with the legality columns of the same key, false where there are none. legality has one row for each key."""
+    keys = [key] if isinstance(key, str) else list(key)
+    out = features.join(legality.select(*keys, *columns), keys, "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in columns})

@@ -16,36 +16,40 @@ from pyspark.sql.window import Window as W
 from seatrace.functions.geo import EARTH_RADIUS_M, haversine_m, in_ring, segment_distance_deg
 
 
-def _grid(df: DataFrame, radius_m: float, lat: str = "latitude") -> tuple[float, float, int]:
-    """Cell sizes in degrees and the number of columns around the globe, from the largest latitude there is."""
-    most = df.agg(F.max(F.abs(F.col(lat)))).first()[0] or 0.0
-    size = math.degrees(radius_m / EARTH_RADIUS_M) * 1.0001
-    narrow = math.cos(math.radians(min(89.0, most + size)))
-    columns = max(1, int(360 / (size / narrow)))
-    return size, 360 / columns, columns
+def _grid(radius_m: float) -> float:
+    """Height of a row of cells in degrees: a little more than the radius."""
+    return math.degrees(radius_m / EARTH_RADIUS_M) * 1.0001
 
 
-def _cells(lat: Column, lon: Column, grid, around: bool) -> dict[str, Column]:
-    size, width, columns = grid
-    row, col = F.floor(lat / size), F.floor((lon + 180) / width)
-    if not around:
-        return {"__row": row, "__col": F.pmod(col, F.lit(columns))}
-    return {"__row": F.explode(F.sequence(row - 1, row + 1)), "__col": F.pmod(col, F.lit(columns))}
+def _columns(row: Column, size: float) -> Column:
+    """Number of cells around the globe in a row: none is narrower than the radius is there or in the rows beside it."""
+    most = (F.abs(row + 0.5) + 1.5) * size
+    ratio = math.sin(math.radians(min(90.0, size / 2))) / F.cos(F.radians(F.least(most, F.lit(89.9))))
+    width = 2 * F.degrees(F.asin(F.least(ratio, F.lit(1.0))))
+    return F.when((most >= 89.9) | (ratio >= 1), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / width))).cast("bigint")
 
 
-def _near_cells(df: DataFrame, lat: str, lon: str, grid) -> DataFrame:
-    size, width, columns = grid
-    rows = df.withColumn("__row", F.explode(F.sequence(F.floor(F.col(lat) / size) - 1, F.floor(F.col(lat) / size) + 1)))
-    col = F.floor((F.col(lon) + 180) / width)
-    return rows.withColumn("__col", F.explode(F.array_distinct(F.transform(F.sequence(col - 1, col + 1), lambda c: F.pmod(c, F.lit(columns))))))
+def _cells(lat: Column, lon: Column, size: float) -> dict[str, Column]:
+    row = F.floor(lat / size)
+    n = _columns(row, size)
+    return {"__row": row, "__col": F.pmod(F.floor((lon + 180) / (360 / n)), n)}
+
+
+def _near_cells(df: DataFrame, lat: str, lon: str, size: float) -> DataFrame:
+    """df with each cell in which something within the radius can lie; the number of columns is that of the cell's row."""
+    row = F.floor(F.col(lat) / size)
+    rows = df.withColumn("__row", F.explode(F.sequence(row - 1, row + 1))).withColumn("__n", _columns(F.col("__row"), size))
+    col = F.floor((F.col(lon) + 180) / (360 / F.col("__n")))
+    near = F.transform(F.sequence(col - 1, col + 1), lambda c: F.pmod(c, F.col("__n")))
+    return rows.withColumn("__col", F.explode(F.array_distinct(near))).drop("__n")
 
 
 def neighbor_pairs(df: DataFrame, radius_m: float) -> DataFrame:
     """(timestamp, mmsi, other, dist_m): ships within radius_m of one another at the same instant, both directions."""
     pts = df.select("timestamp", "mmsi", "latitude", "longitude").where("latitude is not null and longitude is not null")
-    grid = _grid(pts, radius_m)
+    grid = _grid(radius_m)
     a = _near_cells(pts, "latitude", "longitude", grid)
-    b = pts.withColumns(_cells(F.col("latitude"), F.col("longitude"), grid, around=False)).select("timestamp", "__row", "__col", F.col("mmsi").alias("other"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
+    b = pts.withColumns(_cells(F.col("latitude"), F.col("longitude"), grid)).select("timestamp", "__row", "__col", F.col("mmsi").alias("other"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
     d = haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2"))
     return a.join(b, ["timestamp", "__row", "__col"]).where(F.col("mmsi") != F.col("other")).withColumn("dist_m", d).where(F.col("dist_m") <= radius_m).select("timestamp", "mmsi", "other", "dist_m")
 
@@ -62,9 +66,9 @@ def neighbors(df: DataFrame, *, n_nearest: int = 5, radius_m: float = 5.0) -> Da
 
 def nearest_places(points: DataFrame, places: DataFrame, *, keys: Sequence[str], n_nearest: int = 2, radius_m: float = 10_000.0) -> DataFrame:
     """Per point: n_within and the n nearest places in radius (i_dist_m, i_place). places: place, latitude, longitude."""
-    grid = _grid(points.select("latitude").unionAll(places.select("latitude")), radius_m)
+    grid = _grid(radius_m)
     near = _near_cells(places.select("place", F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2")), "lat2", "lon2", grid)
-    pts = points.select(*keys, "latitude", "longitude").withColumns(_cells(F.col("latitude"), F.col("longitude"), grid, around=False))
+    pts = points.select(*keys, "latitude", "longitude").withColumns(_cells(F.col("latitude"), F.col("longitude"), grid))
     pairs = pts.join(near, ["__row", "__col"]).withColumn("dist_m", haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2"))).where(F.col("dist_m") <= radius_m)
     w = W.partitionBy(*keys)
     ranked = pairs.select(*keys, "place", "dist_m", (F.row_number().over(w.orderBy("dist_m", "place")) - 1).alias("k"), F.count("*").over(w).alias("n"))
@@ -123,3 +127,21 @@ def rasterise(polygons: DataFrame, *, rows: int, cols: int) -> DataFrame:
 
 def within(df: DataFrame, lat: float, lon: float, radius_m: float) -> DataFrame:
     return df.where(haversine_m(F.col("latitude"), F.col("longitude"), F.lit(lat), F.lit(lon)) < radius_m)
+
+
+def nearest_any(points: DataFrame, places: DataFrame, *, keys: Sequence[str], n_nearest: int = 2, start_m: float = 2_000.0) -> DataFrame:
+    """Per point the n nearest places (i_dist_m, i_place) at any distance; null only where there are fewer places.
+
+    The radius begins at start_m and grows fourfold, each time only for the points that have found fewer than n.
+    """
+    need, radius, out = min(n_nearest, places.count()), start_m, None
+    left = points.select(*keys, "latitude", "longitude")
+    while True:
+        found = nearest_places(left, places, keys=keys, n_nearest=n_nearest, radius_m=radius).persist()
+        last = radius >= math.pi * EARTH_RADIUS_M
+        enough = found if last else found.where(F.col("n_within") >= need)
+        out = enough if out is None else out.unionByName(enough)
+        open_ = found.where(F.col("n_within") < need)
+        if last or open_.isEmpty():
+            return out.drop("n_within")
+        left, radius = left.join(open_.select(*keys), list(keys), "left_semi"), radius * 4

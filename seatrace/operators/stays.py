@@ -1,6 +1,9 @@
 """Loitering runs and spoofed branches: searches along one ship's track that depend on what was taken before.
 
-Both are grouped maps by ship (or ship and day, with `keys`); a group is one ship's reports.
+Both are grouped maps by a piece of a ship's track (or of its day, with `keys`). Tracks are cut by window functions
+where nothing can reach across: at steps of two radii or more no run has rows on both sides, and at gaps longer than
+the longest step of a branch no link has. So a number that many ships share, whose reports jump about, falls into many
+bounded groups; only an unbroken stay in one place remains one group.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from seatrace.shipping import ship_package
 from seatrace.functions.geo import EARTH_RADIUS_M
@@ -50,17 +54,39 @@ def _ordered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*dict.fromkeys([*keys, "mmsi"]), micros("timestamp").alias("us"), F.radians("latitude").alias("lat"), F.radians("longitude").alias("lon"))
 
 
+#: Rows after which a track is cut at the next place where it may be.
+BLOCK_ROWS = 4096
+
+
+def _pieces(rows: DataFrame, keys: Sequence[str], is_cut) -> DataFrame:
+    """rows with __piece. Tracks may be cut before each row that is_cut (previous row's columns as __us, __lat, __lon)
+    holds for; the parts that begin within the same BLOCK_ROWS rows make one piece, since tiny groups cost more than
+    they spare."""
+    w = W.partitionBy(*keys).orderBy("us")
+    before = rows.withColumns({"__i": F.row_number().over(w), **{f"__{c}": F.lag(c).over(w) for c in ("us", "lat", "lon")}})
+    begun = F.max(F.when(F.coalesce(is_cut, F.lit(True)), F.col("__i"))).over(w)
+    return before.withColumn("__piece", F.floor(begun / BLOCK_ROWS)).drop("__i", "__us", "__lat", "__lon")
+
+
+def _by_jumps(df: DataFrame, radius_m: float, keys: Sequence[str]) -> DataFrame:
+    """Rows in pieces between jumps of two radii (and a little, for rounding), with the first time of their group."""
+    rows = _ordered(df, keys).withColumn("us0", F.min("us").over(W.partitionBy(*keys)))
+    h = F.pow(F.sin((F.col("lat") - F.col("__lat")) / 2), 2) + F.cos("lat") * F.cos("__lat") * F.pow(F.sin((F.col("lon") - F.col("__lon")) / 2), 2)
+    jump = 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h))) > 2 * radius_m * 1.001 + 1
+    return _pieces(rows, keys, jump)
+
+
 def loiter_candidates(df: DataFrame, radius_m: float, keys: Sequence[str] = ("mmsi",)) -> DataFrame:
     """(mmsi, begin, end, n, weight) of every candidate run."""
-
     ship_package(df.sparkSession)
+
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("us").reset_index(drop=True)
         us = pdf["us"].to_numpy()
-        found = runs(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), (us - us[0]) / 1e6, radius_m)
+        found = runs(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), (us - pdf["us0"].to_numpy()) / 1e6, radius_m)
         return pd.DataFrame([(pdf["mmsi"][0], us[i], us[j - 1], j - i, w) for i, j, w in found], columns=["mmsi", "b", "e", "n", "weight"])
 
-    out = _ordered(df, keys).groupBy(*keys).applyInPandas(find, "mmsi long, b long, e long, n long, weight double")
+    out = _by_jumps(df, radius_m, keys).groupBy(*keys, "__piece").applyInPandas(find, "mmsi long, b long, e long, n long, weight double")
     return out.select("mmsi", F.timestamp_micros("b").cast("timestamp_ntz").alias("begin"), F.timestamp_micros("e").cast("timestamp_ntz").alias("end"), "n", "weight")
 
 
@@ -68,25 +94,35 @@ def loitering(df: DataFrame, radius_m: float = 1e3, keys: Sequence[str] = ("mmsi
     """(mmsi, timestamp, loiter_sec, loiter_m, loiter_rank): the accepted runs' rows; null and -1 outside of runs.
 
     Runs are accepted by falling weight (ties: the earlier) when none of their rows is taken; the rank is that in the
-    whole list of candidates.
+    whole list of the ship's candidates, over all pieces of its track.
     """
-
     ship_package(df.sparkSession)
+    own = list(dict.fromkeys([*keys, "mmsi"]))
+
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("us").reset_index(drop=True)
         us, lat, lon = (pdf[c].to_numpy() for c in ("us", "lat", "lon"))
-        sec, dist, rank = np.full(len(us), np.nan), np.full(len(us), np.nan), np.full(len(us), -1)
-        found = sorted(runs(lat, lon, (us - us[0]) / 1e6, radius_m), key=lambda r: (-round(r[2], 6), r[0]))
-        for k, (i, j, _) in enumerate(found):
-            if (rank[i:j] == -1).all():
-                rank[i:j] = k
+        sec, dist, weight = (np.full(len(us), np.nan) for _ in range(3))
+        free, begins = np.ones(len(us), bool), np.zeros(len(us), bool)
+        found = sorted(runs(lat, lon, (us - pdf["us0"].to_numpy()) / 1e6, radius_m), key=lambda r: (-round(r[2], 6), r[0]))
+        for i, j, w in found:
+            weight[i] = round(w, 6)
+            if free[i:j].all():
+                free[i:j], begins[i] = False, True
                 sec[i:j] = (us[i:j] - us[i]) / 1e6
                 dist[i:j] = _cosine_m(lat[i:j], lon[i:j], lat[i], lon[i])
-        return pd.DataFrame({"mmsi": pdf["mmsi"], "us": us, "loiter_sec": sec, "loiter_m": dist, "loiter_rank": rank})
+        out = pdf[own].copy()
+        return out.assign(us=us, at=np.arange(len(us)), loiter_sec=sec, loiter_m=dist, weight=weight, free=free, begins=begins)
 
-    out = _ordered(df, keys).groupBy(*keys).applyInPandas(find, "mmsi long, us long, loiter_sec double, loiter_m double, loiter_rank int")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    ddl = ", ".join([*(f"{k} {kinds[k]}" for k in own), "us long, at long, loiter_sec double, loiter_m double, weight double, free boolean, begins boolean"])
+    rows = _by_jumps(df, radius_m, keys).groupBy(*keys, "__piece").applyInPandas(find, ddl)
     null = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return out.select("mmsi", F.timestamp_micros("us").cast("timestamp_ntz").alias("timestamp"), null("loiter_sec"), null("loiter_m"), "loiter_rank")
+    # Each row begins one candidate at most; accepted runs don't overlap, so a row's run is the one that began last.
+    ship = W.partitionBy(*keys)
+    ranked = rows.withColumn("__rank", F.row_number().over(ship.orderBy(F.desc_nulls_last(F.when(~F.isnan("weight"), F.col("weight"))), "us", "at")) - 1)
+    of_run = F.last(F.when(F.col("begins"), F.col("__rank")), ignorenulls=True).over(ship.orderBy("us", "at").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return ranked.select("mmsi", F.timestamp_micros("us").cast("timestamp_ntz").alias("timestamp"), null("loiter_sec"), null("loiter_m"), F.when(F.col("free"), F.lit(-1)).otherwise(of_run).cast("int").alias("loiter_rank"))
 
 
 def broken_tracks(df: DataFrame, *, speed_m_sec: float = 35.0, gap_sec: float = 3600.0) -> DataFrame:
@@ -136,6 +172,7 @@ def spoof_branches(df: DataFrame, *, speed_m_sec: float = 35.0, gap_sec: float =
         return pd.DataFrame({"mmsi": pdf["mmsi"], "us": us, "start": [least[t] for t in tops]})
 
     stamp = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-    split = marked.where("broken").drop("broken").groupBy("mmsi").applyInPandas(find, "mmsi long, us long, start long")
+    pieces = _pieces(marked.where("broken").drop("broken"), ["mmsi"], F.col("us") - F.col("__us") > gap_sec * 1e6)
+    split = pieces.groupBy("mmsi", "__piece").applyInPandas(find, "mmsi long, us long, start long")
     whole = marked.where("not broken").select("mmsi", "us", F.col("old").alias("start"))
     return split.unionAll(whole).select("mmsi", stamp(F.col("us")).alias("timestamp"), stamp(F.col("start")).alias("branch_start"))

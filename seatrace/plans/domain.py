@@ -121,9 +121,12 @@ def harvest_features(spark, d):
     return harvested(spark, d)
 
 
+_BEHAVIOR = {"speed": 0.5, "ang_vel": 0.01, "coast": 5e3, "dark_sec": 36000.0}
+
+
 @query()
 def behaviors(spark, d):
-    return rules.behaviors(harvested(spark, d), {"speed": 0.5, "ang_vel": 0.01, "coast": 5e3, "dark_sec": 36000.0})
+    return rules.behaviors(harvested(spark, d), _BEHAVIOR)
 
 
 @query()
@@ -326,11 +329,20 @@ def parameter_grid(spark, d):
 TREES = {"rf": 100, "gbt": 149}
 
 
+_FEATURES = ["length", "vessel_type", "coast_distance_km", "shipping_intensity", "max_speed_m_sec", "max_delta_sec", "path_m", "span_m", "n_within"]
+
+
+def labelled(spark, d):
+    """Harvested features of each ship and hour with one behaviour; what the rule looks at (the stay) isn't among them."""
+    wide = harvested(spark, d)
+    label = rules.behaviors(wide, _BEHAVIOR).select("mmsi", "timestamp", F.col("loitering_at_sea").cast("double").alias("label"))
+    return wide.select("mmsi", "timestamp", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in _FEATURES]).join(label, ["mmsi", "timestamp"])
+
+
 def _train(kind):
     def f(spark, d):
-        df = reports(spark, d).select("mmsi", "sog", "length", "width", "vessel_type", (F.col("sog") > 50).cast("double").alias("label"))
-        split = learning.split_by_hash(df, "mmsi")
-        model = learning.train_trees(split.where("not is_test"), ["length", "width", "vessel_type", "sog"], "label", kind, trees=TREES.get(kind, 1))
+        split = learning.split_by_hash(labelled(spark, d), "mmsi").persist()
+        model = learning.train_trees(split.where("not is_test"), _FEATURES, "label", kind, trees=TREES.get(kind, 1))
         return learning.confusion(model.transform(split.where("is_test")), "label", "prediction")
 
     f.__name__ = f"train_{kind}"

@@ -1,6 +1,6 @@
 """All queries outside of the corpus part."""
 
-from . import domain, tracks  # noqa: F401  domain adds its queries to those of tracks
+from . import domain, extra, tracks  # noqa: F401  domain and extra add their queries to those of tracks
 
 
 def queries() -> dict:

@@ -39,9 +39,16 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], *, schema: T.StructType = RAW_SCHEMA, num_files: int | None = None) -> DataFrame:
-    """Canonical rows of CSV files (plain or gz); malformed lines are dropped."""
+    """Canonical rows of CSV files (plain or gz); malformed lines are dropped, whichever columns are asked for."""
     paths = [paths] if isinstance(paths, str) else list(paths)[:num_files]
-    df = canonical(spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(paths))
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    raw = spark.read.schema(text).option("header", True).option("mode", "DROPMALFORMED").csv(paths)
+    # Values are cast here: the reader would only look at the columns that are asked for.
+    whole, casts = F.lit(True), []
+    for f in schema.fields:
+        cast = F.col(f.name).try_cast(f.dataType)
+        whole, casts = whole & (F.col(f.name).isNull() | cast.isNotNull()), [*casts, cast.alias(f.name)]
+    df = canonical(raw.where(whole).select(*casts))
     return nan_to_null(df.withColumn("timestamp", F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz")))
 
 
@@ -99,3 +106,26 @@ def from_events(events: DataFrame) -> DataFrame:
         ((5 + user % 60) / 4).alias("width"),
         F.col("event_id"),
     )
+
+
+def positions(df: DataFrame) -> DataFrame:
+    """Only who, when and where."""
+    return df.select("mmsi", "timestamp", "latitude", "longitude")
+
+
+def static_ships(df: DataFrame) -> DataFrame:
+    """(mmsi, length, width, aspect_ratio): the largest size that a ship has reported; null without a length."""
+    out = df.groupBy("mmsi").agg(F.max("length").alias("length"), F.max("width").alias("width"))
+    return out.withColumn("aspect_ratio", F.try_divide("width", "length"))
+
+
+def code_table(lines: DataFrame) -> DataFrame:
+    """(code, label) of lines (code, label) as text; a code may be a range such as `1 to 19`. Other lines are left out."""
+    at = lambda i: F.regexp_extract("code", r"^\s*(\d+)(?:\s+to\s+(\d+))?\s*$", i).try_cast("int")
+    low, high = at(1), F.coalesce(at(2), at(1))
+    return lines.where(low.isNotNull() & (low <= high)).select(F.explode(F.sequence(low, high)).alias("code"), F.trim("label").alias("label"))
+
+
+def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    """code_table of a CSV file with a header and two columns."""
+    return code_table(spark.read.schema("code string, label string").option("header", True).csv(path))

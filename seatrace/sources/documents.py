@@ -134,14 +134,30 @@ def unzip(spark: SparkSession, path: str, out: str) -> DataFrame:
     return spark.read.parquet(out).select("archive", "member", F.length("content").alias("bytes"))
 
 
-def stk_report(lines: DataFrame) -> DataFrame:
-    """(ship, at, latitude, longitude) of a simulator's report: lines (n, line), a header line before each ship's rows."""
-    counted = lines.withColumn("ship", F.sum(F.col("line").contains("Time (UTCG)").cast("int")).over(W.orderBy("n")))
+def stk_report(lines: DataFrame, *, block: int = 1_000_000) -> DataFrame:
+    """(ship, at, latitude, longitude) of a simulator's report: lines (n, line), a header line before each ship's rows.
+
+    Headers are counted by blocks of line numbers; only the blocks' counts are summed up in one place, lines in theirs.
+    """
+    head = F.coalesce(F.col("line").contains("Time (UTCG)"), F.lit(False)).cast("int")
+    marked = lines.withColumns({"__h": head, "__b": F.floor(F.col("n") / block)})
+    sums = marked.groupBy("__b").agg(F.sum("__h").alias("__s"))
+    before = sums.select("__b", (F.sum("__s").over(W.orderBy("__b")) - F.col("__s")).alias("__before"))
+    counted = marked.withColumn("__own", F.sum("__h").over(W.partitionBy("__b").orderBy("n"))).join(before, "__b").withColumn("ship", F.col("__before") + F.col("__own"))
     f = F.split(F.trim("line"), r"\s{2,}")
     rows = counted.where((F.col("ship") > 0) & F.col("line").rlike(r"^\s*\d+ \w{3} \d{4}"))
     return rows.select("ship", F.try_to_timestamp(F.element_at(f, 1), F.lit("d MMM yyyy HH:mm:ss.SSS")).cast("timestamp_ntz").alias("at"), F.try_element_at(f, F.lit(2)).cast("double").alias("latitude"), F.try_element_at(f, F.lit(3)).cast("double").alias("longitude"))
 
 
+def combine_days(days: dict[str, DataFrame]) -> DataFrame:
+    """Reports of several days in one table, with their day."""
+    parts = [df.withColumn("day", F.lit(d).cast("date")) for d, df in sorted(days.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def waypoints(reports: DataFrame) -> DataFrame:
     """(mmsi, text): a simulator's waypoint file for each ship, times as a share of its whole span, speeds in m/s."""
     w = W.partitionBy("mmsi")
@@ -158,3 +174,93 @@ def simulated_log(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     pick = lambda name, values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64("id", F.lit(name), F.lit(seed)), F.lit(len(values))) + 1).cast("int")).alias(name)
     unit = lambda name: F.pmod(F.xxhash64("id", F.lit(name), F.lit(seed)), F.lit(1_000_000)) / 1e6
     return spark.range(n).select("id", pick("Affiliation", ["civil", "state", "unknown"]), pick("Behavior", ["transit", "loiter", "fish"]), (unit("lat") * 180 - 90).alias("Latitude"), (unit("lon") * 360 - 180).alias("Longitude"), (unit("ais") < 0.8).alias("AIS Compliant"))
+
+
+def jittered(rows: DataFrame, keys, *, degrees: float = 0.01, seed: int = 0) -> DataFrame:
+    """Waypoints moved by up to `degrees` each way, the same for the same seed and keys."""
+    move = lambda n: (F.pmod(F.xxhash64(*keys, F.lit(n), F.lit(seed)), F.lit(2_000_001)) / 1e6 - 1) * degrees
+    return rows.withColumns({"latitude": F.col("latitude") + move(0), "longitude": F.col("longitude") + move(1)})
+
+
+def with_property(text: Column, name: str, value: str) -> Column:
+    """Scenario text in which the line `name value` has another value; other lines stay."""
+    import re
+
+    return F.regexp_replace(text, rf"(?m)^([ \t]*{re.escape(name)}[ \t]+)[^\r\n]*", "$1" + re.sub(r"([\\$])", r"\\\1", value))
+
+
+def request_days(places: DataFrame, first: str, last: str) -> DataFrame:
+    """places with one row for each day from first to last: what a service is to be asked for."""
+    return places.withColumn("date", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))))
+
+
+def write_answers(answers: DataFrame, path: str) -> None:
+    """Captured answers (kind, place, date, body) as JSON lines, each kind in a folder of its own."""
+    answers.write.mode("append").partitionBy("kind").json(path)
+
+
+def memoised(spark: SparkSession, path: str, make) -> DataFrame:
+    """What make() gives, from path if it lies there whole, else written there first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    done = hadoop.Path(path, "_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_report(df: DataFrame, path: str, by: str) -> None:
+    """A table as CSV, a folder for each value of `by`."""
+    df.write.partitionBy(by).option("header", True).csv(path)
+
+
+def read_kmz(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, lon, lat) of the placemarks in zipped KML files; one archive a task at a time."""
+    import pandas as pd
+
+    def run(batches):
+        import io
+        import zipfile
+
+        for pdf in batches:
+            for p, c in zip(pdf["path"], pdf["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(c)) as z:
+                    texts = [z.read(m).decode("utf-8", "replace") for m in z.namelist() if m.lower().endswith(".kml")]
+                yield pd.DataFrame({"path": [p] * len(texts), "kml": texts})
+
+    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, kml string")
+    return raw.select("path", F.explode(kml_placemarks(F.col("kml"))).alias("m")).select("path", "m.*")
+
+
+def read_raster(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, col, value) of two-dimensional arrays in .npy files, row by row; NaN is left out."""
+    import pandas as pd
+
+    def run(batches):
+        import io
+
+        import numpy as np
+
+        for pdf in batches:
+            for p, c in zip(pdf["path"], pdf["content"], strict=True):
+                for r, line in enumerate(np.load(io.BytesIO(c), allow_pickle=False)):
+                    cols = np.flatnonzero(~np.isnan(line.astype(float)))
+                    yield pd.DataFrame({"path": p, "row": np.full(len(cols), r), "col": cols, "value": line[cols].astype(float)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, col int, value double")
+
+
+def write_vectors(df: DataFrame, path: str, *, per_column: bool = False) -> None:
+    """Training vectors as parquet: (mmsi, features, labels), or a column for each feature and label."""
+    if per_column:
+        size = df.select(F.max(F.size("features")).alias("f"), F.max(F.size("labels")).alias("l")).first()
+        df = df.select("mmsi", *[F.try_element_at(c, F.lit(i + 1)).alias(f"{n}_{i}") for c, n, k in (("features", "f", size["f"]), ("labels", "l", size["l"])) for i in range(k or 0)])
+    df.write.parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(mmsi, features, labels), however they were written."""
+    raw = spark.read.parquet(path)
+    if "features" in raw.columns:
+        return raw
+    of = lambda n: F.array(*sorted((c for c in raw.columns if c.startswith(n + "_")), key=lambda c: int(c[2:])))
+    return raw.select("mmsi", of("f").alias("features"), of("l").alias("labels"))
