@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from seatrace.functions import scalars
@@ -333,16 +334,20 @@ _FEATURES = ["length", "vessel_type", "coast_distance_km", "shipping_intensity",
 
 
 def labelled(spark, d):
-    """Harvested features of each ship and hour with one behaviour; what the rule looks at (the stay) isn't among them."""
+    """(mmsi, x, label): each ship's first ten hours in a line, and whether it loiters at sea in more than one hour of a hundred.
+
+    What the rule of the label looks at (the stay) isn't among the features.
+    """
     wide = harvested(spark, d)
-    label = rules.behaviors(wide, _BEHAVIOR).select("mmsi", "timestamp", F.col("loitering_at_sea").cast("double").alias("label"))
-    return wide.select("mmsi", "timestamp", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in _FEATURES]).join(label, ["mmsi", "timestamp"])
+    label = rules.behaviors(wide, _BEHAVIOR).groupBy("mmsi").agg((F.avg(F.col("loitering_at_sea").cast("double")) > 0.01).cast("double").alias("label"))
+    filled = wide.select("mmsi", "timestamp", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in _FEATURES])
+    return learning.sequences(filled, _FEATURES).select("mmsi", array_to_vector("features").alias("x")).join(label, "mmsi")
 
 
 def _train(kind):
     def f(spark, d):
         split = learning.split_by_hash(labelled(spark, d), "mmsi").persist()
-        model = learning.train_trees(split.where("not is_test"), _FEATURES, "label", kind, trees=TREES.get(kind, 1))
+        model = learning.train_trees(split.where("not is_test"), ["x"], "label", kind, trees=TREES.get(kind, 1))
         return learning.confusion(model.transform(split.where("is_test")), "label", "prediction")
 
     f.__name__ = f"train_{kind}"
