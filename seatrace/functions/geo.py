@@ -70,14 +70,19 @@ def segment_distance_deg(x: Column, y: Column, x1: Column, y1: Column, x2: Colum
     return F.sqrt(ex * ex + ey * ey)
 
 
+def ring_edges(ring: Column) -> Column:
+    """Edges (a, b) of a ring given as array<struct<lon,lat>>; the ring closes itself."""
+    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, (i + 1) % F.size(ring)).alias("b")))
+
+
+def odd_crossings(x: Column, y: Column, edges: Column) -> Column:
+    """Whether a ray from the point towards larger x meets an odd number of edges: the point is in their ring."""
+    return F.aggregate(edges, F.lit(0), lambda n, e: n + _crosses(x, y, e["a"], e["b"])) % 2 == 1
+
+
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Ray casting in a ring given as array<struct<lon,lat>>; the ring closes itself."""
-    n = F.size(ring)
-    crossings = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: _crosses(x, y, F.element_at(ring, i), F.element_at(ring, F.when(i == n, 1).otherwise(i + 1))),
-    )
-    return F.aggregate(crossings, F.lit(0), lambda s, c: s + c) % 2 == 1
+    """Ray casting in a ring given as array<struct<lon,lat>>."""
+    return odd_crossings(x, y, ring_edges(ring))
 
 
 def _crosses(x, y, a, b) -> Column:

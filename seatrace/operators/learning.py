@@ -66,8 +66,9 @@ def sequences(df: DataFrame, columns: Sequence[str], rows: int = 10) -> DataFram
 
 
 def split_by_hash(df: DataFrame, id_col: str, test_share: float = 0.2) -> DataFrame:
-    """df with is_test, from the crc32 of the id."""
-    return df.withColumn("is_test", F.crc32(F.col(id_col).cast("string").cast("binary")) < F.lit(int(test_share * 2**32)))
+    """df with is_test, from the first eight digits of the id's md5; rows without an id are for training."""
+    digits = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("bigint")
+    return df.withColumn("is_test", F.coalesce(digits < F.lit(int(test_share * 2**32)), F.lit(False)))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:

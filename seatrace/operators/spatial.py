@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from seatrace.functions.geo import EARTH_RADIUS_M, haversine_m, in_ring, segment_distance_deg
+from seatrace.functions.geo import EARTH_RADIUS_M, haversine_m, odd_crossings, ring_edges, segment_distance_deg
 
 
 def _grid(radius_m: float) -> float:
@@ -80,25 +80,68 @@ def _covered(low: Column, high: Column, cell: float) -> Column:
     return F.sequence(F.floor(low / cell), F.floor(high / cell))
 
 
+def _edges_by_cell(polygons: DataFrame, rows: Column, cols: Column, bottom: Column, left: Column, height: float) -> DataFrame:
+    """polygons' ord and name for each cell (__y, __x), with the edges that a ray from a point of the cell can meet.
+
+    Edges above, below or to the left of a cell can't be met, so a long ring isn't copied to each of its cells. Cells
+    from which no edge can be met are left out: no ring holds their points.
+    """
+    slack = height * 1e-6
+    flat = polygons.select("ord", "name", ring_edges(F.col("ring")).alias("__e"), rows.alias("__rows"), cols.alias("__cols"))
+    top = bottom + height
+    meets_row = lambda e: (F.greatest(e["a"]["lat"], e["b"]["lat"]) >= bottom - slack) & (F.least(e["a"]["lat"], e["b"]["lat"]) <= top + slack)
+    by_row = flat.withColumn("__y", F.explode("__rows")).withColumn("__e", F.filter("__e", meets_row)).where(F.size("__e") > 0)
+    meets_cell = lambda e: F.greatest(e["a"]["lon"], e["b"]["lon"]) >= left - slack
+    return by_row.withColumn("__x", F.explode("__cols")).withColumn("__e", F.filter("__e", meets_cell)).where(F.size("__e") > 0).drop("__rows", "__cols")
+
+
+def _bounds(ring: str = "ring") -> tuple[Column, Column, Column, Column]:
+    lons, lats = F.transform(ring, lambda p: p["lon"]), F.transform(ring, lambda p: p["lat"])
+    return F.array_min(lons), F.array_max(lons), F.array_min(lats), F.array_max(lats)
+
+
+def _held(points: DataFrame, polygons: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+    """(keys, ord, name) for each polygon that holds a point."""
+    west, east, south, north = _bounds()
+    dealt = _edges_by_cell(polygons, _covered(south, north, cell), _covered(west, east, cell), F.col("__y") * cell, F.col("__x") * cell, cell)
+    pts = points.select(*keys, "latitude", "longitude", F.floor(F.col("longitude") / cell).alias("__x"), F.floor(F.col("latitude") / cell).alias("__y"))
+    return pts.join(dealt, ["__x", "__y"]).where(odd_crossings(F.col("longitude"), F.col("latitude"), F.col("__e"))).select(*keys, "ord", "name")
+
+
 def first_polygon(points: DataFrame, polygons: DataFrame, *, keys: Sequence[str], cell: float = 0.1) -> DataFrame:
     """points' keys with the first polygon (by ord) that holds them. polygons: ord, name, ring array<struct<lon,lat>>."""
-    lons, lats = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
-    dealt = polygons.withColumn("__x", F.explode(_covered(F.array_min(lons), F.array_max(lons), cell))).withColumn("__y", F.explode(_covered(F.array_min(lats), F.array_max(lats), cell)))
-    pts = points.select(*keys, "latitude", "longitude", F.floor(F.col("longitude") / cell).alias("__x"), F.floor(F.col("latitude") / cell).alias("__y"))
-    hits = pts.join(dealt, ["__x", "__y"]).where(in_ring(F.col("longitude"), F.col("latitude"), F.col("ring")))
-    best = hits.groupBy(*keys).agg(F.min(F.struct("ord", "name")).alias("b")).select(*keys, F.col("b.name").alias("name"))
+    best = _held(points, polygons, keys, cell).groupBy(*keys).agg(F.min(F.struct("ord", "name")).alias("b")).select(*keys, F.col("b.name").alias("name"))
     return points.select(*keys).join(best, list(keys), "left")
 
 
-def near_line(points: DataFrame, lines: DataFrame, *, keys: Sequence[str], within_deg: float = 0.05) -> DataFrame:
-    """points' keys with the first segment (by ord) within within_deg (planar). lines: ord, name, lon1, lat1, lon2, lat2."""
+def polygon_context(points: DataFrame, polygons: DataFrame, *, keys: Sequence[str], within_deg: float = 0.05, cell: float = 0.1) -> DataFrame:
+    """points' keys with the first polygon (by ord) that holds them or has an edge within within_deg (planar).
+
+    kind says `inside` or `within` (inside goes first), dist_deg how far the nearest edge is (0 inside); null where no
+    polygon is near. Points without a place are near none.
+    """
+    sides = polygons.select("ord", "name", F.explode(ring_edges(F.col("ring"))).alias("e"))
+    sides = sides.select("ord", "name", *[F.col(f"e.{p}.{c}").alias(f"{c}{n}") for p, n in (("a", 1), ("b", 2)) for c in ("lon", "lat")])
+    inside = _held(points, polygons, keys, cell).withColumns({"k": F.lit(0), "d": F.lit(0.0)})
+    near = _along(points, sides, keys, within_deg).withColumn("k", F.lit(1))
+    best = inside.unionByName(near).groupBy(*keys).agg(F.min(F.struct("ord", "k", "d", "name")).alias("b"))
+    kind = F.when(F.col("b.k") == 0, "inside").otherwise("within")
+    return points.select(*keys).join(best.select(*keys, F.col("b.name").alias("name"), kind.alias("kind"), F.col("b.d").alias("dist_deg")), list(keys), "left")
+
+
+def _along(points: DataFrame, lines: DataFrame, keys: Sequence[str], within_deg: float) -> DataFrame:
+    """(keys, ord, name, d) for each segment within within_deg of a point."""
     cell = max(within_deg, 1e-6) * 2
     x, y = (F.least("lon1", "lon2"), F.greatest("lon1", "lon2")), (F.least("lat1", "lat2"), F.greatest("lat1", "lat2"))
     dealt = lines.withColumn("__x", F.explode(_covered(x[0] - within_deg, x[1] + within_deg, cell))).withColumn("__y", F.explode(_covered(y[0] - within_deg, y[1] + within_deg, cell)))
     pts = points.select(*keys, "latitude", "longitude", F.floor(F.col("longitude") / cell).alias("__x"), F.floor(F.col("latitude") / cell).alias("__y"))
     d = segment_distance_deg(F.col("longitude"), F.col("latitude"), F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
-    hits = pts.join(dealt, ["__x", "__y"]).withColumn("d", d).where(F.col("d") <= within_deg)
-    best = hits.groupBy(*keys).agg(F.min(F.struct("ord", "name", "d")).alias("b")).select(*keys, F.col("b.name").alias("name"), F.col("b.d").alias("dist_deg"))
+    return pts.join(dealt, ["__x", "__y"]).withColumn("d", d).where(F.col("d") <= within_deg).select(*keys, "ord", "name", "d")
+
+
+def near_line(points: DataFrame, lines: DataFrame, *, keys: Sequence[str], within_deg: float = 0.05) -> DataFrame:
+    """points' keys with the first segment (by ord) within within_deg (planar). lines: ord, name, lon1, lat1, lon2, lat2."""
+    best = _along(points, lines, keys, within_deg).groupBy(*keys).agg(F.min(F.struct("ord", "name", "d")).alias("b")).select(*keys, F.col("b.name").alias("name"), F.col("b.d").alias("dist_deg"))
     return points.select(*keys).join(best, list(keys), "left")
 
 
@@ -119,10 +162,11 @@ def raster_lookup(points: DataFrame, raster: DataFrame, *, rows: int, cols: int,
 def rasterise(polygons: DataFrame, *, rows: int, cols: int) -> DataFrame:
     """(row, col, value): the first polygon (by ord) that holds each cell's centre."""
     dlat, dlon = 180 / rows, 360 / cols
-    lons, lats = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
-    cells = polygons.withColumn("row", F.explode(F.sequence(F.floor((90 - F.array_max(lats)) / dlat), F.floor((90 - F.array_min(lats)) / dlat)))).withColumn("col", F.explode(F.sequence(F.floor((F.array_min(lons) + 180) / dlon), F.floor((F.array_max(lons) + 180) / dlon))))
-    inside = cells.where(in_ring((F.col("col") + 0.5) * dlon - 180, 90 - (F.col("row") + 0.5) * dlat, F.col("ring")))
-    return inside.groupBy("row", "col").agg(F.min("ord").alias("value"))
+    west, east, south, north = _bounds()
+    own_rows, own_cols = F.sequence(F.floor((90 - north) / dlat), F.floor((90 - south) / dlat)), F.sequence(F.floor((west + 180) / dlon), F.floor((east + 180) / dlon))
+    cells = _edges_by_cell(polygons, own_rows, own_cols, 90 - (F.col("__y") + 1) * dlat, F.col("__x") * dlon - 180, dlat)
+    inside = cells.where(odd_crossings((F.col("__x") + 0.5) * dlon - 180, 90 - (F.col("__y") + 0.5) * dlat, F.col("__e")))
+    return inside.groupBy(F.col("__y").alias("row"), F.col("__x").alias("col")).agg(F.min("ord").alias("value"))
 
 
 def within(df: DataFrame, lat: float, lon: float, radius_m: float) -> DataFrame:

@@ -30,6 +30,15 @@ def eez_tag(spark, d):
     return spatial.first_polygon(reports(spark, d), zones(spark, d), keys=["event_id"], cell=0.05)
 
 
+@query(
+    f"SELECT a.event_id, x.b.name AS name, x.b.kind AS kind, {rd('x.b.dd', 'dist_deg')} FROM ais a LEFT JOIN (SELECT event_id, arg_min({{'name': name, 'kind': CASE WHEN dd = 0 THEN 'inside' ELSE 'within' END, 'dd': dd}}, ord) AS b FROM far WHERE dd <= 3e-2 GROUP BY 1) x ON a.event_id = x.event_id",
+    ZONE_SQL + ", far AS (SELECT a.event_id, z.ord, z.name, sqrt(pow(greatest(z.x0 - a.longitude, 0e0, a.longitude - (z.x0 + 6e-2)), 2) + pow(greatest(z.y0 - a.latitude, 0e0, a.latitude - (z.y0 + 8e-2)), 2)) AS dd FROM ais a, zone z)",
+)
+def zone_context(spark, d):
+    out = spatial.polygon_context(reports(spark, d), zones(spark, d), keys=["event_id"], within_deg=0.03, cell=0.05)
+    return out.select("event_id", "name", "kind", r6("dist_deg"))
+
+
 def pipelines(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet")
     k = F.col("n_nationkey")
@@ -130,6 +139,34 @@ def behaviors(spark, d):
     return rules.behaviors(harvested(spark, d), _BEHAVIOR)
 
 
+_KINDS = ["Fishing (30)", "Dredging or underwater ops (33)", "Diving ops (34)", "Cargo, all ships of this type (70)", "Tug (52)"]
+
+FEATURE_SQL = f"""feat AS (SELECT user_id AS mmsi, TIMESTAMP '2024-01-01' + to_seconds(event_id) AS timestamp, CASE WHEN event_id * 7 % 5 < 4 THEN 6e1 END AS loiter_sec, event_id * 13 % 7 * 1e3 AS excursion_m, event_id * 11 % 41 - 1e1 AS coast_distance_km,
+event_id * 17 % 50 AS max_speed_m_sec, event_id * 19 % 121 - 60 AS max_ang_vel_deg_sec, event_id * 23 % 97 * 6e1 AS max_delta_sec, list_extract({_KINDS}, user_id % 6 + 1) AS type_label, CASE WHEN event_id * 31 % 3 < 2 THEN 0 ELSE 1 END AS shipping_intensity,
+CASE event_id * 37 % 3 WHEN 0 THEN 'prohibited' WHEN 1 THEN 'free' END AS fish_rule, CASE WHEN event_id * 41 % 3 = 0 THEN 'p' END AS pipeline, CASE WHEN event_id * 43 % 4 = 0 THEN 'h' END AS port FROM events),
+beh AS (SELECT *, coast_distance_km * 1e3 AS coast, max_speed_m_sec > 35 OR abs(max_ang_vel_deg_sec) > 45 AS wild, coalesce(lower(type_label) LIKE '%fishing (30)%', false) AS fishing, max_delta_sec > 3600 AS dark,
+excursion_m < 5e3 AND loiter_sec IS NOT NULL AND coalesce(lead(loiter_sec IS NOT NULL) OVER (PARTITION BY mmsi ORDER BY timestamp), false) AS stay, coast_distance_km > 10 AND coalesce(lower(type_label) LIKE '%cargo%', false) AND shipping_intensity = 0 AS odd FROM feat)"""
+
+
+def features(spark, d):
+    """A wide table by rule in which every behaviour occurs."""
+    e = F.col("event_id")
+    part = lambda a, m: e * a % m
+    return spark.read.parquet(f"{d}/events.parquet").select(
+        F.col("user_id").alias("mmsi"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, event_id)").alias("timestamp"), F.when(part(7, 5) < 4, 60.0).alias("loiter_sec"), (part(13, 7) * 1e3).alias("excursion_m"), (part(11, 41) - 10.0).alias("coast_distance_km"),
+        part(17, 50).alias("max_speed_m_sec"), (part(19, 121) - 60).alias("max_ang_vel_deg_sec"), (part(23, 97) * 60.0).alias("max_delta_sec"), F.get(F.array(*map(F.lit, _KINDS)), F.col("user_id") % 6).alias("type_label"), F.when(part(31, 3) < 2, 0).otherwise(1).alias("shipping_intensity"),
+        F.when(part(37, 3) == 0, "prohibited").when(part(37, 3) == 1, "free").alias("fish_rule"), F.when(part(41, 3) == 0, "p").alias("pipeline"), F.when(part(43, 4) == 0, "h").alias("port"),
+    )
+
+
+@query(
+    "SELECT mmsi, timestamp, stay AND excursion_m > 0 AS loitering_at_sea, coalesce(pipeline IS NOT NULL AND stay AND (type_label LIKE '%(33)%' OR type_label LIKE '%(34)%'), false) AS loitering_pipeline_work, port IS NOT NULL AND stay AS loitering_port, coast > 1e4 AND stay AS loitering_far, coast < 1e4 AND stay AS loitering_near, coast > 0 AND wild AS oob_at_sea, coast < 0 AND wild AS oob_at_coast, coalesce(coast > 0 AND fish_rule = 'prohibited' AND stay AND fishing, false) AS fishing_prohibited, coast > 0 AND dark AND stay AND fishing AS fishing_dark, coalesce(coast > 0 AND dark AND fish_rule = 'prohibited' AND stay AND fishing, false) AS fishing_prohibited_dark, odd AND avg(CAST(odd AS INTEGER)) OVER (PARTITION BY mmsi) > 3e-1 AS anomalous_routing FROM beh",
+    FEATURE_SQL,
+)
+def behavior_rules(spark, d):
+    return rules.behaviors(features(spark, d), {"anomalous": 0.3})
+
+
 @query()
 def transshipment(spark, d):
     return rules.transshipment(harvested(spark, d), thresholds={"transshipment": 400.0, "coast": 5e3})
@@ -176,22 +213,24 @@ def pairing_compare(spark, d):
 
 
 def _lone_pairs(spark, d):
-    """Pairs by rule, for the joins: each detection with the ship of its own event if that number is even."""
-    e = reports(spark, d).select("mmsi", "timestamp", "event_id")
-    return e.where(F.col("event_id") % 3 == 0).select(F.when(F.col("event_id") % 2 == 0, F.col("mmsi")).alias("mmsi"), "timestamp", F.col("event_id").alias("det_id"), F.lit(1.5).alias("dist_m"))
+    """Pairs by rule, for the joins: every report is a detection, of its own ship if its number is even, else of none.
+
+    One in three is a second late, so that there are pairs without a report.
+    """
+    late = F.when(F.col("event_id") % 3 == 0, F.expr("interval 1 second")).otherwise(F.expr("interval 0 second"))
+    return reports(spark, d).select(F.when(F.col("event_id") % 2 == 0, F.col("mmsi")).alias("mmsi"), (F.col("timestamp") + late).alias("timestamp"), F.col("event_id").alias("det_id"), F.lit(1.5).alias("dist_m"))
 
 
-_LONE = "lone AS (SELECT CASE WHEN event_id % 2 = 0 THEN mmsi END AS mmsi, timestamp, event_id AS det_id, 15e-1 AS dist_m FROM ais WHERE event_id % 3 = 0), few AS (SELECT mmsi, timestamp, sog FROM ais WHERE event_id % 5 < 3), got AS (SELECT * FROM lone WHERE mmsi IS NOT NULL)"
+_LONE = "lone AS (SELECT CASE WHEN event_id % 2 = 0 THEN mmsi END AS mmsi, timestamp + to_seconds(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS timestamp, event_id AS det_id, 15e-1 AS dist_m FROM ais), got AS (SELECT * FROM lone WHERE mmsi IS NOT NULL)"
 
 
 def _master(how, sql):
     def f(spark, d):
-        few = reports(spark, d).where("event_id % 5 < 3").select("mmsi", "timestamp", "sog")
-        return pairing.merge_reports(few, _lone_pairs(spark, d), how)
+        return pairing.merge_reports(reports(spark, d).select("mmsi", "timestamp", "sog"), _lone_pairs(spark, d), how)
 
     f.__name__ = f"pairing_master_{how}"
     alone = " UNION ALL SELECT mmsi, timestamp, CAST(NULL AS DOUBLE), det_id, dist_m FROM lone WHERE mmsi IS NULL"
-    query(f"SELECT coalesce(f.mmsi, g.mmsi) AS mmsi, coalesce(f.timestamp, g.timestamp) AS timestamp, f.sog, g.det_id, g.dist_m FROM few f {sql} JOIN got g ON f.mmsi = g.mmsi AND f.timestamp = g.timestamp" + (alone if how in ("right", "outer") else ""), _LONE)(f)
+    query(f"SELECT coalesce(f.mmsi, g.mmsi) AS mmsi, coalesce(f.timestamp, g.timestamp) AS timestamp, f.sog, g.det_id, g.dist_m FROM ais f {sql} JOIN got g ON f.mmsi = g.mmsi AND f.timestamp = g.timestamp" + (alone if how in ("right", "outer") else ""), _LONE)(f)
 
 
 for _how, _sql in (("left", "LEFT"), ("right", "RIGHT"), ("inner", ""), ("outer", "FULL")):
@@ -199,7 +238,7 @@ for _how, _sql in (("left", "LEFT"), ("right", "RIGHT"), ("inner", ""), ("outer"
 
 
 def _master_whole(how):
-    """All reports with all that infer_identity finds; the queries above join a part of them with pairs by rule."""
+    """All reports with all that infer_identity finds; the queries above join them with pairs by rule."""
 
     def f(spark, d):
         return pairing.merge_reports(reports(spark, d).select("mmsi", "timestamp", "sog"), paired(spark, d), how)
@@ -272,7 +311,7 @@ def label_vector(spark, d):
     return out.select("mmsi", F.array("sog_greater_100", "status_is_view").alias("labels"))
 
 
-@query()
+@query("SELECT DISTINCT mmsi, md5(CAST(mmsi AS VARCHAR)) < '33333333' AS is_test FROM ais")
 def split_by_hash(spark, d):
     return learning.split_by_hash(reports(spark, d).select("mmsi").distinct(), "mmsi")
 
