@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontamination, fingerprints, jaccard, language, lm, packing, quality, repeats, toxicity, urls
+from . import decontamination, divergence, fingerprints, jaccard, language, lm, manifest, packing, quality, repeats, token_files, toxicity, urls
 
 
 def queries() -> dict:
@@ -15,8 +15,11 @@ def queries() -> dict:
         "op8_decontamination": decontamination.op8,
         "op9_packing": packing.op9,
         "op10_fingerprints": fingerprints.op10,
+        "op11_merkle_manifest": manifest.op11,
+        "op12_token_files": token_files.op12,
+        "op13_source_divergence": divergence.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": repeats.ORACLE, "op4_url_filters": urls.ORACLE, "op6_jaccard_join": jaccard.ORACLE, "op8_decontamination": decontamination.ORACLE, "op10_fingerprints": fingerprints.ORACLE}
+    return {"op3_suffix_dedup": repeats.ORACLE, "op4_url_filters": urls.ORACLE, "op6_jaccard_join": jaccard.ORACLE, "op8_decontamination": decontamination.ORACLE, "op10_fingerprints": fingerprints.ORACLE, "op11_merkle_manifest": manifest.ORACLE, "op13_source_divergence": divergence.ORACLE}
