@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from seatrace.shipping import ship_package
 from seatrace.functions.geo import EARTH_RADIUS_M, haversine_m
+from seatrace.storage import connected_components, written
 
 from .clock import at_instants, augment
 from .filters import restore_types
 from .rules import describe
+from .space_time import clusters
 from .spatial import _cells, _grid, _near_cells
 from .tracks import micros
 
@@ -28,7 +30,7 @@ OVERFLOW_M = EARTH_RADIUS_M * 1e3
 
 
 def candidates(detections: DataFrame, reports: DataFrame, *, threshold_sec: float = 300.0, threshold_m: float = 1e4) -> DataFrame:
-    """(det_id, timestamp, mmsi, dist_m): ships whose interpolated place is within reach of a detection.
+    """(det_id, timestamp, mmsi, dist_m, timestamp_nearest): ships whose interpolated place is within reach of a detection.
 
     detections: det_id, timestamp, latitude, longitude. A ship counts if its nearest report is within threshold_sec.
     """
@@ -36,9 +38,9 @@ def candidates(detections: DataFrame, reports: DataFrame, *, threshold_sec: floa
     ships = ships.where(F.abs(micros("timestamp_nearest") - micros("timestamp")) < threshold_sec * 1e6)
     grid = _grid(threshold_m)
     near = _near_cells(detections.select("det_id", "timestamp", F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2")), "lat2", "lon2", grid)
-    placed = ships.withColumns(_cells(F.col("latitude"), F.col("longitude"), grid)).select("timestamp", "__row", "__col", "mmsi", "latitude", "longitude")
+    placed = ships.withColumns(_cells(F.col("latitude"), F.col("longitude"), grid)).select("timestamp", "__row", "__col", "mmsi", "latitude", "longitude", "timestamp_nearest")
     pairs = near.join(placed, ["timestamp", "__row", "__col"]).withColumn("dist_m", haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2")))
-    return pairs.where(F.col("dist_m") <= threshold_m).select("det_id", "timestamp", "mmsi", "dist_m")
+    return pairs.where(F.col("dist_m") <= threshold_m).select("det_id", "timestamp", "mmsi", "dist_m", "timestamp_nearest")
 
 
 def near_detections(reports: DataFrame, detections: DataFrame, *, threshold_sec: float, threshold_m: float) -> DataFrame:
@@ -71,7 +73,7 @@ def _clusters(lat: np.ndarray, lon: np.ndarray, eps_m: float) -> np.ndarray:
     return label
 
 
-def _search(d: np.ndarray, max_permutations: int) -> tuple[list[int], int, int, int]:
+def _search(d: np.ndarray, max_permutations: int, overflow: float = OVERFLOW_M) -> tuple[list[int], int, int, int]:
     """(ship row of each detection, improvements, last improvement, tries) for a ships x detections distance matrix.
 
     Ships are put in greedy order: the least distances first, each ship and detection once, then the other ships by
@@ -79,7 +81,7 @@ def _search(d: np.ndarray, max_permutations: int) -> tuple[list[int], int, int,
     """
     ships, dets = d.shape
     if ships < dets:
-        d = np.vstack([d, np.full((dets - ships, dets), OVERFLOW_M)])
+        d = np.vstack([d, np.full((dets - ships, dets), overflow)])
     by = sorted(((d[s, k], s, k) for s in range(len(d)) for k in range(dets)))
     first: dict[int, int] = {}
     used: set[int] = set()
@@ -105,40 +107,85 @@ def _search(d: np.ndarray, max_permutations: int) -> tuple[list[int], int, int,
     return best, better, last, count + 1
 
 
+_FOUND = "det_id long, mmsi long, dist_m double, nearest long, cluster long, greedy_count long, last_improvement long, last_iter long"
+
+
+def _with_candidates(detections: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Detections with their candidates as arrays: ships, dists, and times of the ships' nearest reports."""
+    held = pairs.groupBy("det_id").agg(F.array_sort(F.collect_list(F.struct("mmsi", "dist_m", micros("timestamp_nearest").alias("us")))).alias("near"))
+    rows = detections.select("det_id", micros("timestamp").alias("us"), F.radians("latitude").alias("lat"), F.radians("longitude").alias("lon")).join(held, "det_id", "left")
+    return rows.select("det_id", "us", "lat", "lon", F.col("near.mmsi").alias("ships"), F.col("near.dist_m").alias("dists"), F.col("near.us").alias("reported"))
+
+
+def _assigned(pdf: pd.DataFrame, label: np.ndarray, max_permutations: int, power: int = 1) -> pd.DataFrame:
+    """One ship at most for each row, cluster by cluster; what a cluster takes is gone for the next."""
+    out = {c: [None] * len(pdf) for c in ("mmsi", "dist_m", "nearest", "greedy_count", "last_improvement", "last_iter")}
+    taken: set[int] = set()
+    for c in sorted(set(label.tolist())):
+        own = np.flatnonzero(label == c)
+        near = [{} if pdf["ships"][i] is None else {s: (x, t) for s, x, t in zip(pdf["ships"][i], pdf["dists"][i], pdf["reported"][i], strict=True) if s not in taken} for i in own]
+        ships = sorted({s for n in near for s in n})
+        if not ships:
+            continue
+        d = np.array([[n[s][0] if s in n else OVERFLOW_M for n in near] for s in ships])
+        best, better, last, count = _search(d**power, max_permutations, OVERFLOW_M**power)
+        for k, (i, s) in enumerate(zip(own, best, strict=True)):
+            if s < len(ships) and d[s, k] < OVERFLOW_M:
+                out["mmsi"][i], out["dist_m"][i], out["nearest"][i] = int(ships[s]), float(d[s, k]), int(near[k][ships[s]][1])
+                taken.add(ships[s])
+            out["greedy_count"][i], out["last_improvement"][i], out["last_iter"][i] = better, last, count
+    made = pd.DataFrame({"det_id": pdf["det_id"], "cluster": label})
+    for c, v in out.items():
+        made[c] = pd.array(v, dtype="Float64" if c == "dist_m" else "Int64")
+    return made[[c.split()[0] for c in _FOUND.split(", ")]]
+
+
+def _described_pairs(found: DataFrame, detections: DataFrame) -> DataFrame:
+    stamp = F.timestamp_micros("nearest").cast("timestamp_ntz").alias("timestamp_nearest")
+    return found.join(detections.select("det_id", "timestamp"), "det_id").select("det_id", "timestamp", "mmsi", "dist_m", stamp, "cluster", "greedy_count", "last_improvement", "last_iter")
+
+
 def infer_identity(detections: DataFrame, reports: DataFrame, *, threshold_sec: float = 300.0, threshold_m: float = 1e4, max_permutations: int = 1000, clustering_eps_m: float | None = None) -> DataFrame:
-    """Per detection: det_id, timestamp, mmsi and dist_m (null without a pair), cluster, greedy_count, last_improvement, last_iter."""
+    """Per detection: det_id, timestamp, mmsi, dist_m and timestamp_nearest (null without a pair), cluster, greedy_count, last_improvement, last_iter.
+
+    timestamp_nearest is the time of the ship's report that is nearest to the detection: the key back to the reports.
+    """
     eps = 2 * threshold_m if clustering_eps_m is None else clustering_eps_m
     pairs = candidates(detections, reports, threshold_sec=threshold_sec, threshold_m=threshold_m)
-    held = pairs.groupBy("det_id").agg(F.array_sort(F.collect_list(F.struct("mmsi", "dist_m"))).alias("near"))
-    rows = detections.select("det_id", "timestamp", F.radians("latitude").alias("lat"), F.radians("longitude").alias("lon")).join(held, "det_id", "left")
-    rows = rows.select("det_id", micros("timestamp").alias("us"), "lat", "lon", F.col("near.mmsi").alias("ships"), F.col("near.dist_m").alias("dists"))
+    rows = _with_candidates(detections, pairs)
 
     ship_package(detections.sparkSession)
+
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("det_id").reset_index(drop=True)
-        label = _clusters(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), eps)
-        out = {c: [None] * len(pdf) for c in ("mmsi", "dist_m", "greedy_count", "last_improvement", "last_iter")}
-        taken: set[int] = set()
-        for c in range(label.max() + 1):
-            own = np.flatnonzero(label == c)
-            near = [{} if pdf["ships"][i] is None else {s: x for s, x in zip(pdf["ships"][i], pdf["dists"][i], strict=True) if s not in taken} for i in own]
-            ships = sorted({s for n in near for s in n})
-            if not ships:
-                continue
-            d = np.array([[n.get(s, OVERFLOW_M) for n in near] for s in ships])
-            best, better, last, count = _search(d, max_permutations)
-            for k, (i, s) in enumerate(zip(own, best, strict=True)):
-                if s < len(ships) and d[s, k] < OVERFLOW_M:
-                    out["mmsi"][i], out["dist_m"][i] = int(ships[s]), float(d[s, k])
-                    taken.add(ships[s])
-                out["greedy_count"][i], out["last_improvement"][i], out["last_iter"][i] = better, last, count
-        made = pd.DataFrame({"det_id": pdf["det_id"], "us": pdf["us"], "cluster": label})
-        for c, v in out.items():
-            made[c] = pd.array(v, dtype="Float64" if c == "dist_m" else "Int64")
-        return made[["det_id", "us", "mmsi", "dist_m", "cluster", "greedy_count", "last_improvement", "last_iter"]]
-
-    found = rows.groupBy("us").applyInPandas(find, "det_id long, us long, mmsi long, dist_m double, cluster long, greedy_count long, last_improvement long, last_iter long")
-    return found.select("det_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("timestamp"), "mmsi", "dist_m", "cluster", "greedy_count", "last_improvement", "last_iter")
+        return _assigned(pdf, _clusters(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), eps), max_permutations)
+
+    return _described_pairs(rows.groupBy("us").applyInPandas(find, _FOUND), detections)
+
+
+def infer_space_time(detections: DataFrame, reports: DataFrame, *, threshold_sec: float = 1800.0, threshold_m: float = 1e4, ns_per_m: float = 100.0, min_points: int = 1, max_permutations: int = 1000) -> DataFrame:
+    """The older objective: detections of a cluster in space and time share their ships, and squared distances are least.
+
+    Clusters are those of `space_time.clusters`; detections in no cluster (min_points above 1) stand alone. The columns
+    are those of infer_identity; cluster is the smallest det_id of the cluster. Inside a cluster, detections that no chain
+    of common candidates connects can't take each other's ships, so each such group is a search of its own; the least sum
+    is the same, and a large cluster isn't one task.
+    """
+    pairs = written(candidates(detections, reports, threshold_sec=threshold_sec, threshold_m=threshold_m), "pair-candidates")
+    cluster = clusters(detections, eps_m=threshold_m, ns_per_m=ns_per_m, min_points=min_points).select("det_id", F.coalesce("cluster", "det_id").alias("__cluster"))
+    # A node for each detection, and one for each ship of a cluster, named after the first detection that it is near.
+    of_ship = pairs.join(cluster, "det_id").groupBy("__cluster", "mmsi").agg(F.min("det_id").alias("first"))
+    links = pairs.join(cluster, "det_id").join(of_ship, ["__cluster", "mmsi"]).select(F.col("det_id").alias("a"), F.col("first").alias("b"))
+    group = connected_components(links, "pair-groups").select(F.col("node").alias("det_id"), F.col("component").alias("__group"))
+    rows = _with_candidates(detections, pairs).join(cluster, "det_id").join(group, "det_id", "left").withColumn("__group", F.coalesce("__group", "det_id"))
+
+    ship_package(detections.sparkSession)
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("det_id").reset_index(drop=True)
+        return _assigned(pdf, pdf["__cluster"].to_numpy(), max_permutations, power=2)
+
+    return _described_pairs(rows.groupBy("__cluster", "__group").applyInPandas(find, _FOUND), detections)
 
 
 def sweep(detections: DataFrame, reports: DataFrame, thresholds_sec, thresholds_m, max_permutations) -> DataFrame:
@@ -167,7 +214,7 @@ def quality(paired: DataFrame, reports: DataFrame | None = None, by=()) -> DataF
     ]
     if reports is not None:
         off = F.abs(micros("timestamp_nearest") - micros("timestamp")) / 1e6
-        paired = augment(paired, reports, []).withColumn("off_sec", off)
+        paired = augment(paired.drop("timestamp_nearest"), reports, []).withColumn("off_sec", off)
         measures += [F.stddev_samp("off_sec").alias("std_off_sec"), F.max("off_sec").alias("max_off_sec")]
     return paired.groupBy(*by).agg(*measures)
 
@@ -184,7 +231,7 @@ def side_by_side(measures: DataFrame, parameter: str, left, right, by=(), *, tru
 
 def described(paired: DataFrame, reports: DataFrame, table: DataFrame, columns=("vessel_type", "length")) -> DataFrame:
     """paired with the ship's columns at that time and the label of its type."""
-    out = augment(paired, reports, list(columns)).drop("timestamp_previous", "timestamp_next")
+    out = augment(paired.drop("timestamp_nearest"), reports, list(columns)).drop("timestamp_previous", "timestamp_next")
     return describe(restore_types(out, reports.select(*columns)), table, "vessel_type", "type_label")
 
 
@@ -196,10 +243,12 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def merge_reports(reports: DataFrame, paired: DataFrame, how: str) -> DataFrame:
-    """Reports joined with pairs on ship and instant; how: left, right, inner or outer."""
-    p = paired.where("mmsi is not null").select("mmsi", "timestamp", "det_id", "dist_m")
-    out = reports.join(p, ["mmsi", "timestamp"], {"outer": "full_outer"}.get(how, how))
+    """Reports joined with pairs on ship and the time of its report nearest to the detection; how: left, right, inner or outer.
+
+    det_timestamp is the detection's own time. right and outer also have the detections without a ship, with no report.
+    """
+    p = paired.select("mmsi", F.col("timestamp_nearest").alias("timestamp"), "det_id", F.col("timestamp").alias("det_timestamp"), "dist_m")
+    out = reports.join(p.where("mmsi is not null"), ["mmsi", "timestamp"], {"outer": "full_outer"}.get(how, how))
     if how in ("right", "outer"):
-        alone = paired.where("mmsi is null").select("mmsi", "timestamp", "det_id", "dist_m")
-        out = out.unionByName(alone, allowMissingColumns=True)
+        out = out.unionByName(p.where("mmsi is null"), allowMissingColumns=True)
     return out

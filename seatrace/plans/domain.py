@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from seatrace.functions import scalars
-from seatrace.operators import harvest, learning, pairing, rules, spatial
+from seatrace.operators import harvest, learning, pairing, rules, space_time, spatial
 from seatrace.sources import documents as sources
 
 from .tracks import CLOCK_CTE, DET_SQL, detections, hav, hourly, ports, query, r6, rd, reports
@@ -178,7 +178,7 @@ gp AS (SELECT g.mmsi, g.t, s.timestamp AS t0, s.latitude AS lat0, s.longitude AS
 gn AS (SELECT p.*, s.timestamp AS t1, s.latitude AS lat1, s.longitude AS lon1 FROM gp p ASOF JOIN seqd s ON p.mmsi = s.mmsi AND p.t <= s.timestamp),
 gf AS (SELECT *, CASE WHEN t = t0 THEN 0e0 ELSE (epoch_us(t) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0)) END AS f FROM gn),
 sh AS (SELECT mmsi, t, lat0 + (lat1 - lat0) * f AS latitude, lon0 + (lon1 - lon0) * f AS longitude, CASE WHEN round_even(seq + f, 0) > seq THEN t1 ELSE t0 END AS tn FROM gf),
-cand AS (SELECT d.det_id, d.timestamp, s.mmsi, {hav('s.latitude', 's.longitude', 'd.latitude', 'd.longitude')} AS dist_m FROM det d JOIN sh s ON s.t = d.timestamp WHERE abs(epoch_us(s.tn) - epoch_us(s.t)) < 14400e6 AND abs(s.latitude - d.latitude) < 6e-2),
+cand AS (SELECT d.det_id, d.timestamp, s.mmsi, s.tn, {hav('s.latitude', 's.longitude', 'd.latitude', 'd.longitude')} AS dist_m FROM det d JOIN sh s ON s.t = d.timestamp WHERE abs(epoch_us(s.tn) - epoch_us(s.t)) < 14400e6 AND abs(s.latitude - d.latitude) < 6e-2),
 near AS (SELECT * FROM cand WHERE dist_m <= 5000)"""
 _LIMITS = {"threshold_sec": 14400.0, "threshold_m": 5000.0}
 
@@ -212,25 +212,23 @@ def pairing_compare(spark, d):
     return pairing.compare(paired(spark, d, 1), paired(spark, d))
 
 
-def _lone_pairs(spark, d):
-    """Pairs by rule, for the joins: every report is a detection, of its own ship if its number is even, else of none.
-
-    One in three is a second late, so that there are pairs without a report.
-    """
-    late = F.when(F.col("event_id") % 3 == 0, F.expr("interval 1 second")).otherwise(F.expr("interval 0 second"))
-    return reports(spark, d).select(F.when(F.col("event_id") % 2 == 0, F.col("mmsi")).alias("mmsi"), (F.col("timestamp") + late).alias("timestamp"), F.col("event_id").alias("det_id"), F.lit(1.5).alias("dist_m"))
+def _candidate_pairs(spark, d):
+    """Every detection with each ship that could be it, and those that could be none."""
+    det = detections(spark, d)
+    near = pairing.candidates(det, reports(spark, d), **_LIMITS)
+    return det.select("det_id", "timestamp").join(near.drop("timestamp"), "det_id", "left").withColumn("dist_m", r6("dist_m"))
 
 
-_LONE = "lone AS (SELECT CASE WHEN event_id % 2 = 0 THEN mmsi END AS mmsi, timestamp + to_seconds(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS timestamp, event_id AS det_id, 15e-1 AS dist_m FROM ais), got AS (SELECT * FROM lone WHERE mmsi IS NOT NULL)"
+_CAND = PAIR_CTE + f", got AS (SELECT mmsi, tn AS timestamp, det_id, timestamp AS det_timestamp, {rd('dist_m', 'dist_m')} FROM near)"
 
 
 def _master(how, sql):
     def f(spark, d):
-        return pairing.merge_reports(reports(spark, d).select("mmsi", "timestamp", "sog"), _lone_pairs(spark, d), how)
+        return pairing.merge_reports(reports(spark, d).select("mmsi", "timestamp", "sog"), _candidate_pairs(spark, d), how)
 
     f.__name__ = f"pairing_master_{how}"
-    alone = " UNION ALL SELECT mmsi, timestamp, CAST(NULL AS DOUBLE), det_id, dist_m FROM lone WHERE mmsi IS NULL"
-    query(f"SELECT coalesce(f.mmsi, g.mmsi) AS mmsi, coalesce(f.timestamp, g.timestamp) AS timestamp, f.sog, g.det_id, g.dist_m FROM ais f {sql} JOIN got g ON f.mmsi = g.mmsi AND f.timestamp = g.timestamp" + (alone if how in ("right", "outer") else ""), _LONE)(f)
+    alone = " UNION ALL SELECT NULL, NULL, NULL, det_id, timestamp, NULL FROM det WHERE det_id NOT IN (SELECT det_id FROM near)"
+    query(f"SELECT coalesce(f.mmsi, g.mmsi) AS mmsi, coalesce(f.timestamp, g.timestamp) AS timestamp, f.sog, g.det_id, g.det_timestamp, g.dist_m FROM ais f {sql} JOIN got g ON f.mmsi = g.mmsi AND f.timestamp = g.timestamp" + (alone if how in ("right", "outer") else ""), _CAND)(f)
 
 
 for _how, _sql in (("left", "LEFT"), ("right", "RIGHT"), ("inner", ""), ("outer", "FULL")):
@@ -238,7 +236,7 @@ for _how, _sql in (("left", "LEFT"), ("right", "RIGHT"), ("inner", ""), ("outer"
 
 
 def _master_whole(how):
-    """All reports with all that infer_identity finds; the queries above join them with pairs by rule."""
+    """All reports with all that infer_identity finds; the queries above join them with all candidates."""
 
     def f(spark, d):
         return pairing.merge_reports(reports(spark, d).select("mmsi", "timestamp", "sog"), paired(spark, d), how)
@@ -251,6 +249,25 @@ for _how in ("left", "right", "inner", "outer"):
     _master_whole(_how)
 
 
+#: For the clusters of the data: 1,500 m, or 1,500 seconds.
+_DENSE = {"eps_m": 1500.0, "ns_per_m": 1e9, "min_points": 3}
+_DENSE_SQL = DET_SQL + f""", close AS (SELECT a.det_id AS a, b.det_id AS b, sqrt(pow((epoch_us(a.timestamp) - epoch_us(b.timestamp)) * 1e-6, 2) + pow({hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}, 2)) AS dd FROM det a JOIN det b ON abs(epoch_us(a.timestamp) - epoch_us(b.timestamp)) <= 15e8),
+near_by AS MATERIALIZED (SELECT * FROM close WHERE dd <= 15e2), core AS MATERIALIZED (SELECT a AS id FROM near_by GROUP BY 1 HAVING count(*) >= 3), link AS MATERIALIZED (SELECT a, b FROM near_by WHERE a IN (FROM core) AND b IN (FROM core)),
+reach AS (SELECT id, id AS other FROM core UNION SELECT r.id, l.b FROM reach r JOIN link l ON l.a = r.other), own AS (SELECT id, min(other) AS first FROM reach GROUP BY 1),
+edge AS (SELECT a AS id, arg_min(b, (dd, b)) AS other FROM near_by WHERE a NOT IN (FROM core) AND b IN (FROM core) GROUP BY 1), named AS (SELECT id, first FROM own UNION ALL SELECT edge.id, first FROM edge JOIN own ON own.id = edge.other),
+least AS (SELECT first, min(id) AS cluster FROM named GROUP BY 1)"""
+
+
+@query("SELECT det_id, cluster FROM det LEFT JOIN (SELECT id, cluster FROM named JOIN least USING (first)) n ON n.id = det_id", _DENSE_SQL)
+def space_time_clusters(spark, d):
+    return space_time.clusters(detections(spark, d), **_DENSE)
+
+
+@query()
+def pairing_space_time(spark, d):
+    return pairing.infer_space_time(detections(spark, d), reports(spark, d), **_LIMITS, ns_per_m=1e6)
+
+
 @query(f"SELECT a.event_id FROM ais a WHERE EXISTS (SELECT 1 FROM det d WHERE abs(epoch_us(a.timestamp) - epoch_us(d.timestamp)) <= 900e6 AND {hav('a.latitude', 'a.longitude', 'd.latitude', 'd.longitude')} <= 4000)", DET_SQL)
 def reports_near_detections(spark, d):
     return pairing.near_detections(reports(spark, d), detections(spark, d), threshold_sec=900.0, threshold_m=4000.0).select("event_id")

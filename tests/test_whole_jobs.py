@@ -1,40 +1,17 @@
-"""Queries without SQL do the whole job: pairs of all reports, all trees of the reference."""
+"""Queries without SQL do the whole job: all trees of the reference."""
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pytest
 
 from seatrace.operators import learning
-from seatrace.plans import domain, registry
+from seatrace.plans import registry
 
 from .oracle import SF
 
 SMALL = SF.replace("sf0.01", "sf0.001")
 
 
-@pytest.mark.parametrize("how", ["left", "right", "inner", "outer"])
-def test_master_joins_all_reports_with_all_pairs(spark, how):
-    reports = [tuple(r) for r in domain.reports(spark, SMALL).select("mmsi", "timestamp", "sog").collect()]
-    pairs = [tuple(r) for r in domain.paired(spark, SMALL).select("mmsi", "timestamp", "det_id", "dist_m").collect()]
-    by, want, met = {}, [], set()
-    for m, t, det, dist in pairs:
-        if m is not None:
-            by.setdefault((m, t), []).append((det, dist))
-    for m, t, sog in reports:
-        own = by.get((m, t), [])
-        want += [(m, t, sog, det, dist) for det, dist in own]
-        met.update(det for det, _ in own)
-        if not own and how in ("left", "outer"):
-            want.append((m, t, sog, None, None))
-    if how in ("right", "outer"):
-        want += [(m, t, None, det, dist) for m, t, det, dist in pairs if det not in met]
-    cut = lambda rows: Counter((m, t, sog, det, None if dist is None else round(dist, 6)) for m, t, sog, det, dist in rows)
-    got = registry.queries()[f"pairing_master_whole_{how}"](spark, SMALL).select("mmsi", "timestamp", "sog", "det_id", "dist_m")
-    assert cut(map(tuple, got.collect())) == cut(want)
-
-
 @pytest.mark.parametrize("kind, trees", [("rf", 100), ("gbt", 149)])
 def test_trees_are_those_of_the_reference(spark, kind, trees, monkeypatch):
     asked = {}
