@@ -1,12 +1,10 @@
-"""What the corpus operators share: text passes, bounded samples, written intermediate tables, components."""
+"""What the corpus operators share: text passes and bounded samples; tables and components come from seatrace.storage."""
 
 from __future__ import annotations
 
 import ctypes
 import math
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -18,46 +16,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from seatrace.shipping import ship_package
+from seatrace.storage import checkpoint_dir, connected_components, discard, written  # noqa: F401
 
 #: Texts are handed to a kernel in groups of about this many characters, so memory doesn't follow the batch size.
 SLICE_CHARS = 1 << 20
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Only a local session without one (as in tests) gets a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if named:
-        if not held.isDefined():
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    if not held.isDefined():
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="seatrace-checkpoint-"))
-        held = sc._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._seatrace_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that written() made; only for those that no plan still to be run reads."""
-    for df in tables:
-        spark = df.sparkSession
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._seatrace_path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def with_row_key(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """(row, id, text, *keep) with a number of its own for each row.
 
@@ -267,35 +231,3 @@ class HashMemo(dict):
             self.clear()
         value = self[word] = self.hasher(word)
         return value
-
-
-def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b); only nodes with an edge appear.
-
-    Alternating large-star and small-star steps: every step keeps connectivity, rows never outnumber the edges, and a
-    long chain takes a number of rounds that is logarithmic in its length. Each round is written to the checkpoint
-    folder and the one before it deleted. A hub's neighbours are only aggregated (a minimum) and joined, never gathered;
-    minima are written before they are joined, so that both sides of the join are plain shuffles, which adaptive
-    execution splits where a hub makes them uneven.
-    """
-    pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cur = written(pairs, name)
-    before = None
-    for _ in range(max_rounds):
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
-        both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
-        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}-large")
-        small_low = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
-        step = large.join(small_low, "u")
-        small = step.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = written(small, name)
-        discard(cur, low, large, small_low)
-        cur = after
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
