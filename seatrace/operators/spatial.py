@@ -159,6 +159,18 @@ def raster_lookup(points: DataFrame, raster: DataFrame, *, rows: int, cols: int,
     return points.withColumns({"__r": r, "__c": c}).join(raster.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col("value").alias(name)), ["__r", "__c"], "left").drop("__r", "__c")
 
 
+def tile_lookup(points: DataFrame, tiles: DataFrame, *, rows: int, cols: int, side: int, name: str) -> DataFrame:
+    """points with the raster's value, null where there is none. tiles: tile_row, tile_col, width, values, row by row.
+
+    One row of the join for a point, as with single cells, but the raster's side has a row for side * side of them.
+    """
+    r, c = raster_cells(F.col("latitude"), F.col("longitude"), rows, cols)
+    placed = points.withColumns({"__r": r, "__c": c}).withColumns({"__tr": F.floor(F.col("__r") / side).cast("int"), "__tc": F.floor(F.col("__c") / side).cast("int")})
+    held = tiles.select(F.col("tile_row").alias("__tr"), F.col("tile_col").alias("__tc"), F.col("width").alias("__w"), F.col("values").alias("__v"))
+    found = F.get("__v", (F.col("__r") % side) * F.col("__w") + F.col("__c") % side)
+    return placed.join(held, ["__tr", "__tc"], "left").select(*points.columns, F.nanvl(found, F.lit(None).cast("double")).alias(name))
+
+
 def rasterise(polygons: DataFrame, *, rows: int, cols: int) -> DataFrame:
     """(row, col, value): the first polygon (by ord) that holds each cell's centre."""
     dlat, dlon = 180 / rows, 360 / cols

@@ -133,18 +133,11 @@ def broken_tracks(df: DataFrame, *, speed_m_sec: float = 35.0, gap_sec: float =
     return steps.groupBy("mmsi").agg(F.max(F.coalesce((F.try_divide("delta_m", "delta_sec") > speed_m_sec) | (F.col("delta_sec") > gap_sec), F.lit(False))).alias("broken"))
 
 
-def spoof_branches(df: DataFrame, *, speed_m_sec: float = 35.0, gap_sec: float = 3600.0, inherited: DataFrame | None = None) -> DataFrame:
-    """(mmsi, timestamp, branch_start): for broken ships, the first time of the report's branch; null for others.
-
-    Reports of a branch can be reached from one another in steps of at most speed_m_sec and gap_sec. inherited
-    (mmsi, timestamp, branch_start) brings in the day before.
-    """
-    rows = _ordered(df, ("mmsi",)).withColumn("old", F.lit(None).cast("bigint"))
-    if inherited is not None:
-        rows = rows.join(inherited.select("mmsi", micros("timestamp").alias("us"), micros("branch_start").alias("__old")), ["mmsi", "us"], "left").withColumn("old", F.coalesce("__old", "old")).drop("__old")
-    marked = rows.join(broken_tracks(df, speed_m_sec=speed_m_sec, gap_sec=gap_sec), "mmsi")
+def linked(rows: DataFrame, *, speed_m_sec: float, gap_sec: float) -> DataFrame:
+    """rows (mmsi, us, lat, lon in radians, old) with start: the first time of all rows of a ship that steps of at most
+    speed_m_sec and gap_sec connect, or the least old (a time known from before) among them. lat and lon go."""
+    ship_package(rows.sparkSession)
 
-    ship_package(df.sparkSession)
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("us").reset_index(drop=True)
         us, lat, lon = (pdf[c].to_numpy() for c in ("us", "lat", "lon"))
@@ -169,10 +162,20 @@ def spoof_branches(df: DataFrame, *, speed_m_sec: float = 35.0, gap_sec: float =
         least: dict[int, int] = {}
         for t, u, old in zip(tops, us, pdf["old"], strict=True):
             least[t] = min(least.get(t, int(u)), int(u), *([] if pd.isna(old) else [int(old)]))
-        return pd.DataFrame({"mmsi": pdf["mmsi"], "us": us, "start": [least[t] for t in tops]})
+        return pd.DataFrame({"mmsi": pdf["mmsi"], "us": us, "old": pdf["old"].astype("Int64"), "start": [least[t] for t in tops]})
 
-    stamp = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-    pieces = _pieces(marked.where("broken").drop("broken"), ["mmsi"], F.col("us") - F.col("__us") > gap_sec * 1e6)
-    split = pieces.groupBy("mmsi", "__piece").applyInPandas(find, "mmsi long, us long, start long")
+    pieces = _pieces(rows, ["mmsi"], F.col("us") - F.col("__us") > gap_sec * 1e6)
+    return pieces.groupBy("mmsi", "__piece").applyInPandas(find, "mmsi long, us long, old long, start long")
+
+
+def spoof_branches(df: DataFrame, *, speed_m_sec: float = 35.0, gap_sec: float = 3600.0) -> DataFrame:
+    """(mmsi, timestamp, branch_start): for broken ships, the first time of the report's branch; null for others.
+
+    Reports of a branch can be reached from one another in steps of at most speed_m_sec and gap_sec. For reports that come
+    day by day see `branches`.
+    """
+    marked = _ordered(df, ("mmsi",)).withColumn("old", F.lit(None).cast("bigint")).join(broken_tracks(df, speed_m_sec=speed_m_sec, gap_sec=gap_sec), "mmsi")
+    split = linked(marked.where("broken").drop("broken"), speed_m_sec=speed_m_sec, gap_sec=gap_sec).select("mmsi", "us", "start")
     whole = marked.where("not broken").select("mmsi", "us", F.col("old").alias("start"))
+    stamp = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return split.unionAll(whole).select("mmsi", stamp(F.col("us")).alias("timestamp"), stamp(F.col("start")).alias("branch_start"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seatrace.functions import scalars
 from seatrace.operators import harvest, learning, pairing, rules, space_time, spatial
 from seatrace.sources import documents as sources
+from seatrace.sources import rasters
 
 from .tracks import CLOCK_CTE, DET_SQL, detections, hav, hourly, ports, query, r6, rd, reports
 
@@ -69,6 +70,19 @@ def raster_tag(spark, d):
     return spatial.raster_lookup(reports(spark, d), raster(spark, d), rows=18000, cols=36000, name="value").select("event_id", "value")
 
 
+_BUSY = "busy AS (SELECT event_id, greatest(0, least(17999, CAST(round_even((90 - latitude) / 180 * 18000 - 5e-1, 0) AS INTEGER))) AS row, greatest(0, least(35999, CAST(round_even((longitude + 180) / 360 * 36000 - 5e-1, 0) AS INTEGER))) AS col, sog FROM ais), crowd AS (SELECT row, col, CAST(count(*) AS DOUBLE) AS n FROM busy WHERE sog > 50 GROUP BY 1, 2)"
+
+
+@query("SELECT event_id, n AS fast_reports FROM busy LEFT JOIN crowd USING (row, col)", _BUSY)
+def raster_tag_tiles(spark, d):
+    """A raster of how many fast reports each cell of 0.01 degrees has, kept in tiles and looked up for every report."""
+    df = reports(spark, d)
+    row, col = spatial.raster_cells(F.col("latitude"), F.col("longitude"), 18000, 36000)
+    pixels = df.where("sog > 50").groupBy(row.alias("row"), col.alias("col")).agg(F.count("*").cast("double").alias("value"))
+    tiles = rasters.tiled(pixels, side=64)
+    return spatial.tile_lookup(df.select("event_id", "latitude", "longitude"), tiles, rows=18000, cols=36000, side=64, name="fast_reports").select("event_id", "fast_reports")
+
+
 @query("SELECT row, col, min(ord) AS value FROM (SELECT ord, 90 - (row + 5e-1) * 1e-2 AS lat, (col + 5e-1) * 1e-2 - 180 AS lon, row, col FROM zone z, (SELECT CAST(r AS BIGINT) AS row FROM range(6900, 7100) t(r)), (SELECT CAST(c AS BIGINT) AS col FROM range(9900, 10100) t(c)) WHERE lon > x0 AND lon < x0 + 6e-2 AND lat > y0 AND lat < y0 + 8e-2) GROUP BY 1, 2", ZONE_SQL)
 def rasterise_zones(spark, d):
     return spatial.rasterise(zones(spark, d), rows=18000, cols=36000)

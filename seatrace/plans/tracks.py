@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seatrace.functions import geo, scalars
-from seatrace.operators import clock, filters, learning, spatial, stays, tracks
+from seatrace.operators import branches, clock, filters, learning, spatial, stays, tracks
 from seatrace.sources import ais
+from seatrace.storage import checkpoint_dir
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -333,11 +336,24 @@ def broken_tracks(spark, d):
     return stays.broken_tracks(reports(spark, d), speed_m_sec=0.3, gap_sec=86400)
 
 
-@query(
-    "SELECT a.mmsi, a.timestamp, CASE WHEN b.broken THEN least(a.timestamp, coalesce((SELECT min(u) FROM reach r WHERE r.mmsi = a.mmsi AND r.t = a.timestamp), a.timestamp)) END AS branch_start FROM ais a JOIN brk b ON a.mmsi = b.mmsi",
+_BRANCH_SQL = "SELECT a.mmsi, a.timestamp, CASE WHEN b.broken THEN least(a.timestamp, coalesce((SELECT min(u) FROM reach r WHERE r.mmsi = a.mmsi AND r.t = a.timestamp), a.timestamp)) END AS branch_start FROM ais a JOIN brk b ON a.mmsi = b.mmsi"
+_BRANCH_CTE = (
     BROKEN_CTE
     + f""", lk AS (SELECT a.mmsi, a.timestamp AS t, b.timestamp AS u FROM ais a JOIN brk k ON k.mmsi = a.mmsi AND k.broken JOIN ais b ON a.mmsi = b.mmsi AND a.timestamp <> b.timestamp AND abs(epoch_us(a.timestamp) - epoch_us(b.timestamp)) <= 86400e6
-    WHERE {hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} <= 3e-1 * abs(epoch_us(a.timestamp) - epoch_us(b.timestamp)) / 1e6), reach AS (SELECT mmsi, t, u FROM lk UNION SELECT r.mmsi, r.t, l.u FROM reach r JOIN lk l ON r.mmsi = l.mmsi AND r.u = l.t)""",
+    WHERE {hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} <= 3e-1 * abs(epoch_us(a.timestamp) - epoch_us(b.timestamp)) / 1e6), reach AS (SELECT mmsi, t, u FROM lk UNION SELECT r.mmsi, r.t, l.u FROM reach r JOIN lk l ON r.mmsi = l.mmsi AND r.u = l.t)"""
 )
+
+
+@query(_BRANCH_SQL, _BRANCH_CTE)
 def spoof_branches(spark, d):
     return stays.spoof_branches(reports(spark, d), speed_m_sec=0.3, gap_sec=86400)
+
+
+@query(_BRANCH_SQL, _BRANCH_CTE)
+def spoof_branches_by_week(spark, d):
+    """The same, a week at a time: each run sees one week's reports and what the week before has handed on."""
+    all_ = reports(spark, d).withColumn("week", F.date_trunc("week", "timestamp").cast("date"))
+    path = f"{checkpoint_dir(spark)}/branches-{uuid.uuid4().hex}"
+    for week in sorted(r["week"] for r in all_.select("week").distinct().collect()):
+        branches.append(all_.where(F.col("week") == F.lit(week)), path, str(week), speed_m_sec=0.3, gap_sec=86400)
+    return branches.branches(spark, path)

@@ -112,28 +112,6 @@ def find_files(spark: SparkSession, path: str, *, starts: str = "", ends: str =
     return kept.withColumn("duplicates", F.count("*").over(W.partitionBy("name")))
 
 
-def unzip(spark: SparkSession, path: str, out: str) -> DataFrame:
-    """(archive, member, bytes): members of zip files, each written under out; archives are read one a task."""
-    import pandas as pd
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches):
-        import io
-        import zipfile
-
-        for pdf in batches:
-            rows = []
-            for p, c in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(c)) as z:
-                    rows += [(p, i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
-            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
-
-    members = raw.mapInPandas(run, "archive string, member string, content binary")
-    members.write.mode("append").partitionBy("archive").parquet(out)
-    return spark.read.parquet(out).select("archive", "member", F.length("content").alias("bytes"))
-
-
 def stk_report(lines: DataFrame, *, block: int = 1_000_000) -> DataFrame:
     """(ship, at, latitude, longitude) of a simulator's report: lines (n, line), a header line before each ship's rows.
 
