@@ -107,3 +107,34 @@ def clip_segment(x1: Column, y1: Column, x2: Column, y2: Column, *, xs: tuple[fl
     b, e = F.greatest(*begin), F.least(*end)
     part = F.struct((x1 + dx * b).alias("x1"), (y1 + dy * b).alias("y1"), (x1 + dx * e).alias("x2"), (y1 + dy * e).alias("y2"))
     return F.when(ok & (b <= e), part)
+
+
+def hull(points: Column, lat0: Column, lon0: Column) -> Column:
+    """The points (array<struct<latitude,longitude>>) that can be ends of their longest great-circle distance.
+
+    Seen from the globe's centre, great circles are straight lines on the plane that touches it at (lat0, lon0), and within
+    half a right angle of there the distance from a point is largest at a corner of the convex hull. The hull is built
+    from left to right and back: of the chain so far stays what turns left towards the next point; such corners come
+    first in a chain that turns left throughout, so their number is where it is cut. Points farther away: all of them.
+    """
+    a, b = F.radians(lat0), F.radians(lon0)
+
+    def seen(p):
+        lat, dlon = F.radians(p["latitude"]), F.radians(p["longitude"]) - b
+        depth = F.sin(a) * F.sin(lat) + F.cos(a) * F.cos(lat) * F.cos(dlon)
+        x, y = F.cos(lat) * F.sin(dlon) / depth, (F.cos(a) * F.sin(lat) - F.sin(a) * F.cos(lat) * F.cos(dlon)) / depth
+        return F.struct(x.alias("x"), y.alias("y"), p["latitude"].alias("latitude"), p["longitude"].alias("longitude"), depth.alias("depth"))
+
+    flat = F.array_sort(F.transform(F.array_distinct(F.transform(points, lambda p: F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude")))), seen))
+    left = lambda o, p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (p["y"] - o["y"]) * (q["x"] - o["x"]) > 0
+
+    def add(chain, q):
+        corners = F.filter(F.transform(chain, lambda p, i: (i == 0) | left(F.get(chain, i - 1), p, q)), lambda ok: ok)
+        return F.concat(F.slice(chain, 1, F.size(corners)), F.array(q))
+
+    def chain(ordered):
+        return F.aggregate(ordered, F.slice(ordered, 1, 0), add)
+
+    bare = lambda c: F.transform(c, lambda p: F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude")))
+    near = F.forall(flat, lambda p: p["depth"] > 0.7072)
+    return F.when(near, bare(F.concat(chain(flat), chain(F.reverse(flat))))).otherwise(bare(flat))

@@ -22,11 +22,19 @@ def _grid(radius_m: float) -> float:
 
 
 def _columns(row: Column, size: float) -> Column:
-    """Number of cells around the globe in a row: none is narrower than the radius is there or in the rows beside it."""
-    most = (F.abs(row + 0.5) + 1.5) * size
-    ratio = math.sin(math.radians(min(90.0, size / 2))) / F.cos(F.radians(F.least(most, F.lit(89.9))))
-    width = 2 * F.degrees(F.asin(F.least(ratio, F.lit(1.0))))
-    return F.when((most >= 89.9) | (ratio >= 1), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / width))).cast("bigint")
+    """Number of cells around the globe in a row: none is narrower than the radius is there or in the rows beside it.
+
+    Looked up by the degree of latitude that the row lies in, for the degree's far end: rows of a degree are alike, and
+    no row costs more than an element of a constant array.
+    """
+
+    def of_band(degree: int) -> int:
+        most = degree + 1 + 1.5 * size
+        ratio = math.sin(math.radians(min(90.0, size / 2))) / math.cos(math.radians(most)) if most < 89.9 else 1.0
+        return 1 if ratio >= 1 else max(1, math.floor(360 / math.degrees(2 * math.asin(ratio))))
+
+    band = F.least(F.floor(F.abs(row + 0.5) * size), F.lit(90)).cast("int")
+    return F.get(F.lit([of_band(k) for k in range(91)]), band).cast("bigint")
 
 
 def _cells(lat: Column, lon: Column, size: float) -> dict[str, Column]:
@@ -45,23 +53,38 @@ def _near_cells(df: DataFrame, lat: str, lon: str, size: float) -> DataFrame:
 
 
 def neighbor_pairs(df: DataFrame, radius_m: float) -> DataFrame:
-    """(timestamp, mmsi, other, dist_m): ships within radius_m of one another at the same instant, both directions."""
+    """(timestamp, mmsi, other, dist_m): ships within radius_m of one another at the same instant, both directions.
+
+    Each pair is found and measured once: a point looks into its own cell, the next one to the east and three of the row
+    to the north, and what it finds is turned around. In rows of one or two cells all cells are looked into.
+    """
     pts = df.select("timestamp", "mmsi", "latitude", "longitude").where("latitude is not null and longitude is not null")
     grid = _grid(radius_m)
-    a = _near_cells(pts, "latitude", "longitude", grid)
-    b = pts.withColumns(_cells(F.col("latitude"), F.col("longitude"), grid)).select("timestamp", "__row", "__col", F.col("mmsi").alias("other"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
+    held = pts.withColumns(_cells(F.col("latitude"), F.col("longitude"), grid)).withColumn("__n", _columns(F.col("__row"), grid))
+    up = _columns(F.col("__row") + 1, grid)
+    above = F.floor((F.col("longitude") + 180) / (360 / up))
+    cell = lambda row, col, once: F.struct(row.alias("row"), col.alias("col"), once.alias("once"))
+    # once: the other one may find this one, too, so the smaller number counts
+    own = [cell(F.col("__row"), F.col("__col"), F.lit(True))]
+    beside = F.when(F.col("__n") > 1, F.array(cell(F.col("__row"), F.pmod(F.col("__col") + 1, F.col("__n")), F.col("__n") < 3))).otherwise(F.array().cast("array<struct<row:bigint,col:bigint,once:boolean>>"))
+    north = F.transform(F.array_distinct(F.transform(F.sequence(above - 1, above + 1), lambda c: F.pmod(c, up))), lambda c: cell(F.col("__row") + 1, c, F.lit(False)))
+    a = held.select("timestamp", "mmsi", "latitude", "longitude", F.explode(F.concat(F.array(*own), beside, north)).alias("__to"))
+    a = a.select("timestamp", "mmsi", "latitude", "longitude", F.col("__to.row").alias("__row"), F.col("__to.col").alias("__col"), F.col("__to.once").alias("__once"))
+    b = held.select("timestamp", "__row", "__col", F.col("mmsi").alias("other"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
     d = haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, ["timestamp", "__row", "__col"]).where(F.col("mmsi") != F.col("other")).withColumn("dist_m", d).where(F.col("dist_m") <= radius_m).select("timestamp", "mmsi", "other", "dist_m")
+    once = F.when(F.col("__once"), F.col("mmsi") < F.col("other")).otherwise(F.col("mmsi") != F.col("other"))
+    found = a.join(b, ["timestamp", "__row", "__col"]).where(once).withColumn("dist_m", d).where(F.col("dist_m") <= radius_m)
+    ways = F.array(*[F.struct(F.col(x).alias("mmsi"), F.col(y).alias("other")) for x, y in (("mmsi", "other"), ("other", "mmsi"))])
+    return found.select("timestamp", F.explode(ways).alias("p"), "dist_m").select("timestamp", "p.mmsi", "p.other", "dist_m")
 
 
 def neighbors(df: DataFrame, *, n_nearest: int = 5, radius_m: float = 5.0) -> DataFrame:
     """df's (timestamp, mmsi) with `i_dist_m` and `i_mmsi` of the nearest ships (null and -1 beyond) and n_within."""
-    pairs = neighbor_pairs(df, radius_m)
-    ranked = pairs.withColumn("k", F.row_number().over(W.partitionBy("timestamp", "mmsi").orderBy("dist_m", "other")) - 1)
-    counts = pairs.groupBy("timestamp", "mmsi").agg(F.count("*").alias("n_within"))
-    nearest = ranked.where(F.col("k") < n_nearest).groupBy("timestamp", "mmsi").agg(*[F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{i}_{n}") for i in range(n_nearest) for c, n in (("dist_m", "dist_m"), ("other", "mmsi"))])
-    out = df.select("timestamp", "mmsi").join(counts, ["timestamp", "mmsi"], "left").join(nearest, ["timestamp", "mmsi"], "left")
-    return out.select("timestamp", "mmsi", F.coalesce("n_within", F.lit(0)).cast("int").alias("n_within"), *[F.col(f"{i}_dist_m") if c == "d" else F.coalesce(f"{i}_mmsi", F.lit(-1)).alias(f"{i}_mmsi") for i in range(n_nearest) for c in "dm"])
+    w = W.partitionBy("timestamp", "mmsi")
+    ranked = neighbor_pairs(df, radius_m).withColumns({"k": F.row_number().over(w.orderBy("dist_m", "other")) - 1, "n": F.count("*").over(w)})
+    near = ranked.where(F.col("k") < max(1, n_nearest)).groupBy("timestamp", "mmsi").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{i}_{n}") for i in range(n_nearest) for c, n in (("dist_m", "dist_m"), ("other", "mmsi"))])
+    out = df.select("timestamp", "mmsi").join(near, ["timestamp", "mmsi"], "left")
+    return out.select("timestamp", "mmsi", F.coalesce("n", F.lit(0)).cast("int").alias("n_within"), *[F.col(f"{i}_dist_m") if c == "d" else F.coalesce(f"{i}_mmsi", F.lit(-1)).alias(f"{i}_mmsi") for i in range(n_nearest) for c in "dm"])
 
 
 def nearest_places(points: DataFrame, places: DataFrame, *, keys: Sequence[str], n_nearest: int = 2, radius_m: float = 10_000.0) -> DataFrame:
@@ -72,7 +95,7 @@ def nearest_places(points: DataFrame, places: DataFrame, *, keys: Sequence[str],
     pairs = pts.join(near, ["__row", "__col"]).withColumn("dist_m", haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2"))).where(F.col("dist_m") <= radius_m)
     w = W.partitionBy(*keys)
     ranked = pairs.select(*keys, "place", "dist_m", (F.row_number().over(w.orderBy("dist_m", "place")) - 1).alias("k"), F.count("*").over(w).alias("n"))
-    found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{i}_{c}") for i in range(n_nearest) for c in ("dist_m", "place")])
+    found = ranked.where(F.col("k") < max(1, n_nearest)).groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{i}_{c}") for i in range(n_nearest) for c in ("dist_m", "place")])
     return points.select(*keys).join(found, list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).cast("int").alias("n_within"), *[f"{i}_{c}" for i in range(n_nearest) for c in ("dist_m", "place")])
 
 

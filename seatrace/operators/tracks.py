@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from seatrace.functions.geo import bearing_deg, cosine_m, haversine_m
+from seatrace.functions.geo import bearing_deg, cosine_m, haversine_m, hull
 
 KINEMATICS = ("delta_sec", "delta_m", "bearing_deg", "curvature_deg_m", "speed_m_sec", "accel_m_sec2", "ang_vel_deg_sec", "ang_accel_deg_sec2")
 
@@ -110,10 +110,15 @@ def islands(df: DataFrame, flag: Column) -> DataFrame:
     return rows.groupBy("mmsi", "g").agg(F.min("timestamp").alias("begin"), F.max("timestamp").alias("end"), F.count("*").alias("n")).drop("g")
 
 
+#: Groups of more points than this are measured by their hull.
+HULL_FROM = 12
+
+
 def geometry(df: DataFrame, keys=("mmsi", "bin")) -> DataFrame:
     """Shape of each group's track: end to end distance and turn, excursion from the mean, path length and span.
 
-    The points of a group are folded as one ordered array (a ship's points of a bin). Null for single points.
+    The points of a group are folded as one ordered array (a ship's points of a bin). Null for single points. The span is
+    measured between all points of small groups and between the corners of their hull in others.
     """
     pts = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("timestamp", "latitude", "longitude"))).alias("p"), F.count("*").alias("count"), F.avg("latitude").alias("mean_latitude"), F.avg("longitude").alias("mean_longitude"))
     n = F.size("p")
@@ -124,7 +129,9 @@ def geometry(df: DataFrame, keys=("mmsi", "bin")) -> DataFrame:
     steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
     first, last = at(F.lit(1)), at(n)
     second, before = at(F.when(n > 1, 2).otherwise(1)), at(F.when(n > 1, n - 1).otherwise(1))
-    furthest = lambda x: F.array_max(F.transform("p", lambda y: dist(x, y)))
+    across = lambda c: F.array_max(F.transform(c, lambda x: F.array_max(F.transform(c, lambda y: dist(x, y)))))
+    span = F.when(n <= HULL_FROM, across(F.col("p"))).otherwise(across(F.col("corners")))
+    pts = pts.withColumn("corners", F.when(n > HULL_FROM, hull(F.col("p"), F.col("mean_latitude"), F.col("mean_longitude"))))
     rotation = turn(before, last) - turn(first, second)
     return pts.select(
         *keys,
@@ -135,5 +142,5 @@ def geometry(df: DataFrame, keys=("mmsi", "bin")) -> DataFrame:
         many(F.pmod(rotation, F.lit(360.0))).alias("end2end_deg"),
         many(F.array_max(F.transform("p", lambda x: cosine_m(x["latitude"], x["longitude"], F.col("mean_latitude"), F.col("mean_longitude"))))).alias("excursion_m"),
         many(F.aggregate(F.transform(steps, lambda i: dist(at(i - 1), at(i))), F.lit(0.0), lambda s, x: s + x)).alias("path_m"),
-        many(F.array_max(F.transform("p", furthest))).alias("span_m"),
+        many(span).alias("span_m"),
     )

@@ -158,3 +158,29 @@ def test_pairs_are_joined_by_the_nearest_report(spark, how):
     cut = lambda rows: Counter((*r[:5], None if r[5] is None else round(r[5], 6)) for r in rows)
     got = registry.queries()[f"pairing_master_whole_{how}"](spark, SMALL).select("mmsi", "timestamp", "sog", "det_id", "det_timestamp", "dist_m")
     assert cut(map(tuple, got.collect())) == cut(want)
+
+
+def test_a_sweep_equals_single_runs(spark):
+    """All of one candidate table: several thresholds of both kinds, and permutations on detections in conflict."""
+    rng = random.Random(21)
+    reports, dets = [], []
+    for g in range(6):
+        t = NOON + dt.timedelta(hours=g)
+        for k in range(4):
+            a, b = g + rng.uniform(-0.03, 0.03), rng.uniform(-0.03, 0.03)
+            reports += [(g * 10 + k, t + dt.timedelta(seconds=s), a, b) for s in (-rng.choice([30, 400, 900]), rng.choice([30, 400, 900]))]
+            dets.append((g * 10 + k, t, g + rng.uniform(-0.03, 0.03), rng.uniform(-0.03, 0.03)))
+    a = spark.createDataFrame(reports, "mmsi long, timestamp timestamp_ntz, latitude double, longitude double")
+    b = spark.createDataFrame(dets, "det_id long, timestamp timestamp_ntz, latitude double, longitude double")
+    grid = [(s, m, p) for s in (60.0, 500.0, 1000.0) for m in (2500.0, 6000.0) for p in (1, 500)]
+    all_ = pairing.sweep(b, a, [60, 500.0, 1000.0], [2500.0, 6000.0], [1, 500])
+    names = ["det_id", "timestamp", "mmsi", "dist_m", "timestamp_nearest", "cluster", "greedy_count", "last_improvement", "last_iter"]
+    got = Counter(map(tuple, all_.select(*names, "threshold_sec", "threshold_m", "max_permutations").collect()))
+    want, improved = Counter(), 0
+    for s, m, p in grid:
+        rows = pairing.infer_identity(b, a, threshold_sec=s, threshold_m=m, max_permutations=p).select(*names).collect()
+        improved += sum((r["greedy_count"] or 0) > 0 for r in rows)
+        want.update((*r, s, m, p) for r in map(tuple, rows))
+    assert got == want and improved > 0
+    with pytest.raises(ValueError):
+        pairing.sweep(b, a, [], [1.0], [1])
