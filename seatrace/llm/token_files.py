@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,8 @@ MAGIC = b"DACTOK01"
 BLOCK = 512
 #: Tokens that the reader decodes at a time.
 READ_TOKENS = 1 << 20
+#: Bytes of text that are encoded at a time: the more, the fewer words are new to a slice.
+SLICE_TEXT = 4 << 20
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 
@@ -71,8 +74,8 @@ def packed(values: np.ndarray, width: int) -> bytes:
     """Values of width bits each, one behind the other."""
     out = []
     for at in range(0, len(values), 1 << 19):  # a multiple of 8 values ends on a whole byte
-        part = values[at : at + (1 << 19)].astype("<u4")
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+        part = values[at : at + (1 << 19)].astype("<u2" if width <= 16 else "<u4")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, part.itemsize), axis=1, bitorder="little")[:, :width]
         out.append(np.packbits(bits.reshape(-1), bitorder="little").tobytes())
     return b"".join(out)
 
@@ -300,48 +303,87 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TokenSource)
 
 
-#: Tokenizers, and what words have been encoded as: a Python worker keeps both from task to task. Words are forgotten when they are too many.
+#: Tokenizers, and what pieces have been encoded as: a Python worker keeps both from task to task.
 _loaded: dict[str, tuple] = {}
-_KNOWN_WORDS = 600_000
+#: When more pieces are known than this, only those that came first are kept: frequent ones are met early.
+_KNOWN, _KEPT = 800_000, 300_000
+#: Texts that the tokenizer's normaliser only puts in lower case: ASCII and the Latin letters that are no sequences.
+_PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
+#: What the tokenizer's own pattern cuts such a text in lower case into, besides letters. Fixed by its file.
+_OTHER, _DIGIT, _SHORT = r"[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+", r"[0-9]", r"'s|'t|'re|'ve|'m|'ll|'d"
+_ONE = re.compile(rf"[a-zß-öø-įı-ſ]+|{_SHORT}|{_DIGIT}|{_OTHER}")
+_CUT, _CUT_OTHER, _CUT_DIGIT = (re.compile(f"({x})") for x in (f"{_SHORT}|{_DIGIT}|{_OTHER}", _OTHER, _DIGIT))
+
+
+def cut(text: str | None) -> str:
+    """A plain text in lower case with spaces around all that isn't letters; other texts as they are."""
+    if not text or not _PLAIN.fullmatch(text) or "<|" in text:
+        return text or ""
+    text = text.lower()
+    if "'" in text:
+        return _CUT.sub(r" \1 ", text)
+    text = _CUT_OTHER.sub(r" \1 ", text)  # two passes over sets of characters are faster than one over alternatives
+    return _CUT_DIGIT.sub(r" \1 ", text) if _CUT_DIGIT.search(text) else text
 
 
 def word_encoder(path: str, end_id: int):
     """Lists of ids of texts, each with the end id behind it.
 
-    The tokenizer must treat white space as a bound that leaves no token, as its own pattern does: then a text's ids are
-    those of its words, and each word is encoded once. New words are encoded together, in lines of some hundred; where a
-    word's tokens begin is known from their offsets. Special tokens' names in a text are encoded as the library does it.
+    White space leaves no token and nothing reaches across it, so a text's ids are those of its words, and each distinct
+    word is encoded once. In plain Latin texts words are first cut as the tokenizer's pattern does it, so that they are
+    the pieces that many words share; other texts, and those with the name of a special token, keep their words. What is
+    new is encoded together, in lines of some hundred: a piece ends with its only token that closes a word, another
+    word's tokens are found by their offsets. Splitting, making distinct and spreading the ids is done in arrays.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if path not in _loaded:
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _loaded[path]
-    end = np.array([end_id], "<i4").tobytes()
-
-    def learn(words: list[bytes]) -> None:
-        lines = [words[i : i + 256] for i in range(0, len(words), 256)]
-        plain = [[w.decode() for w in line] for line in lines]
-        for line, own, got in zip(lines, plain, tokenizer.encode_batch([" ".join(x) for x in plain], add_special_tokens=False), strict=True):
-            begins = np.cumsum([0] + [len(w) + 1 for w in own[:-1]])
-            ids = np.array(got.ids, "<i4")
-            at = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), begins).tolist() + [len(ids)]
-            data = ids.tobytes()
-            for k, w in enumerate(line):
-                known[w] = data[4 * at[k] : 4 * at[k + 1]]
+        made = Tokenizer.from_file(path)
+        closing = np.zeros(made.get_vocab_size(with_added_tokens=True), bool)
+        closing[[i for w, i in made.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
+        _loaded[path] = (made, closing, {"": b""})
+    tokenizer, closing, known = _loaded[path]
+    kind = np.dtype("<u2" if max(len(closing), end_id + 1) <= 1 << 16 else "<u4")
+    end = np.array([end_id], kind).tobytes()
+
+    def keep(line: list[str], ids: np.ndarray, at: list[int]) -> None:
+        data, n = ids.astype(kind).tobytes(), kind.itemsize
+        for k, x in enumerate(line):
+            known[x] = data[n * at[k] : n * at[k + 1]]
+
+    def learn(new: list[str]) -> None:
+        is_piece = [_ONE.fullmatch(w) is not None for w in new]
+        one, other = ([w for w, p in zip(new, is_piece, strict=True) if p is q] for q in (True, False))
+        lines = [one[i : i + 256] for i in range(0, len(one), 256)]
+        for line, got in zip(lines, tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.int64)
+            keep(line, ids, [0, *(np.flatnonzero(closing[ids]) + 1).tolist()])
+        for i in range(0, len(other), 256):
+            line = other[i : i + 256]
+            got = tokenizer.encode(" ".join(line), add_special_tokens=False)
+            begins = np.cumsum([0] + [len(w) + 1 for w in line[:-1]])
+            keep(line, np.array(got.ids, np.int64), np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), begins).tolist() + [len(got.ids)])
 
     def kernel(texts: list[str | None]) -> dict:
-        docs = [(t or "").encode().split() for t in texts]
-        new = {w for d in docs for w in d if w not in known}
-        if len(known) + len(new) > _KNOWN_WORDS:
-            known.clear()
-            new = {w for d in docs for w in d}
-        if new:
-            learn(sorted(new))
-        rows = [b"".join([*map(known.__getitem__, d), end]) for d in docs]
-        sizes = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
-        return {"ids": pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(rows), "<i4")))}
+        if len(known) > _KNOWN:
+            for x in list(known)[_KEPT:]:
+                del known[x]
+        lists = pc.ascii_split_whitespace(pa.array(map(cut, texts), pa.large_string()))
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        learn([w for w in distinct if w not in known])
+        rows = [*map(known.__getitem__, distinct), end]
+        # Every occurrence of a word, and an end behind each text, as a stretch of the distinct words' ids.
+        which = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:] - bounds[0], len(distinct))
+        size = np.fromiter(map(len, rows), np.int64, len(rows)) // kind.itemsize
+        n = size[which]
+        stop = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[which] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)
+        ids = np.frombuffer(b"".join(rows), kind)[at].astype("<i4")
+        ends = stop[bounds[1:] - bounds[0] + np.arange(len(texts))]
+        return {"ids": pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))}
 
     return kernel
 
@@ -368,7 +410,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str = TOKENIZER, end_
     keyed = src.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row")]
     dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    ids = map_texts(dealt, lambda: word_encoder(where, end_id), [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+    ids = map_texts(dealt, lambda: word_encoder(where, end_id), [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)], slice_chars=SLICE_TEXT)
     ids.write.format("token_codes").mode("append").save(path)
 
 
