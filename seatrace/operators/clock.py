@@ -70,6 +70,12 @@ def at_instants(df: DataFrame, instants: DataFrame, columns: Sequence[str], *, b
     return _at(dealt.join(asked, "__bucket").where("t >= t0 and t <= __end"), columns, df)
 
 
+def forward_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df with nulls of some columns filled by what the ship has last reported; null before it has reported anything."""
+    before = by_time().rowsBetween(W.unboundedPreceding, W.currentRow)
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(before) for c in columns})
+
+
 def same_day(clock: DataFrame) -> DataFrame:
     """Without rows that are interpolated across midnight."""
     return clock.where(F.to_date("timestamp_previous") == F.to_date("timestamp_next"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seatrace.storage import written
+
 from . import clock, rules, spatial, stays, tracks
 
 KEY = ["mmsi", "timestamp"]
@@ -14,8 +16,11 @@ def harvest(reports: DataFrame, *, types: DataFrame, ports: DataFrame, lines: Da
     """Features of every ship at every full hour between its reports.
 
     rasters: name -> (table of row, col, value; rows; columns). zones give fish_rule, lines the pipeline, ports the port.
+    The hourly table is interpolated and written once, and all parts read it. The table that parts are joined to stays
+    partitioned by the key, so each join shuffles its part alone.
     """
     hourly = clock.on_grid(reports, ["latitude", "longitude", "vessel_type", "length"]).withColumn("vessel_type", F.bround("vessel_type").cast("int"))
+    hourly = written(hourly, "harvest-hourly")
     wide = rules.describe(hourly, types, "vessel_type", "type_label").select(*KEY, "latitude", "longitude", "vessel_type", "type_label", "length")
     for name, (table, rows, cols) in rasters.items():
         wide = spatial.raster_lookup(wide, table, rows=rows, cols=cols, name=name)

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from seatrace.shipping import ship_package
 
+from .spatial import first_polygon
 from .tracks import successive
 
 #: Names of vessel type codes. Decades with classes by last digit, and single codes.
@@ -98,6 +99,25 @@ def ratified(df: DataFrame, treaties: DataFrame, key: str) -> DataFrame:
     return df.join(single, key, "left")
 
 
+#: A fixed value: what the treaty table calls a region that has another name elsewhere.
+TREATY_NAME = {"United States": "United States of America"}
+
+
+def legality_by_place(ships: DataFrame, zones: DataFrame, treaties: DataFrame, *, keys: Sequence[str], country: str = "country", label: str = "type_label", length: str = "length", cell: float = 0.1) -> DataFrame:
+    """The legality chain for ships at their places: keys, region, the columns of the region's treaty, rule and needs_ais.
+
+    The region is the first zone that holds the place (zones: ord, name, ring), else international waters. treaties has a
+    column `country`; a region gets its row only if there is exactly one. Ships without a place are in no zone.
+    """
+    region = first_polygon(ships, zones, keys=keys, cell=cell).select(*keys, F.coalesce("name", F.lit(INTERNATIONAL)).alias("region"))
+    judged = legality_chain(ships.select(*keys, label, length).join(region, list(keys)), label=label, length=length)
+    named = F.col("region")
+    for here, there in TREATY_NAME.items():
+        named = F.when(F.col("region") == here, F.lit(there)).otherwise(named)
+    extra = [c for c in treaties.columns if c != country]
+    return ratified(judged.withColumn(country, named), treaties, country).select(*keys, "region", *extra, "rule", "needs_ais")
+
+
 #: Thresholds of the labels, in metres, seconds and degrees a second.
 THRESHOLDS = {"loitering": 5e3, "speed": 35.0, "ang_vel": 45.0, "transshipment": 20.0, "coast": 10e3, "anomalous": 0.5, "dark_sec": 3600.0}
 

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from seatrace.functions import scalars
-from seatrace.operators import harvest, learning, pairing, rules, space_time, spatial
+from seatrace.operators import clock, harvest, learning, pairing, rules, space_time, spatial
 from seatrace.sources import documents as sources
 from seatrace.sources import rasters
 
@@ -127,6 +127,31 @@ def legality_chain(spark, d):
     return rules.legality_chain(legal(spark, d)).select("event_id", "rule", "needs_ais")
 
 
+_PLACED = LEGAL_SQL + ", " + ZONE_SQL + f""", treaty AS (SELECT CASE n_name WHEN 'NATION_0' THEN 'United States of America' WHEN 'NATION_3' THEN 'Canada' WHEN 'NATION_2' THEN 'France' WHEN 'NATION_1' THEN 'United Kingdom' ELSE n_name END AS country, n_regionkey AS signed FROM (SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_nationkey % 4 = 1)),
+land AS (SELECT ord, CASE name WHEN 'NATION_0' THEN 'United States' WHEN 'NATION_3' THEN 'Canada' WHEN 'NATION_2' THEN 'France' WHEN 'NATION_1' THEN 'United Kingdom' ELSE name END AS name, x0, y0 FROM zone),
+placed AS (SELECT a.event_id, l.length, l.k, coalesce((SELECT arg_min(z.name, z.ord) FROM land z WHERE a.longitude > z.x0 AND a.longitude < z.x0 + 6e-2 AND a.latitude > z.y0 AND a.latitude < z.y0 + 8e-2), '{rules.INTERNATIONAL}') AS region FROM ais a JOIN legal l USING (event_id)),
+sole AS (SELECT country, min(signed) AS signed FROM treaty GROUP BY 1 HAVING count(*) = 1)"""
+
+
+@query(f"SELECT event_id, region, signed, {_CASE} AS rule, ({_CASE}) IS NOT NULL AS needs_ais FROM placed LEFT JOIN sole ON country = CASE region WHEN 'United States' THEN 'United States of America' ELSE region END", _PLACED)
+def legality_by_place(spark, d):
+    """Region by zone and treaty by region, for every report; a quarter of the nations has two treaty rows, so none counts."""
+    proper = {"NATION_0": "United States", "NATION_3": "Canada", "NATION_2": "France", "NATION_1": "United Kingdom"}
+    spoken = lambda c, us: F.coalesce(F.create_map(*[F.lit(x) for k, v in (proper | {"NATION_0": us}).items() for x in (k, v)])[F.col(c)], F.col(c))
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    treaties = nation.unionByName(nation.where("n_nationkey % 4 = 1")).select(spoken("n_name", "United States of America").alias("country"), F.col("n_regionkey").alias("signed"))
+    land = zones(spark, d).withColumn("name", spoken("name", "United States"))
+    return rules.legality_by_place(legal(spark, d), land, treaties, keys=["event_id"], cell=0.05)
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN status END IGNORE NULLS) OVER w AS status, last_value(CASE WHEN event_id % 4 = 0 THEN sog END IGNORE NULLS) OVER w AS sog FROM ais WINDOW w AS (PARTITION BY mmsi ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def forward_filled(spark, d):
+    """Status and speed as if most reports had come without them."""
+    e = F.col("event_id")
+    thin = reports(spark, d).withColumns({"status": F.when(e % 3 == 0, F.col("status")), "sog": F.when(e % 4 == 0, F.col("sog"))})
+    return clock.forward_fill(thin, ["status", "sog"]).select("event_id", "status", "sog")
+
+
 def harvested(spark, d):
     return harvest.harvest(
         reports(spark, d),
