@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from seatrace.functions.geo import EARTH_RADIUS_M, haversine_m, odd_crossings, ring_edges, segment_distance_deg
+from seatrace.functions.geo import EARTH_RADIUS_M, haversine_m, ring_edges, segment_distance_deg
 
 
 def _grid(radius_m: float) -> float:
@@ -99,36 +99,79 @@ def nearest_places(points: DataFrame, places: DataFrame, *, keys: Sequence[str],
     return points.select(*keys).join(found, list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).cast("int").alias("n_within"), *[f"{i}_{c}" for i in range(n_nearest) for c in ("dist_m", "place")])
 
 
-def _covered(low: Column, high: Column, cell: float) -> Column:
-    return F.sequence(F.floor(low / cell), F.floor(high / cell))
+def _deal(lines: DataFrame, cell: float, margin: Column | float) -> DataFrame:
+    """lines (x1, y1, x2, y2) with each cell (__x, __y) in which something within margin of them can lie.
+
+    A line is cut by the rows of cells first, and in a row only the columns are taken that its part there comes near: a
+    long slanting line has as many rows as the cells along it, not as its frame.
+    """
+    low, high = F.least("y1", "y2") - margin, F.greatest("y1", "y2") + margin
+    rows = lines.withColumn("__y", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+    share = lambda y: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1")))), F.lit(0.0))
+    flat, dx = F.col("y1") == F.col("y2"), F.col("x2") - F.col("x1")
+    a = F.col("x1") + dx * F.when(flat, 0.0).otherwise(share(F.col("__y") * cell - margin))
+    b = F.col("x1") + dx * F.when(flat, 1.0).otherwise(share((F.col("__y") + 1) * cell + margin))
+    cols = F.sequence(F.floor((F.least(a, b) - margin) / cell), F.floor((F.greatest(a, b) + margin) / cell))
+    return rows.withColumn("__x", F.explode(cols))
+
+
+def _edges(polygons: DataFrame) -> DataFrame:
+    """(ord, name, __ring, x1, y1, x2, y2): a row for each edge. Rings that are there more than once count once."""
+    rings = polygons.select("ord", "name", "ring", F.xxhash64("ring").alias("__ring")).dropDuplicates(["ord", "name", "__ring"])
+    sides = rings.select("ord", "name", "__ring", F.explode(ring_edges(F.col("ring"))).alias("e"))
+    return sides.select("ord", "name", "__ring", *[F.col(f"e.{p}.{c}").alias(f"{x}{n}") for p, n in (("a", 1), ("b", 2)) for c, x in (("lon", "x"), ("lat", "y"))])
 
 
-def _edges_by_cell(polygons: DataFrame, rows: Column, cols: Column, bottom: Column, left: Column, height: float) -> DataFrame:
-    """polygons' ord and name for each cell (__y, __x), with the edges that a ray from a point of the cell can meet.
+_RING = ["ord", "name", "__ring"]
 
-    Edges above, below or to the left of a cell can't be met, so a long ring isn't copied to each of its cells. Cells
-    from which no edge can be met are left out: no ring holds their points.
+
+def _inner_spans(edges: DataFrame, rows: Column, height: Column) -> DataFrame:
+    """(ord, name, __ring, __y, __from, __to): the stretches [__from, __to) of each row's line of latitude inside a ring.
+
+    The crossings of a ring with the line are counted from the east; between an odd one and the next lies the inside.
     """
-    slack = height * 1e-6
-    flat = polygons.select("ord", "name", ring_edges(F.col("ring")).alias("__e"), rows.alias("__rows"), cols.alias("__cols"))
-    top = bottom + height
-    meets_row = lambda e: (F.greatest(e["a"]["lat"], e["b"]["lat"]) >= bottom - slack) & (F.least(e["a"]["lat"], e["b"]["lat"]) <= top + slack)
-    by_row = flat.withColumn("__y", F.explode("__rows")).withColumn("__e", F.filter("__e", meets_row)).where(F.size("__e") > 0)
-    meets_cell = lambda e: F.greatest(e["a"]["lon"], e["b"]["lon"]) >= left - slack
-    return by_row.withColumn("__x", F.explode("__cols")).withColumn("__e", F.filter("__e", meets_cell)).where(F.size("__e") > 0).drop("__rows", "__cols")
+    y1, y2 = F.col("y1"), F.col("y2")
+    lines = edges.withColumn("__y", F.explode(rows)).withColumn("__h", height).where((y1 > F.col("__h")) != (y2 > F.col("__h")))
+    met = lines.select(*_RING, "__y", ((F.col("x2") - F.col("x1")) * (F.col("__h") - y1) / (y2 - y1) + F.col("x1")).alias("__to"))
+    w = W.partitionBy(*_RING, "__y").orderBy(F.desc("__to"))
+    return met.withColumns({"__k": F.row_number().over(w), "__from": F.lead("__to").over(w)}).where("__k % 2 = 1 and __from is not null").drop("__k")
 
 
-def _bounds(ring: str = "ring") -> tuple[Column, Column, Column, Column]:
-    lons, lats = F.transform(ring, lambda p: p["lon"]), F.transform(ring, lambda p: p["lat"])
-    return F.array_min(lons), F.array_max(lons), F.array_min(lats), F.array_max(lats)
+def cover(polygons: DataFrame, cell: float) -> DataFrame:
+    """(ord, name, __ring, __y, __x, __in, __e) for each cell that a ring fills or cuts.
+
+    __in says whether the middle of the cell's eastern side is inside, __e has the edges that come into the cell (none if
+    it is full). Edges are dealt to cells one by one and the inside is carried along a row of cells, so no task and no
+    array holds a ring's edges but those of one cell.
+    """
+    edges = _edges(polygons)
+    cut = _deal(edges, cell, cell * 1e-6).select(*_RING, "__y", "__x", F.lit(False).alias("__in"), F.struct("x1", "y1", "x2", "y2").alias("e"))
+    rows = F.sequence(F.floor(F.least("y1", "y2") / cell) - 1, F.floor(F.greatest("y1", "y2") / cell) + 1)
+    spans = _inner_spans(edges, rows, (F.col("__y") + 0.5) * cell)
+    east = (F.col("__x") + 1) * cell
+    full = spans.withColumn("__x", F.explode(F.sequence(F.floor(F.col("__from") / cell) - 2, F.floor(F.col("__to") / cell) + 1))).where((east >= F.col("__from")) & (east < F.col("__to")))
+    full = full.select(*_RING, "__y", "__x", F.lit(True).alias("__in"), F.lit(None).cast(cut.schema["e"].dataType).alias("e"))
+    return cut.unionAll(full).groupBy(*_RING, "__y", "__x").agg(F.max("__in").alias("__in"), F.collect_list("e").alias("__e"))
+
+
+def _inside(x: Column, y: Column, cell: float) -> Column:
+    """Whether a point of a covered cell is in the ring: from it due east to the cell's side and along the side to its
+    middle, each edge that is crossed changes between in and out."""
+    east, middle = (F.col("__x") + 1) * cell, (F.col("__y") + 0.5) * cell
+
+    def crossed(n, e):
+        over, beside = (e["y1"] > y) != (e["y2"] > y), (e["x1"] > east) != (e["x2"] > east)
+        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.when(over, e["y2"] - e["y1"]).otherwise(1.0) + e["x1"]
+        height = (e["y2"] - e["y1"]) * (east - e["x1"]) / F.when(beside, e["x2"] - e["x1"]).otherwise(1.0) + e["y1"]
+        return n + F.when(over & (at > x) & (at <= east), 1).otherwise(0) + F.when(beside & ((height > y) != (height > middle)), 1).otherwise(0)
+
+    return F.aggregate("__e", F.col("__in").cast("int"), crossed) % 2 == 1
 
 
 def _held(points: DataFrame, polygons: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
     """(keys, ord, name) for each polygon that holds a point."""
-    west, east, south, north = _bounds()
-    dealt = _edges_by_cell(polygons, _covered(south, north, cell), _covered(west, east, cell), F.col("__y") * cell, F.col("__x") * cell, cell)
     pts = points.select(*keys, "latitude", "longitude", F.floor(F.col("longitude") / cell).alias("__x"), F.floor(F.col("latitude") / cell).alias("__y"))
-    return pts.join(dealt, ["__x", "__y"]).where(odd_crossings(F.col("longitude"), F.col("latitude"), F.col("__e"))).select(*keys, "ord", "name")
+    return pts.join(cover(polygons, cell), ["__x", "__y"]).where(_inside(F.col("longitude"), F.col("latitude"), cell)).select(*keys, "ord", "name")
 
 
 def first_polygon(points: DataFrame, polygons: DataFrame, *, keys: Sequence[str], cell: float = 0.1) -> DataFrame:
@@ -137,34 +180,72 @@ def first_polygon(points: DataFrame, polygons: DataFrame, *, keys: Sequence[str]
     return points.select(*keys).join(best, list(keys), "left")
 
 
-def polygon_context(points: DataFrame, polygons: DataFrame, *, keys: Sequence[str], within_deg: float = 0.05, cell: float = 0.1) -> DataFrame:
-    """points' keys with the first polygon (by ord) that holds them or has an edge within within_deg (planar).
+def polygon_context(points: DataFrame, polygons: DataFrame, *, keys: Sequence[str], within_deg: float = 0.05, within_m: float | None = None, cell: float = 0.1) -> DataFrame:
+    """points' keys with the first polygon (by ord) that holds them or has an edge within within_deg (planar) or within_m.
 
-    kind says `inside` or `within` (inside goes first), dist_deg how far the nearest edge is (0 inside); null where no
-    polygon is near. Points without a place are near none.
+    kind says `inside` or `within` (inside goes first), dist_deg or dist_m how far the nearest edge is (0 inside); null
+    where no polygon is near. Points without a place are near none.
     """
-    sides = polygons.select("ord", "name", F.explode(ring_edges(F.col("ring"))).alias("e"))
-    sides = sides.select("ord", "name", *[F.col(f"e.{p}.{c}").alias(f"{c}{n}") for p, n in (("a", 1), ("b", 2)) for c in ("lon", "lat")])
+    near = _near(points, _edges(polygons), keys, within_deg, within_m).withColumn("k", F.lit(1))
     inside = _held(points, polygons, keys, cell).withColumns({"k": F.lit(0), "d": F.lit(0.0)})
-    near = _along(points, sides, keys, within_deg).withColumn("k", F.lit(1))
     best = inside.unionByName(near).groupBy(*keys).agg(F.min(F.struct("ord", "k", "d", "name")).alias("b"))
     kind = F.when(F.col("b.k") == 0, "inside").otherwise("within")
-    return points.select(*keys).join(best.select(*keys, F.col("b.name").alias("name"), kind.alias("kind"), F.col("b.d").alias("dist_deg")), list(keys), "left")
+    return points.select(*keys).join(best.select(*keys, F.col("b.name").alias("name"), kind.alias("kind"), F.col("b.d").alias(_unit(within_m))), list(keys), "left")
+
+
+def _unit(within_m: float | None) -> str:
+    return "dist_deg" if within_m is None else "dist_m"
+
+
+def _near(points: DataFrame, lines: DataFrame, keys: Sequence[str], within_deg: float, within_m: float | None) -> DataFrame:
+    return _along(points, lines, keys, within_deg) if within_m is None else _along_m(points, lines, keys, within_m)
 
 
 def _along(points: DataFrame, lines: DataFrame, keys: Sequence[str], within_deg: float) -> DataFrame:
     """(keys, ord, name, d) for each segment within within_deg of a point."""
     cell = max(within_deg, 1e-6) * 2
-    x, y = (F.least("lon1", "lon2"), F.greatest("lon1", "lon2")), (F.least("lat1", "lat2"), F.greatest("lat1", "lat2"))
-    dealt = lines.withColumn("__x", F.explode(_covered(x[0] - within_deg, x[1] + within_deg, cell))).withColumn("__y", F.explode(_covered(y[0] - within_deg, y[1] + within_deg, cell)))
-    pts = points.select(*keys, "latitude", "longitude", F.floor(F.col("longitude") / cell).alias("__x"), F.floor(F.col("latitude") / cell).alias("__y"))
-    d = segment_distance_deg(F.col("longitude"), F.col("latitude"), F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
-    return pts.join(dealt, ["__x", "__y"]).withColumn("d", d).where(F.col("d") <= within_deg).select(*keys, "ord", "name", "d")
+    pts = points.select(*keys, F.col("longitude").alias("__px"), F.col("latitude").alias("__py"), F.lit(1.0).alias("__scale"))
+    return _measured(pts, lines, keys, cell, within_deg * (1 + 1e-9), within_deg)
+
+
+#: Of the projection, fixed values: the globe's radius in metres and the latitude where the map ends.
+MERCATOR_RADIUS_M, MERCATOR_END_DEG = 6378137.0, 85.06
 
 
-def near_line(points: DataFrame, lines: DataFrame, *, keys: Sequence[str], within_deg: float = 0.05) -> DataFrame:
-    """points' keys with the first segment (by ord) within within_deg (planar). lines: ord, name, lon1, lat1, lon2, lat2."""
-    best = _along(points, lines, keys, within_deg).groupBy(*keys).agg(F.min(F.struct("ord", "name", "d")).alias("b")).select(*keys, F.col("b.name").alias("name"), F.col("b.d").alias("dist_deg"))
+def _mercator(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """Place on the Mercator map in metres, and how many metres on the globe one of the map is there."""
+    held = F.radians(F.greatest(F.lit(-MERCATOR_END_DEG), F.least(F.lit(MERCATOR_END_DEG), lat)))
+    return F.radians(lon) * MERCATOR_RADIUS_M, F.asinh(F.tan(held)) * MERCATOR_RADIUS_M, F.cos(held)
+
+
+def _along_m(points: DataFrame, lines: DataFrame, keys: Sequence[str], within_m: float) -> DataFrame:
+    """(keys, ord, name, d) for each segment within within_m metres of a point, measured on the Mercator map by the scale at the point.
+
+    The map is true to shape, so near a point all directions have the same scale. Segments are straight on the map. What
+    lies beyond 85.06 degrees counts as if it lay there, and nothing is near across the date line. within_m: at most 500 km.
+    """
+    if not 0 <= within_m <= 500_000:
+        raise ValueError("within_m must be between 0 and 500,000 metres")
+    x, y, scale = _mercator(F.col("longitude"), F.col("latitude"))
+    pts = points.select(*keys, x.alias("__px"), y.alias("__py"), scale.alias("__scale"))
+    far = F.greatest(F.abs(F.col("y1")), F.abs(F.col("y2"))) + 2 * math.degrees(within_m / MERCATOR_RADIUS_M)
+    ends = {f"{c}{n}": v for n in (1, 2) for c, v in zip("xy", _mercator(F.col(f"x{n}"), F.col(f"y{n}"))[:2], strict=True)}
+    flat = lines.withColumn("__margin", F.lit(within_m * (1 + 1e-9)) / _mercator(F.lit(0.0), far)[2]).withColumns(ends)
+    return _measured(pts, flat, keys, max(within_m, 1.0) * 2, F.col("__margin"), within_m)
+
+
+def _measured(pts: DataFrame, lines: DataFrame, keys: Sequence[str], cell: float, margin: Column | float, limit: float) -> DataFrame:
+    """(keys, ord, name, d) of points (__px, __py) and lines on a plane, distances times the point's __scale."""
+    held = pts.withColumns({"__x": F.floor(F.col("__px") / cell), "__y": F.floor(F.col("__py") / cell)})
+    d = segment_distance_deg(F.col("__px"), F.col("__py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) * F.col("__scale")
+    return held.join(_deal(lines, cell, margin), ["__x", "__y"]).withColumn("d", d).where(F.col("d") <= limit).select(*keys, "ord", "name", "d")
+
+
+def near_line(points: DataFrame, lines: DataFrame, *, keys: Sequence[str], within_deg: float = 0.05, within_m: float | None = None) -> DataFrame:
+    """points' keys with the first segment (by ord) within within_deg (planar, dist_deg) or within_m (dist_m). lines: ord, name, lon1, lat1, lon2, lat2."""
+    flat = lines.select("ord", "name", *[F.col(f"{c}{n}").alias(f"{x}{n}") for n in (1, 2) for c, x in (("lon", "x"), ("lat", "y"))])
+    found = _near(points, flat, keys, within_deg, within_m)
+    best = found.groupBy(*keys).agg(F.min(F.struct("ord", "name", "d")).alias("b")).select(*keys, F.col("b.name").alias("name"), F.col("b.d").alias(_unit(within_m)))
     return points.select(*keys).join(best, list(keys), "left")
 
 
@@ -195,12 +276,16 @@ def tile_lookup(points: DataFrame, tiles: DataFrame, *, rows: int, cols: int, si
 
 
 def rasterise(polygons: DataFrame, *, rows: int, cols: int) -> DataFrame:
-    """(row, col, value): the first polygon (by ord) that holds each cell's centre."""
+    """(row, col, value): the first polygon (by ord) that holds each cell's centre.
+
+    Each row is filled between the crossings of its line of centres; no cell is tested against an edge.
+    """
     dlat, dlon = 180 / rows, 360 / cols
-    west, east, south, north = _bounds()
-    own_rows, own_cols = F.sequence(F.floor((90 - north) / dlat), F.floor((90 - south) / dlat)), F.sequence(F.floor((west + 180) / dlon), F.floor((east + 180) / dlon))
-    cells = _edges_by_cell(polygons, own_rows, own_cols, 90 - (F.col("__y") + 1) * dlat, F.col("__x") * dlon - 180, dlat)
-    inside = cells.where(odd_crossings((F.col("__x") + 0.5) * dlon - 180, 90 - (F.col("__y") + 0.5) * dlat, F.col("__e")))
+    own_rows = F.sequence(F.floor((90 - F.greatest("y1", "y2")) / dlat) - 1, F.floor((90 - F.least("y1", "y2")) / dlat) + 1)
+    spans = _inner_spans(_edges(polygons), own_rows, 90 - (F.col("__y") + 0.5) * dlat)
+    centre = (F.col("__x") + 0.5) * dlon - 180
+    cells = spans.withColumn("__x", F.explode(F.sequence(F.floor((F.col("__from") + 180) / dlon) - 1, F.floor((F.col("__to") + 180) / dlon) + 1)))
+    inside = cells.where((centre >= F.col("__from")) & (centre < F.col("__to")) & F.col("__y").between(0, rows - 1) & F.col("__x").between(0, cols - 1))
     return inside.groupBy(F.col("__y").alias("row"), F.col("__x").alias("col")).agg(F.min("ord").alias("value"))
 
 

@@ -56,6 +56,18 @@ def line_proximity(spark, d):
     return out.select("event_id", "name", r6("dist_deg"))
 
 
+METRE_SQL = LINE_SQL.split("seg AS")[0] + """flat AS (SELECT n.ord, n.name, radians(n.lon1) * 6378137 AS x1, asinh(tan(radians(n.lat1))) * 6378137 AS y1, radians(n.lon2) * 6378137 AS x2, asinh(tan(radians(n.lat2))) * 6378137 AS y2 FROM line n),
+spot AS (SELECT event_id, radians(longitude) * 6378137 AS x, asinh(tan(radians(latitude))) * 6378137 AS y, cos(radians(latitude)) AS k FROM ais),
+seg AS (SELECT event_id, ord, name, k * sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2)) AS dd FROM spot, flat, LATERAL (SELECT greatest(0e0, least(1e0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t))"""
+
+
+@query(f"SELECT a.event_id, x.name, {rd('x.dd', 'dist_m')} FROM ais a LEFT JOIN (SELECT event_id, arg_min(name, ord) AS name, arg_min(dd, ord) AS dd FROM seg WHERE dd <= 1500 GROUP BY 1) x ON a.event_id = x.event_id", METRE_SQL)
+def line_proximity_metres(spark, d):
+    """The first line within 1,500 metres of each report."""
+    out = spatial.near_line(reports(spark, d), pipelines(spark, d), keys=["event_id"], within_m=1500.0)
+    return out.select("event_id", "name", r6("dist_m"))
+
+
 def raster(spark, d):
     """A made up field over the box of the reports, on a raster of 0.01 degrees."""
     cell = spark.range(60 * 60).select((F.col("id") / 60).cast("int").alias("i"), (F.col("id") % 60).cast("int").alias("j"))
