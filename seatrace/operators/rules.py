@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from seatrace.shipping import ship_package
 
 from .spatial import first_polygon
+from .stays import BLOCK_ROWS
 from .tracks import successive
 
 #: Names of vessel type codes. Decades with classes by last digit, and single codes.
@@ -154,7 +155,8 @@ def transshipment(df: DataFrame, *, n_nearest: int = 3, thresholds: dict | None
     """(mmsi, timestamp, partner): the ship alongside in long common stays far from the coast, or -1.
 
     Runs of consecutive rows with the same partner are taken longest first (ties: nearer, then earlier) when none of
-    their rows is taken. A grouped map by ship.
+    their rows is taken. Runs end at rows without a partner, so a ship's track is cut there and its pieces are settled
+    on their own; pieces that begin within the same BLOCK_ROWS rows make one group.
     """
     t = THRESHOLDS | (thresholds or {})
     df = successive(df, F.col("loiter_sec") >= 0, "__stay")
@@ -163,6 +165,10 @@ def transshipment(df: DataFrame, *, n_nearest: int = 3, thresholds: dict | None
     ok = F.filter(F.array(*near), lambda x: (x["m"] >= 0) & (x["d"] <= t["transshipment"]))
     rows = df.select(*dict.fromkeys([*keys, "mmsi"]), F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"), F.when(F.coalesce(far, F.lit(False)), ok).otherwise(F.slice(ok, 1, 0)).alias("near"))
     rows = rows.select("*", F.col("near.m").alias("ships"), F.col("near.d").alias("dists")).drop("near")
+    track = W.partitionBy(*keys).orderBy("us")
+    rows = rows.withColumn("__i", F.row_number().over(track))
+    begun = F.coalesce(F.max(F.when(F.size("ships") == 0, F.col("__i"))).over(track), F.lit(0))
+    rows = rows.withColumn("__piece", F.floor(begun / BLOCK_ROWS)).drop("__i")
 
     ship_package(df.sparkSession)
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +187,7 @@ def transshipment(df: DataFrame, *, n_nearest: int = 3, thresholds: dict | None
                 partner[first : first + n] = [int(m)] * n
         return pd.DataFrame({"mmsi": pdf["mmsi"], "us": pdf["us"], "partner": partner})
 
-    out = rows.groupBy(*keys).applyInPandas(find, "mmsi long, us long, partner long")
+    out = rows.groupBy(*keys, "__piece").applyInPandas(find, "mmsi long, us long, partner long")
     return out.select("mmsi", F.timestamp_micros("us").cast("timestamp_ntz").alias("timestamp"), "partner")
 
 

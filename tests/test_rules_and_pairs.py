@@ -24,7 +24,10 @@ def test_every_behaviour_occurs(spark):
     assert all(0 < n < got.count() for n in sums.values()), sums
 
 
-def test_transshipment(spark):
+@pytest.mark.parametrize("block_rows", [1, 4096])
+def test_transshipment(spark, monkeypatch, block_rows):
+    """Whole tracks and tracks cut at every row without a partner give the same."""
+    monkeypatch.setattr(rules, "BLOCK_ROWS", block_rows)
     rng = np.random.default_rng(3)
     rows = []
     for ship in range(6):
