@@ -259,6 +259,18 @@ def pairing_stats(spark, d):
     return pairing.quality(pairing.sweep(detections(spark, d), reports(spark, d), [14400.0], [2000.0, 5000.0], [1, 1000]), by=["threshold_sec", "threshold_m", "max_permutations"])
 
 
+def crowded(spark, d):
+    """The detections as mosaics of six hours each: many of one instant, and more than one with the same ship nearest."""
+    return detections(spark, d).withColumn("timestamp", F.expr("timestamp_micros(unix_micros(date_trunc('day', timestamp)) + 21600000000 * (hour(timestamp) div 6))").cast("timestamp_ntz"))
+
+
+@query()
+def pairing_crowded(spark, d):
+    """Pairs of detections that compete for ships, one by one (1) and with permutations (1000)."""
+    runs = pairing.sweep(crowded(spark, d), reports(spark, d), [14400.0], [5000.0], [1, 1000])
+    return runs.select("max_permutations", "det_id", "timestamp", "mmsi", r6("dist_m"), "greedy_count")
+
+
 @query()
 def pairing_compare(spark, d):
     return pairing.compare(paired(spark, d, 1), paired(spark, d))

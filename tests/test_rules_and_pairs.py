@@ -127,3 +127,23 @@ def test_polygons_of_many_edges(spark):
     centres = spark.createDataFrame([(r * 3600 + c, 90 - (r + 0.5) * 0.1, (c + 0.5) * 0.1 - 180) for r in range(880, 920) for c in range(1780, 1820)], "id long, latitude double, longitude double")
     first = centres.crossJoin(F.broadcast(stars)).where(in_ring(F.col("longitude"), F.col("latitude"), F.col("ring"))).groupBy("id").agg(F.min("ord").alias("o")).collect()
     assert cells == {divmod(r["id"], 3600): r["o"] for r in first} and len(cells) > 50
+
+
+def test_detections_that_compete(spark):
+    """In crowded instants permutations cost no more than taking the nearest ship one by one, and less in some."""
+    got = domain.pairing_crowded(spark, SF).collect()
+    near = pairing.candidates(domain.crowded(spark, SF), domain.reports(spark, SF), threshold_sec=14400.0, threshold_m=5000.0)
+    allowed = {(r["det_id"], r["mmsi"]): r["dist_m"] for r in near.collect()}
+    cost, ships = {}, {}
+    for r in got:
+        at = r["max_permutations"], r["timestamp"]
+        if r["mmsi"] is None:
+            cost[at] = cost.get(at, 0.0) + pairing.OVERFLOW_M
+            continue
+        assert allowed[r["det_id"], r["mmsi"]] == pytest.approx(r["dist_m"], abs=1e-5)
+        cost[at] = cost.get(at, 0.0) + r["dist_m"]
+        ships.setdefault(at, []).append(r["mmsi"])
+    assert all(len(set(v)) == len(v) for v in ships.values())
+    gain = [cost[1, t] - cost[1000, t] for n, t in cost if n == 1]
+    assert min(gain) >= -1e-3 and any(g > 1 for g in gain)
+    assert sum((r["greedy_count"] or 0) > 0 for r in got) > 0
