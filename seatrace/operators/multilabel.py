@@ -76,8 +76,8 @@ def _with_one(x: np.ndarray) -> np.ndarray:
 
 
 def _inverse(a: np.ndarray) -> np.ndarray:
-    """Of a symmetric positive definite matrix, column by column. Elementwise on purpose: the library's threaded solver has
-    hung in a driver that had a session open, and at these sizes nothing is gained by it."""
+    """Of a symmetric positive definite matrix, column by column. Elementwise on purpose: numpy.linalg.inv has hung in
+    a driver that had a session open, for a reason not found, and at these sizes nothing is gained by it."""
     a, n = a.copy(), len(a)
     for k in range(n):
         pivot = a[k, k]
