@@ -37,3 +37,70 @@ def test_many_places_at_one_spot(spark, monkeypatch, n, sent):
         assert got[i]["n_within"] == len(want)
         assert [got[i][f"{j}_place"] for j in range(n)] == ([k for _, k in want] + [None] * n)[:n]
         assert all(abs(got[i][f"{j}_dist_m"] - want[j][0]) < 1e-6 for j in range(min(n, len(want))))
+
+
+def test_search_equals_the_loop_it_replaces():
+    from seatrace.operators.pairing import _search
+
+    rng = np.random.default_rng(3)
+    for ships, dets, most in ((1, 1, 1), (5, 2, 1000), (40, 2, 1000), (3, 3, 50), (12, 4, 200), (2, 5, 1000), (60, 9, 1000)):
+        d = rng.integers(0, 30, (ships, dets)) * 1.0
+        assert _search(d, most) == _plain_search(d, most)
+
+
+def _plain_search(d, most):
+    from itertools import islice, permutations
+
+    from seatrace.operators.pairing import OVERFLOW_M
+
+    ships, dets = d.shape
+    d = np.vstack([d, np.full((max(0, dets - ships), dets), OVERFLOW_M)])
+    by = sorted((d[s, k], s, k) for s in range(len(d)) for k in range(dets))
+    first, used = {}, set()
+    for _, s, k in by:
+        if k not in first and s not in used:
+            first[k] = s
+            used.add(s)
+    order = [first[k] for k in range(dets)]
+    order += dict.fromkeys(s for _, s, _ in by if s not in used)
+    depth = dets
+    while dets > 1 and depth < len(order) and np.prod(np.arange(depth + 2 - dets, depth + 2, dtype=float)) < most:
+        depth += 1
+    best, mean, better, last, count = order[:dets], d[order[:dets], np.arange(dets)].mean(), 0, 0, 0
+    for count, perm in enumerate(islice(permutations(order[:depth], dets), most)):
+        m = d[list(perm), np.arange(dets)].mean()
+        if m < mean - 1e-12:
+            best, mean, better, last = list(perm), m, better + 1, count
+    return best, better, last, count + 1
+
+
+@pytest.mark.parametrize("cells", [64, 1, 0])
+def test_ships_meet_detections_by_hours_of_their_way(spark, monkeypatch, cells):
+    """Fast and slow ships, a gap of days, the date line, a place that is missing: with all, some and no hours dealt to cells."""
+    from seatrace.operators import clock, pairing
+
+    monkeypatch.setattr(pairing, "_SLICE_CELLS", cells)
+    rng = np.random.default_rng(11)
+    base = 1_700_000_000
+    rows = []
+    for m in range(6):
+        at = np.sort(rng.integers(0, 86400, 12)) + base
+        speed = (0.01, 0.05, 2.0)[m % 3]
+        for t, a, o in zip(at, 10 + np.cumsum(rng.normal(0, speed, 12)), 179.9 + np.cumsum(rng.normal(0, speed, 12)), strict=True):
+            rows.append((m, int(t), float(np.clip(a, -80, 80)), float((o + 180) % 360 - 180)))
+    rows.append((7, base + 500, None, 1.0))
+    reports = spark.createDataFrame(rows, "mmsi long, s long, latitude double, longitude double").selectExpr("mmsi", "cast(timestamp_seconds(s) as timestamp_ntz) timestamp", "latitude", "longitude")
+    dets = [(k, int(base + rng.integers(0, 86400)), float(10 + rng.normal(0, 0.2)), float((179.9 + rng.normal(0, 0.2) + 180) % 360 - 180)) for k in range(300)]
+    dets += [(300 + i, s, a, o) for i, (_, s, a, o) in enumerate(rows) if a is not None]
+    asked = spark.createDataFrame(dets, "det_id long, s long, latitude double, longitude double").selectExpr("det_id", "cast(timestamp_seconds(s) as timestamp_ntz) timestamp", "latitude", "longitude")
+    got = {(r["det_id"], r["mmsi"]): (r["dist_m"], r["timestamp_nearest"]) for r in pairing.candidates(asked, reports, threshold_sec=7200.0, threshold_m=20_000.0).collect()}
+    want = {}
+    ships = clock.at_instants(reports, asked, ["latitude", "longitude"]).collect()
+    for d in asked.collect():
+        for s in ships:
+            if s["timestamp"] == d["timestamp"] and s["latitude"] is not None and abs((s["timestamp_nearest"] - s["timestamp"]).total_seconds()) < 7200:
+                m = float(metres(np.array([s["latitude"], s["longitude"]]), np.array([d["latitude"], d["longitude"]])))
+                if m <= 20_000:
+                    want[d["det_id"], s["mmsi"]] = (m, s["timestamp_nearest"])
+    assert len(want) > 70 and got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 1e-6 and got[k][1] == want[k][1] for k in want)
