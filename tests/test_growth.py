@@ -104,3 +104,46 @@ def test_ships_meet_detections_by_hours_of_their_way(spark, monkeypatch, cells):
                     want[d["det_id"], s["mmsi"]] = (m, s["timestamp_nearest"])
     assert len(want) > 70 and got.keys() == want.keys()
     assert all(abs(got[k][0] - want[k][0]) < 1e-6 and got[k][1] == want[k][1] for k in want)
+
+
+@pytest.mark.parametrize("lat, lon", [(10.0, 179.999), (89.98, 0.0), (-60.0, 30.0)])
+def test_crowds_of_neighbours_are_not_pairs_of_rows(spark, monkeypatch, lat, lon):
+    """Counts and nearest ships against brute force in blocks cut small; no plan joins ships with ships."""
+    from datetime import datetime, timedelta
+
+    monkeypatch.setattr(spatial, "_AT_ONCE", 64)
+    rng = np.random.default_rng(2)
+    n, wide = 240, 0.02 / max(0.02, np.cos(np.radians(lat)))
+    places = np.column_stack([np.clip(lat + rng.uniform(-0.02, 0.02, n), -90, 90), (lon + rng.uniform(-wide, wide, n) + 180) % 360 - 180])
+    places[5] = places[6] = places[7]
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=i % 2), i, float(a), float(o)) for i, (a, o) in enumerate(places)]
+    df = spark.createDataFrame([*rows, (datetime(2024, 1, 1), 999, None, 1.0)], "timestamp timestamp_ntz, mmsi long, latitude double, longitude double")
+    out = spatial.neighbors(df, n_nearest=3, radius_m=500.0)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["mmsi"]: r for r in out.collect()}
+    assert len(got) == n + 1 and got[999]["n_within"] == 0 and got[999]["0_mmsi"] == -1
+    for i in range(n):
+        own = [j for j in range(n) if j != i and j % 2 == i % 2]
+        d = metres(places[i], places[own])
+        want = sorted((round(float(x), 6), j) for x, j in zip(d, own, strict=True) if x <= 500)
+        assert got[i]["n_within"] == len(want)
+        assert [got[i][f"{k}_mmsi"] for k in range(3)] == ([j for _, j in want] + [-1] * 3)[:3]
+        assert [round(got[i][f"{k}_dist_m"], 6) for k in range(min(3, len(want)))] == [x for x, _ in want[:3]]
+
+
+def test_hours_without_reports_are_not_gathered(spark):
+    """Two reports a month apart: 700 hours, of which only those of the reports are shuffled and folded."""
+    from datetime import datetime
+
+    from seatrace.operators import clock
+
+    rows = [(1, datetime(2024, 1, 1, 0, 30), 10.0, 20.0), (1, datetime(2024, 1, 30, 4, 0), 12.0, 21.0), (1, datetime(2024, 1, 30, 4, 0), 12.0, 21.0), (2, datetime(2024, 1, 1), None, 1.0), (2, datetime(2024, 1, 1, 3), 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "mmsi long, timestamp timestamp_ntz, latitude double, longitude double")
+    out = clock.trajectory_features(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    got = {(r["mmsi"], r["bin"]): r for r in out.collect()}
+    assert len(got) == 29 * 24 + 5 + 4
+    assert got[1, datetime(2024, 1, 1)]["count"] == 2 and got[1, datetime(2024, 1, 30, 4)]["count"] == 1 and got[1, datetime(2024, 1, 30, 4)]["path_m"] is None
+    one = got[1, datetime(2024, 1, 9, 7)]
+    assert one["count"] == 2 and one["path_m"] == one["end2end_m"] and abs(one["excursion_m"] * 2 - one["path_m"]) < 0.5
+    assert got[2, datetime(2024, 1, 1, 1)]["mean_latitude"] is None and got[2, datetime(2024, 1, 1, 1)]["count"] == 2
