@@ -147,3 +147,27 @@ def test_hours_without_reports_are_not_gathered(spark):
     one = got[1, datetime(2024, 1, 9, 7)]
     assert one["count"] == 2 and one["path_m"] == one["end2end_m"] and abs(one["excursion_m"] * 2 - one["path_m"]) < 0.5
     assert got[2, datetime(2024, 1, 1, 1)]["mean_latitude"] is None and got[2, datetime(2024, 1, 1, 1)]["count"] == 2
+
+
+@pytest.mark.parametrize("most", [1, 1000])
+def test_pairs_need_the_nearest_candidates_only(spark, monkeypatch, most):
+    """A crowd of ships: the same pairs from near candidates as from all, of which there are many more."""
+    from datetime import datetime, timedelta
+
+    from seatrace.operators import pairing
+
+    rng = np.random.default_rng(4)
+    noon = datetime(2024, 5, 1, 12)
+    ships = [(m, noon + timedelta(minutes=t), float(a), float(o)) for m, (a, o) in enumerate(np.column_stack([rng.normal(10, 0.02, 900), rng.normal(20, 0.02, 900)])) for t in (-60, 0, 60)]
+    dets = [(k, noon + timedelta(minutes=k // 5), float(a), float(o)) for k, (a, o) in enumerate(np.column_stack([rng.normal(10, 0.03, 60), rng.normal(20, 0.03, 60)]))]
+    dets.append((60, noon, 10.5, 20.0))
+    reports = spark.createDataFrame(ships, "mmsi long, timestamp timestamp_ntz, latitude double, longitude double")
+    asked = spark.createDataFrame(dets, "det_id long, timestamp timestamp_ntz, latitude double, longitude double")
+    limits = {"threshold_sec": 7200.0, "threshold_m": 8000.0}
+    few = pairing._enough_candidates(asked, reports, 7200.0, 8000.0, most).count()
+    assert few < pairing.candidates(asked, reports, **limits).count() / 2
+    names = ["det_id", "timestamp", "mmsi", "timestamp_nearest", "cluster", "greedy_count", "last_improvement", "last_iter", "dist_m"]
+    key = lambda r: (*r[:8], None if r[8] is None else round(r[8], 6))
+    got = sorted(map(key, pairing.infer_identity(asked, reports, max_permutations=most, **limits).select(*names).collect()), key=str)
+    want = sorted(map(key, pairing.sweep(asked, reports, [7200.0], [8000.0], [most]).select(*names).collect()), key=str)
+    assert got == want and len(got) == 61 and sum(r[2] is not None for r in got) >= 59
