@@ -171,3 +171,13 @@ def test_pairs_need_the_nearest_candidates_only(spark, monkeypatch, most):
     got = sorted(map(key, pairing.infer_identity(asked, reports, max_permutations=most, **limits).select(*names).collect()), key=str)
     want = sorted(map(key, pairing.sweep(asked, reports, [7200.0], [8000.0], [most]).select(*names).collect()), key=str)
     assert got == want and len(got) == 61 and sum(r[2] is not None for r in got) >= 59
+
+
+def test_small_pieces_of_tracks_are_no_calls_of_their_own(spark):
+    """Two hundred ships, each of two linked reports and one far off: met in streams, with the branches that they had."""
+    from seatrace.operators import stays
+
+    rows = [(m, t, a, 0.0, None) for m in range(200) for t, a in ((0, 0.1), (60_000_000, 0.1), (120_000_000, 0.5))]
+    out = stays.linked(spark.createDataFrame(rows, "mmsi long, us long, lat double, lon double, old long"), speed_m_sec=1.0, gap_sec=3600.0)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["mmsi"], r["us"], r["start"]) for r in out.collect()) == [(m, t, 0 if t < 120_000_000 else t) for m in range(200) for t in (0, 60_000_000, 120_000_000)]
