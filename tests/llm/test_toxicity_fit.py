@@ -41,6 +41,23 @@ def test_every_label_counts_in_shards(spark, monkeypatch, shard):
     assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in got]) > 0.95
 
 
+@pytest.mark.parametrize("buckets", [1 << 20, 1000003])
+def test_words_hashed_side_by_side_have_their_parts(buckets):
+    found = ["a", "abcd", "abcde", "abcdef", "abcdefg", "a" * 64, "a" * 65, "b" * 3000, "é", "ééééé", "abcdé", "日本語テキスト", "x_1", "0"]
+    assert toxicity.parts_of(found, buckets).tolist() == [toxicity.parts(w, buckets) for w in found]
+    vocabulary = toxicity.Vocabulary(buckets)
+    assert vocabulary("b a b").tolist() == [1, 2, 1] and vocabulary("c a").tolist() == [3, 2]
+    assert vocabulary.parts(2).tolist() == [toxicity.parts(w, buckets) for w in "ac"] and vocabulary.parts()[:2].tolist() == [[-1] * toxicity.PARTS, toxicity.parts("b", buckets)]
+
+
+def test_numbers_are_told_apart_as_by_unique():
+    distinct, rng = toxicity._Distinct(50), np.random.default_rng(1)
+    for n in (0, 1, 40, 200):
+        numbers = rng.integers(0, 50, n)
+        for got, want in zip(distinct(numbers), np.unique(numbers, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+
+
 def test_curve_and_cuts_equal_plain_ones(spark):
     rng = np.random.default_rng(5)
     y = rng.random(400) < 0.3

@@ -181,3 +181,26 @@ def test_small_pieces_of_tracks_are_no_calls_of_their_own(spark):
     out = stays.linked(spark.createDataFrame(rows, "mmsi long, us long, lat double, lon double, old long"), speed_m_sec=1.0, gap_sec=3600.0)
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["mmsi"], r["us"], r["start"]) for r in out.collect()) == [(m, t, 0 if t < 120_000_000 else t) for m in range(200) for t in (0, 60_000_000, 120_000_000)]
+
+
+def test_shuffle_files_of_a_written_table_are_gone(spark):
+    import time
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from seatrace.storage import _CLEANUP, discard, written
+
+    files = lambda: {p for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+    before, table = files(), None
+    try:
+        table = written(spark.range(200_000).repartition(5, F.xxhash64("id")), "brief")
+        assert table.count() == 200_000 and spark.conf.get(_CLEANUP, "false") == "false"
+        for _ in range(50):  # they are deleted beside the session's work; the count shuffles a few bytes of its own
+            left = sum(p.stat().st_size for p in files() - before if p.exists())
+            if left < 100_000:
+                break
+            time.sleep(0.1)
+        assert left < 100_000
+    finally:
+        discard(table)
