@@ -259,3 +259,16 @@ def test_held_out_rows_are_those_of_the_contract(spark):
     for name, (m, k) in {"op1_toxicity": (5, 0), "op5_quality": (3, 1), "op7_language": (4, 2)}.items():
         for r in QUERIES[name](spark, SF).select("doc_id", "held_out").collect():
             assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % m == k)
+
+
+def test_index_keys_of_sets_are_stored_once(spark):
+    from pathlib import Path
+
+    from seatrace.storage import checkpoint_dir
+
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i % 2} h i j k l m n o p q r s t u") for i in range(6)] + [(9, None)], "doc_id long, text string")
+    top = Path(checkpoint_dir(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(top.iterdir())
+    got = jaccard.near_duplicates(docs, shingle=3, num=90, den=100).select("doc_id", "component_id").collect()
+    assert {tuple(r) for r in got} == {(i, i % 2) for i in range(6)} | {(9, 9)}
+    assert sorted(p.name.split("-")[0] for p in set(top.iterdir()) - before if p.name.startswith(("sets-", "classes-"))) == ["classes"]
