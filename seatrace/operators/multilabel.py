@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatrace.shipping import ship_package
-from seatrace.storage import discard, written
+from seatrace.storage import brief_shuffles, discard, written
 
 from .learning import confusion
 
@@ -113,7 +113,9 @@ def _summed(rows: DataFrame, shape: tuple[int, int], partial) -> np.ndarray:
         yield pd.DataFrame({"at": np.arange(total.size, dtype=np.int64), "v": total.ravel()})
 
     out = np.zeros(shape[0] * shape[1])
-    for r in rows.mapInPandas(add, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+    with brief_shuffles(rows.sparkSession):
+        sums = rows.mapInPandas(add, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    for r in sums:
         out[r["at"]] = r["v"]
     return out.reshape(shape)
 
