@@ -204,3 +204,18 @@ def test_shuffle_files_of_a_written_table_are_gone(spark):
         assert left < 100_000
     finally:
         discard(table)
+
+
+def test_permutations_share_their_candidates(spark):
+    import datetime as dt
+
+    from seatrace.operators import pairing
+
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    reports = spark.createDataFrame([(s, at(h), 20.0 + 0.004 * s, -80.0) for s in range(5) for h in (0, 2)], "mmsi long, timestamp timestamp_ntz, latitude double, longitude double")
+    dets = spark.createDataFrame([(d, at(1), 20.001 + 0.003 * d, -80.0) for d in range(3)] + [(9, at(1), 40.0, 0.0)], "det_id long, timestamp timestamp_ntz, latitude double, longitude double")
+    both = pairing.sweep(dets, reports, [14400.0], [2000.0], [1, 1000])
+    alone = [pairing.sweep(dets, reports, [14400.0], [2000.0], [p]) for p in (1, 1000)]
+    want = sorted(str(r) for one in alone for r in one.collect())
+    assert sorted(str(r) for r in both.collect()) == want and len(want) == 8
+    assert "sequence(0, 1" not in both._jdf.queryExecution().logical().toString()  # a detection's list isn't made twice
