@@ -68,3 +68,24 @@ def test_searches_make_no_rows_of_pairs(spark):
     assert "Join" not in plan and plan.count("Exchange") <= 2
     found = {r["det_id"]: r for r in out.collect()}
     assert len(found) == 64 and all(found[k]["mmsi"] is None for k in (60, 61, 62, 63)) and sum(r["mmsi"] is not None for r in found.values()) >= 55
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_blocks_settle_in_small_steps_what_they_settle_at_once(spark, monkeypatch, least):
+    from seatrace.operators import space_time
+
+    rng = np.random.default_rng(least)
+    n = 400
+    lat, lon, us = 10 + rng.integers(0, 12, n) * 0.004 + rng.uniform(0, 0.001, n), 20 + rng.uniform(0, 0.05, n), 10**15 + rng.integers(0, 4000, n) * 10**6
+    df = spark.createDataFrame(list(zip(range(n), us.tolist(), lat.tolist(), lon.tolist(), strict=True)), "id long, us long, lat double, lon double")
+    side = space_time._side(600.0)
+    from pyspark.sql import functions as F
+
+    placed = df.withColumns(space_time._cell(F.col("lat"), F.col("lon"), F.col("us"), side, 600.0 * 1e6 / 3**0.5))
+    dealt = space_time._blocks(placed, side).toPandas()
+    assert dealt["own"].sum() == n and len(dealt) < 12 * n  # not a row for each of 125 cells and more
+    rows = {c: v.to_numpy() for c, v in dealt.drop_duplicates("id").assign(own=True).items()}
+    want = [sorted(zip(*(x.tolist() for x in space_time._settled(rows, 600.0, 1e9, least)), strict=True))]
+    monkeypatch.setattr(space_time, "_AT_ONCE", 3)
+    assert [sorted(zip(*(x.tolist() for x in space_time._settled(rows, 600.0, 1e9, least)), strict=True))] == want
+    assert sum(k for k, *_ in want[0]) > 200
