@@ -219,3 +219,22 @@ def test_permutations_share_their_candidates(spark):
     want = sorted(str(r) for one in alone for r in one.collect())
     assert sorted(str(r) for r in both.collect()) == want and len(want) == 8
     assert "sequence(0, 1" not in both._jdf.queryExecution().logical().toString()  # a detection's list isn't made twice
+
+
+def test_loitering_is_met_in_streams(spark):
+    """Two hundred ships at rest, each with a jump: no call of Python for each of their pieces, and one shuffle before it."""
+    from datetime import datetime, timedelta
+
+    from seatrace.operators import stays
+
+    noon = datetime(2024, 5, 1, 12)
+    rows = [(m, noon + timedelta(hours=h), 10.0 + (h >= 3) + 0.001 * (h % 3), 20.0) for m in range(200) for h in range(6)]
+    df = spark.createDataFrame(rows, "mmsi long, timestamp timestamp_ntz, latitude double, longitude double")
+    found = stays.loiter_candidates(df, 2000.0)
+    out = stays.loitering(df, 2000.0)
+    for x, most in ((found, 1), (out, 2)):
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan and plan.count("Exchange") <= most
+    assert sorted((r["mmsi"], r["n"], r["begin"]) for r in found.collect()) == [(m, 3, noon + timedelta(hours=h)) for m in range(200) for h in (0, 3)]
+    got = {(r["mmsi"], (r["timestamp"] - noon).seconds // 3600): (r["loiter_sec"], r["loiter_rank"]) for r in out.collect()}
+    assert got == {(m, h): ((h % 3) * 3600.0, int(h < 3)) for m in range(200) for h in range(6)}
