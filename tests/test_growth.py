@@ -238,3 +238,44 @@ def test_loitering_is_met_in_streams(spark):
     assert sorted((r["mmsi"], r["n"], r["begin"]) for r in found.collect()) == [(m, 3, noon + timedelta(hours=h)) for m in range(200) for h in (0, 3)]
     got = {(r["mmsi"], (r["timestamp"] - noon).seconds // 3600): (r["loiter_sec"], r["loiter_rank"]) for r in out.collect()}
     assert got == {(m, h): ((h % 3) * 3600.0, int(h < 3)) for m in range(200) for h in range(6)}
+
+
+def test_boosting_runs_in_as_few_tasks_as_its_rows_need(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from seatrace.operators import learning
+
+    df = spark.range(0, 90, 1, 12).select("id", array_to_vector(F.array(F.col("id") % 7 * 1.0, F.col("id") % 5 * 1.0)).alias("x"), (F.col("id") % 3 == 0).cast("double").alias("label"))
+    asked, fit = [], Pipeline.fit
+
+    def spy(self, data, *rest):
+        asked.append(data.rdd.getNumPartitions())
+        return fit(self, data, *rest)
+
+    monkeypatch.setattr(Pipeline, "fit", spy)
+    one = learning.train_trees(df, ["x"], "label", "gbt", trees=3)
+    monkeypatch.setattr(learning, "BOOSTED_ROWS", 20)
+    five = learning.train_trees(df, ["x"], "label", "gbt", trees=3)
+    assert asked == [1, 5]
+    rows = lambda m: sorted((r["id"], r["prediction"]) for r in m.transform(df).collect())
+    assert rows(one) == rows(five)
+
+
+def test_training_rows_go_through_the_harvest_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from seatrace.operators import learning, rules
+    from seatrace.plans import domain
+
+    small = "/root/testdata/sf0.001"
+    wide = domain.harvested(spark, small).localCheckpoint()
+    monkeypatch.setattr(domain, "harvested", lambda *_: wide)
+    out = domain.labelled(spark, small)
+    got = {r["mmsi"]: (list(r["x"]), r["label"]) for r in out.collect()}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    label = rules.behaviors(wide, domain._BEHAVIOR).groupBy("mmsi").agg((F.avg(F.col("loitering_at_sea").cast("double")) > 0.01).cast("double").alias("label"))
+    filled = wide.select("mmsi", "timestamp", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in domain._FEATURES])
+    want = {r["mmsi"]: (r["features"], r["label"]) for r in learning.sequences(filled, domain._FEATURES).join(label, "mmsi").collect()}
+    assert got == want and got
