@@ -279,3 +279,20 @@ def test_training_rows_go_through_the_harvest_once(spark, monkeypatch):
     filled = wide.select("mmsi", "timestamp", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in domain._FEATURES])
     want = {r["mmsi"]: (r["features"], r["label"]) for r in learning.sequences(filled, domain._FEATURES).join(label, "mmsi").collect()}
     assert got == want and got
+
+
+def test_first_polygons_are_found_without_grouping_points(spark):
+    """Overlapping squares over several cells: one row for each point throughout, and the first square by its number."""
+    from seatrace.operators import spatial
+
+    rng = np.random.default_rng(6)
+    boxes = [(k, f"z{k}", float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 1, (20, 2)))]
+    ring = lambda x, y: [(x, y), (x + 0.25, y), (x + 0.25, y + 0.25), (x, y + 0.25)]
+    zones = spark.createDataFrame([(k, n, ring(x, y)) for k, n, x, y in boxes], "ord long, name string, ring array<struct<lon double, lat double>>")
+    places = [(i, float(a), float(o)) for i, (a, o) in enumerate(rng.uniform(-0.1, 1.3, (500, 2)))] + [(500, None, 0.5)]
+    points = spark.createDataFrame(places, "id long, latitude double, longitude double")
+    out = spatial.first_polygon(points, zones, keys=["id"], cell=0.1)
+    assert "Aggregate [id#" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r["name"] for r in out.collect()}
+    hit = lambda a, o: next((n for _, n, x, y in boxes if a is not None and x < o < x + 0.25 and y < a < y + 0.25), None)
+    assert got == {i: hit(a, o) for i, a, o in places} and sum(n is not None for n in got.values()) > 100
