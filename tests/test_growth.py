@@ -296,3 +296,24 @@ def test_first_polygons_are_found_without_grouping_points(spark):
     got = {r["id"]: r["name"] for r in out.collect()}
     hit = lambda a, o: next((n for _, n, x, y in boxes if a is not None and x < o < x + 0.25 and y < a < y + 0.25), None)
     assert got == {i: hit(a, o) for i, a, o in places} and sum(n is not None for n in got.values()) > 100
+
+
+@pytest.mark.parametrize("lat, lon", [(10.0, 179.999), (89.98, 0.0), (-60.0, 30.0)])
+def test_pairs_of_neighbours_are_listed_where_they_meet(spark, lat, lon):
+    """Against brute force, at the date line and near a pole; points are shuffled once and no plan joins ships with ships."""
+    from datetime import datetime, timedelta
+
+    rng = np.random.default_rng(12)
+    n, wide = 200, 0.02 / max(0.02, np.cos(np.radians(lat)))
+    places = np.column_stack([np.clip(lat + rng.uniform(-0.02, 0.02, n), -90, 90), (lon + rng.uniform(-wide, wide, n) + 180) % 360 - 180])
+    places[5] = places[6]
+    at = [datetime(2024, 1, 1) + timedelta(hours=i % 2) for i in range(n)]
+    rows = [(at[i], i // 3 * 3 if i == 8 else i, float(a), float(o)) for i, (a, o) in enumerate(places)] + [(at[0], 999, None, 1.0), (at[0], None, lat, lon)]
+    out = spatial.neighbor_pairs(spark.createDataFrame(rows, "timestamp timestamp_ntz, mmsi long, latitude double, longitude double"), 500.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    want = []
+    for i, p in enumerate(rows[:n]):
+        d = metres(places[i], places)
+        want += [(p[0], p[1], rows[j][1], round(float(d[j]), 5)) for j in range(n) if rows[j][0] == p[0] and rows[j][1] != p[1] and d[j] <= 500]
+    assert sorted((r["timestamp"], r["mmsi"], r["other"], round(r["dist_m"], 5)) for r in out.collect()) == sorted(want) and len(want) > 50
